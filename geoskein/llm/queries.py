@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from geoskein.llm import exact_dedup
+import public_tokenizers
+
+from geoskein.llm import exact_dedup, packing
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -15,3 +17,10 @@ def op4_exact_dedup(spark, sf_dir):
 
 QUERIES["op4_exact_dedup"] = op4_exact_dedup
 ORACLE_SQL["op4_exact_dedup"] = exact_dedup.SQL
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES["op5_best_fit_packing"] = op5_best_fit_packing

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from geoskein.llm import exact_dedup, packing
+from geoskein.llm import exact_dedup, packing, quality
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -24,3 +24,11 @@ def op5_best_fit_packing(spark, sf_dir):
 
 
 QUERIES["op5_best_fit_packing"] = op5_best_fit_packing
+
+
+def op10_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op10_quality_classifier"] = op10_quality_classifier

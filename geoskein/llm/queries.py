@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from geoskein.llm import exact_dedup, packing, quality
+from geoskein.llm import exact_dedup, packing, quality, toxicity
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -32,3 +32,11 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES["op10_quality_classifier"] = op10_quality_classifier
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op7_toxicity"] = op7_toxicity

@@ -107,10 +107,10 @@ def forward(p: dict, gates: dict[str, np.ndarray], at: np.ndarray, mask: np.ndar
     """Logits of windows. at, mask: words and presence by (step, window); gates: projected() of the distinct words."""
     steps, many = at.shape
     h = HIDDEN
-    states = np.zeros((steps, many, 2 * h), np.float32)
+    states = np.zeros((steps, many, 2 * h), p["att"].dtype)
     kept = {}
     for side, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
-        wh, own, s, trace = p[f"wh{side}"], gates[side], np.zeros((many, h), np.float32), {}
+        wh, own, s, trace = p[f"wh{side}"], gates[side], np.zeros((many, h), states.dtype), {}
         cols = slice(0, h) if side == "f" else slice(h, 2 * h)
         for t in order:
             gx, gh = own[at[t]], s @ wh
@@ -143,7 +143,7 @@ def gradients(p: dict, words: tuple, at: np.ndarray, mask: np.ndarray, y: np.nda
     h = HIDDEN
     prob = _sigmoid(logits)
     loss = float((-weight * np.where(y > 0, np.log(prob + 1e-9), np.log(1 - prob + 1e-9))).mean())
-    d_logit = (weight * (prob - y) / many).astype(np.float32)
+    d_logit = (weight * (prob - y) / many).astype(states.dtype)
     g = {"out": pooled.T @ d_logit, "bias": d_logit.sum(keepdims=True)}
     d_pooled = d_logit[:, None] * p["out"]
     d_a = np.einsum("bh,tbh->tb", d_pooled, states)
@@ -153,7 +153,7 @@ def gradients(p: dict, words: tuple, at: np.ndarray, mask: np.ndarray, y: np.nda
     d_x = np.zeros_like(x)
     for side, order in (("f", range(steps - 1, -1, -1)), ("b", range(steps))):
         wh, cols = p[f"wh{side}"], slice(0, h) if side == "f" else slice(h, 2 * h)
-        d_s, d_wh, d_gates = np.zeros((many, h), np.float32), np.zeros_like(wh), np.zeros((len(x), 3 * h), np.float32)
+        d_s, d_wh, d_gates = np.zeros((many, h), wh.dtype), np.zeros_like(wh), np.zeros((len(x), 3 * h), wh.dtype)
         for t in order:
             s, r, z, n, ghn = kept[side][t]
             d_new = d_states[t, :, cols] + d_s

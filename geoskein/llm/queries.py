@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from geoskein.llm import exact_dedup, packing, quality, toxicity
+from geoskein.llm import exact_dedup, packing, quality, sp_viterbi, toxicity
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -40,3 +40,10 @@ def op7_toxicity(spark, sf_dir):
 
 
 QUERIES["op7_toxicity"] = op7_toxicity
+
+
+def op8_sentencepiece(spark, sf_dir):
+    return sp_viterbi.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op8_sentencepiece"] = op8_sentencepiece

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from geoskein.llm import exact_dedup, packing, quality, sp_viterbi, toxicity
+from geoskein.llm import ann, exact_dedup, packing, quality, sp_viterbi, toxicity
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -47,3 +47,10 @@ def op8_sentencepiece(spark, sf_dir):
 
 
 QUERIES["op8_sentencepiece"] = op8_sentencepiece
+
+
+def op1_ivf_pq_search(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+QUERIES["op1_ivf_pq_search"] = op1_ivf_pq_search

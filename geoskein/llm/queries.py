@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from geoskein.llm import ann, exact_dedup, packing, quality, sp_viterbi, toxicity
+from geoskein.llm import ann, exact_dedup, packing, quality, sp_viterbi, toxicity, warc
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -54,3 +54,10 @@ def op1_ivf_pq_search(spark, sf_dir):
 
 
 QUERIES["op1_ivf_pq_search"] = op1_ivf_pq_search
+
+
+def op2_warc_derivatives(spark, sf_dir):
+    return warc.page_derivatives(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op2_warc_derivatives"] = op2_warc_derivatives

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from geoskein.llm import ann, exact_dedup, packing, quality, sp_viterbi, toxicity, warc
+from geoskein.llm import ann, exact_dedup, lattice_lm, packing, quality, sp_viterbi, toxicity, warc
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -61,3 +61,10 @@ def op2_warc_derivatives(spark, sf_dir):
 
 
 QUERIES["op2_warc_derivatives"] = op2_warc_derivatives
+
+
+def op6_lattice_likelihood(spark, sf_dir):
+    return lattice_lm.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op6_lattice_likelihood"] = op6_lattice_likelihood

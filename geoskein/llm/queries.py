@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from geoskein.llm import ann, exact_dedup, lattice_lm, packing, quality, sp_viterbi, toxicity, warc
+from geoskein.llm import ann, exact_dedup, lattice_lm, line_templates, packing, quality, sp_viterbi, toxicity, warc
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -68,3 +68,11 @@ def op6_lattice_likelihood(spark, sf_dir):
 
 
 QUERIES["op6_lattice_likelihood"] = op6_lattice_likelihood
+
+
+def op3_line_templates(spark, sf_dir):
+    return line_templates.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_line_templates"] = op3_line_templates
+ORACLE_SQL["op3_line_templates"] = line_templates.SQL

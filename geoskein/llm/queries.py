@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from geoskein.llm import ann, exact_dedup, lattice_lm, line_templates, packing, quality, sp_viterbi, toxicity, warc
+from geoskein.llm import ann, exact_dedup, jaccard_join, lattice_lm, line_templates, packing, quality, sp_viterbi, toxicity, warc
 from geoskein.llm.common import table
 
 QUERIES = {}
@@ -76,3 +76,10 @@ def op3_line_templates(spark, sf_dir):
 
 QUERIES["op3_line_templates"] = op3_line_templates
 ORACLE_SQL["op3_line_templates"] = line_templates.SQL
+
+
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_jaccard_join"] = op9_jaccard_join

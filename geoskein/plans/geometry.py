@@ -202,3 +202,23 @@ def multi_edit(spark, sf_dir):
         F.size(F.filter("line", lambda p: p["x"] > 25)).cast("long").alias("over_25"), F.size(F.slice("line", 1, 2)).cast("long").alias("slice_len"),
         F.size(F.array_insert("line", 1, F.col("line")[0])).cast("long").alias("appended"),
     )
+
+
+@query("geom_wkb", OLINE + """ SELECT o.l_orderkey, upper(left(h, 18)) AS head, CAST(9 + 16 * n AS BIGINT) AS bytes, round(coalesce(l, 0), 4) AS length FROM
+  (SELECT l_orderkey, count(*) AS n, '0102000000' || lpad(printf('%02x', count(*)), 2, '0') || '000000' AS h FROM oline GROUP BY l_orderkey) o LEFT JOIN (SELECT k, sum(sl) AS l FROM seg GROUP BY k) s ON s.k = o.l_orderkey""")
+def geom_wkb(spark, sf_dir):
+    """Lines written as WKB and measured again from it."""
+    from geoskein.functions import codec as C
+
+    m = L.collect(D.order_lines(spark, sf_dir), "l_orderkey").select("l_orderkey", C.line_wkb(F.col("line")).alias("wkb"))
+    return m.select("l_orderkey", F.substring(F.hex("wkb"), 1, 18).alias("head"), F.length("wkb").cast("long").alias("bytes"), r(C.wkb_length(F.col("wkb")), 4).alias("length"))
+
+
+@query("schema_infer", """SELECT 'l_orderkey' AS field, count(l_orderkey) AS n, count(*) - count(l_orderkey) AS nulls, CAST(min(l_orderkey) AS DOUBLE) AS least, CAST(max(l_orderkey) AS DOUBLE) AS most, CAST(NULL AS BIGINT) AS width FROM lineitem
+  UNION ALL SELECT 'l_linenumber', count(l_linenumber), count(*) - count(l_linenumber), min(l_linenumber), max(l_linenumber), NULL FROM lineitem
+  UNION ALL SELECT 'l_quantity', count(l_quantity), count(*) - count(l_quantity), min(l_quantity), max(l_quantity), NULL FROM lineitem
+  UNION ALL SELECT 'l_returnflag', count(l_returnflag), count(*) - count(l_returnflag), NULL, NULL, max(length(l_returnflag)) FROM lineitem""")
+def schema_infer(spark, sf_dir):
+    from geoskein.plans import schema as M
+
+    return M.profile(D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))

@@ -78,7 +78,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, bi
     """Weights, the intercept last. Without rows all are zero, so that every score is 0.5."""
     model, bias = Ftrl(2**bits + 1), 2**bits
     order = np.random.default_rng(7)
-    rows = [(np.append(at, bias), np.append(x, 1.0), y) for at, x, y in rows]
+    rows = [(np.append(at, np.int32(bias)), np.append(x, np.float32(1)), y) for at, x, y in rows]
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             model.learn(*rows[k])
@@ -91,11 +91,11 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     def features(batches):
         for pdf in batches:
             made = [counted(t) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "at": [m[0].astype(np.int32) for m in made], "x": [m[1] for m in made], "label": pdf.label})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "at": [m[0].astype(np.int32).tobytes() for m in made], "x": [m[1].tobytes() for m in made], "label": pdf.label})
 
-    sample = labelled_sample(docs, labels, "quality", train_rows).mapInPandas(features, "doc_id long, at array<int>, x array<float>, label int")
+    sample = labelled_sample(docs, labels, "quality", train_rows).mapInPandas(features, "doc_id long, at binary, x binary, label int")
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.label))
-    return fit([(np.array(r["at"], np.int64), np.array(r.x, np.float64), r.label) for r in rows])
+    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.x, np.float32), r.label) for r in rows])
 
 
 def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

@@ -92,7 +92,7 @@ def sample_distances(v: DataFrame, key: str, interval: Column | float, vertices:
     s = segments(v, key)
     total = s.groupBy(key).agg(F.max("cum").alias("total")).withColumn("step", step)
     ks = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("total") / F.col("step"))))
-    d = total.select(key, "total", "step", F.explode(ks).alias("k")).withColumn("d", F.col("k") * F.col("step")).filter("d < total").select(key, "d")
+    d = total.select(key, "total", "step", F.explode(ks).alias("__n")).withColumn("d", F.col("__n") * F.col("step")).filter("d < total").select(key, "d")
     return d.unionByName(s.select(key, F.col("cum").alias("d"))) if vertices else d
 
 

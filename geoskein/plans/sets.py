@@ -8,7 +8,7 @@ from geoskein.functions import arrays as A
 from geoskein.plans.registry import query
 from geoskein.sources.derived import table
 
-ARR = """WITH arr AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS a, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem GROUP BY l_orderkey)"""
+ARR = """WITH arr AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS a, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS b FROM lineitem GROUP BY l_orderkey)"""
 
 
 def _arrays(spark, sf_dir):

@@ -6,6 +6,8 @@ few of each in one global order (prefix filter; shingles that are hot in the pre
 Within a region
 
   1. a pivot's distance to every other set is computed exactly; what is within the threshold e joins its component;
+     (the shingle counts of two sets in the cells of a fixed grid differ by no more than the sets do, which settles
+     most pairs that are far apart without their shingles);
   2. sets of the pivot's component need no comparison with each other. Each set outside becomes a pivot itself, and
      meets those sets only whose distance to the first pivot differs from its own by e at most: by the triangle
      inequality no other can be within e. Sets near the border of the pivot's cell thus meet both sides of it;
@@ -37,7 +39,11 @@ PIVOTS = (1, 16, 256, None)
 #: The table of prefix counts that finds hot shingles has 2^bits cells, by the size of the input.
 LEAST_BITS, MOST_BITS = 20, 26
 HOT_SETS = 200
+#: Shingles in a cell of a set's grid on average, at most; and ids that may be broadcast.
+CELL_LOAD, BROADCAST_IDS = 8, 1_000_000
 _CACHE = 400_000
+#: Stands for a null id where texts are looked up.
+NO_ID = -(1 << 63)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -75,6 +81,24 @@ def prefix_sizes(n: int, cut: tuple[int, int] = CUT) -> tuple[int, int]:
     return n + (-2 * p * n // (p + q)) + 1, n + (-p * n // q) + 1
 
 
+def grid(s: np.ndarray) -> np.ndarray:
+    """Shingles counted by their leading bits, in a power of two of cells."""
+    bits = max(4, int(np.ceil(np.log2(max(1, len(s)) / CELL_LOAD))))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).clip(max=255).astype(np.uint8)
+
+
+def grid_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """At most the size of the symmetric difference of two sets, from their grids. The finer grid is folded."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    if (a == 255).any() or (b == 255).any():
+        return 0  # a full counter says nothing
+    while len(a) > len(b):
+        a = a[::2] + a[1::2]
+    while len(b) > len(a):
+        b = b[::2] + b[1::2]
+    return int(np.abs(a - b).sum())
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
@@ -84,27 +108,32 @@ def _sid(s: np.ndarray) -> int:
 
 
 def _facts(texts: DataFrame, width: int, cut: tuple[int, int], bits: int) -> DataFrame:
-    """A row (id, n, sid, check) for each document, and rows (cell, times) of the counts of hashed prefixes."""
+    """A row (id, n, sid, check, grid) for each document, and rows (cell, times) of the counts of hashed prefixes.
+
+    Of a set that a task has met before the grid is null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells, seen = np.zeros(1 << bits, np.int32), set()
-        columns = ["id", "n", "sid", "check", "cell", "times"]
+        columns = ["id", "n", "sid", "check", "grid", "cell", "times"]
+        kinds = {c: "Int64" for c in columns if c != "grid"}
         for pdf in batches:
             out = []
             for key, text in zip(pdf["id"], pdf.text):
                 s = shingles(bytes(text), width)
                 sid = _sid(s)
-                out.append((key, len(s), sid, xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)))
-                if len(s) and sid not in seen:
+                new = len(s) and sid not in seen
+                out.append((key, len(s), sid, xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), grid(s).tobytes() if new else None))
+                if new:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(sid)
                     np.add.at(cells, (s[: prefix_sizes(len(s), cut)[1]] & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-            yield pd.DataFrame(out, columns=columns[:4]).reindex(columns=columns).astype(dict.fromkeys(columns, "Int64"))
+            yield pd.DataFrame([(*x, None, None) for x in out], columns=columns).astype(kinds)
         used = np.flatnonzero(cells)
-        yield pd.DataFrame({"cell": used, "times": cells[used]}).reindex(columns=columns).astype(dict.fromkeys(columns, "Int64"))
+        yield pd.DataFrame({"cell": used, "times": cells[used]}).assign(grid=None).reindex(columns=columns).astype(kinds)
 
-    return texts.mapInPandas(run, "id long, n long, sid long, check long, cell long, times long")
+    return texts.mapInPandas(run, "id long, n long, sid long, check long, grid binary, cell long, times long")
 
 
 def _regions(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarray) -> DataFrame:
@@ -136,19 +165,35 @@ def _regions(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarray
 
 
 def _sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles) of the wanted (id, sid)."""
+    """(sid, shingles) of the wanted (id, sid). Up to BROADCAST_IDS ids are sent to the texts; more of them are joined."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [shingles(bytes(t), width) for t in pdf.text]
             yield pd.DataFrame({"sid": [_sid(s) for s in made], "shingles": [s.view(np.int64) for s in made]})
 
-    rows = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInPandas(run, "sid long, shingles array<long>")
+    ids = wanted.select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    rows = texts.join(ids, "id", "left_semi").mapInPandas(run, "sid long, shingles array<long>")
     # an id may have several rows: only wanted sets stay, one row each
     rows = rows.join(wanted.select("sid").distinct(), "sid", "left_semi")
     return rows.groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, cut: tuple[int, int]) -> DataFrame:
+    """(a, b, lo): pairs with a bound below their distance by their grids."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            apart = [grid_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(pdf.ga, pdf.gb)]
+            both = (pdf.na + pdf.nb).to_numpy()
+            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "lo": 2 * np.array(apart, np.float64) / (both + np.array(apart, np.float64))})
+
+    one = nodes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("grid").alias("ga"))
+    two = nodes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("grid").alias("gb"))
+    return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long, lo double")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) reaches. Labels shrink by neighbours and by
     following labels, so that a chain of n nodes takes about log n rounds."""
@@ -167,11 +212,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _links(members: DataFrame, sets: DataFrame, cut: tuple[int, int]) -> tuple[DataFrame | None, DataFrame | None]:
-    """All tested pairs that are linked (a, b), and the components (node, label) they make."""
+def _links(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, cut: tuple[int, int]) -> tuple[DataFrame | None, DataFrame | None]:
+    """All tested pairs that are linked (a, b), and the components (node, label) they make.
+
+    A tested pair has bounds lo and hi of its distance, equal where it was computed.
+    """
     p, q = cut
-    far = 1 - p / q
-    tested = labels = first = spent = None
+    far = 1 - p / q + 1e-9
+    tested = labels = first = spent = sets = None
 
     def union(x: DataFrame | None, y: DataFrame) -> DataFrame:
         return y if x is None else x.unionByName(y)
@@ -187,34 +235,39 @@ def _links(members: DataFrame, sets: DataFrame, cut: tuple[int, int]) -> tuple[D
         else:
             now = now.withColumn("c", F.col("sid"))
             outside = now
-        rank = F.row_number().over(W.partitionBy("h").orderBy("sid"))
-        pivots = outside.withColumn("r", rank)
+        pivots = outside.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("sid")))
         if many:
             pivots = pivots.filter(F.col("r") <= many)
         pivots = materialise(pivots.select("h", F.col("sid").alias("ps"), F.col("n").alias("pn"), F.col("small").alias("p_small"), F.col("c").alias("pc")), "pivots")
         if not pivots.limit(1).count():
             break
         met = now.select("h", "sid", "n", "small", "c").join(pivots, "h")
-        smaller = (F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("small") | F.col("p_small")))
-        fine = F.when(F.col("n") < F.col("pn"), F.col("small")).when(F.col("n") > F.col("pn"), F.col("p_small")).otherwise(smaller)
+        fine = F.when(F.col("n") < F.col("pn"), F.col("small")).when(F.col("n") > F.col("pn"), F.col("p_small")).otherwise(F.col("small") | F.col("p_small"))
         met = met.filter((F.col("c") != F.col("pc")) & fine & (q * F.least("n", "pn") >= p * F.greatest("n", "pn")))
         if first is not None:
-            of = first.select("h", "p1")
-            d = tested.select(F.col("a"), F.col("b"), "d")
-            d = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-            met = met.join(of, "h", "left")
-            for own, name in (("sid", "d_own"), ("ps", "d_pivot")):
-                met = met.join(d.select(F.col("a").alias("p1"), F.col("b").alias(own), F.col("d").alias(name)), ["p1", own], "left")
-            met = met.filter(F.coalesce(F.abs(F.col("d_own") - F.col("d_pivot")) <= far + 1e-9, F.lit(True)))
+            d = tested.select("a", "b", "lo", "hi")
+            d = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "lo", "hi"))
+            met = met.join(first, "h", "left")
+            for own, name in (("sid", "x"), ("ps", "y")):
+                met = met.join(d.select(F.col("a").alias("p1"), F.col("b").alias(own), F.col("lo").alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}")), ["p1", own], "left")
+            met = met.filter(~F.coalesce((F.col("lo_x") - F.col("hi_y") > far) | (F.col("lo_y") - F.col("hi_x") > far), F.lit(False)))
         pairs = met.select(F.least("sid", "ps").alias("a"), F.greatest("sid", "ps").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        near = materialise(_near(pairs, nodes, cut), "near")
+        close = near.filter(F.col("lo") <= far).select("a", "b")
+        needed = close.select(F.col("a").alias("sid")).unionByName(close.select(F.col("b").alias("sid"))).distinct()
+        if sets is not None:
+            needed = needed.join(sets.select("sid"), "sid", "left_anti")
+        wanted = needed.join(nodes, "sid").select(F.coalesce("class_id", F.lit(NO_ID)).alias("id"), "sid")
+        sets = union(sets, materialise(_sets(texts, width, wanted), "sets"))
         one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
         two = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
-        judged = pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u"))
-        judged = judged.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (q * F.col("i") >= p * F.col("u")).alias("linked"))
-        tested = materialise(union(tested, judged), "tested")
+        judged = close.join(one, "a").join(two, "b").select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u"))
+        judged = judged.select("a", "b", (1 - F.col("i") / F.col("u")).alias("lo"), (1 - F.col("i") / F.col("u")).alias("hi"), (q * F.col("i") >= p * F.col("u")).alias("linked"))
+        refuted = near.filter(F.col("lo") > far).select("a", "b", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
+        tested = union(tested, materialise(judged.unionByName(refuted), "tested"))
         if first is None:
             first = pivots.select("h", F.col("ps").alias("p1"))
         spent = union(spent, pivots.select("h", F.col("ps").alias("sid")))
@@ -236,21 +289,20 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     rows = docs.count()
     bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, rows * 80 / 16))))))
     facts = materialise(_facts(texts, width, cut, bits), "facts")
-    owned = facts.filter(F.col("cell").isNull()).select("id", "n", "sid", "check")
+    owned = facts.filter(F.col("cell").isNull()).select("id", "n", "sid", "check", "grid")
     cells = facts.filter(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("times").alias("times"))
     total = cells.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     least = max(HOT_SETS, 10 * total / (1 << bits))
     hot = np.zeros(1 << bits, bool)
     hot[[r.cell for r in cells.filter(F.col("times") > least).select("cell").collect()]] = True  # at most 2^bits / 10
-    nodes = owned.filter("n > 0").groupBy("sid").agg(F.min("id").alias("class_id"), F.min("check").alias("x"), F.max("check").alias("y"))
-    nodes = nodes.select("sid", F.when(F.col("x") == F.col("y"), F.col("class_id")).otherwise(F.raise_error(F.lit("two sets share a hash"))).alias("class_id"))
+    nodes = owned.filter("n > 0").groupBy("sid").agg(F.min("id").alias("class_id"), F.min("check").alias("x"), F.max("check").alias("y"), F.max("n").alias("n"), F.max("grid").alias("grid"))
+    nodes = nodes.select("sid", "n", "grid", F.when(F.col("x") == F.col("y"), F.col("class_id")).otherwise(F.raise_error(F.lit("two sets share a hash"))).alias("class_id"))
     nodes = materialise(nodes, "nodes")
     members = _regions(texts, width, cut, hot)
     members = materialise(members.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("k > 1").drop("k"), "members")
-    wanted = members.select("sid").distinct().join(nodes, "sid").select(F.col("class_id").alias("id"), "sid")
-    null_too = texts.withColumn("id", F.coalesce("id", F.lit(-(1 << 63)).cast("long")))
-    sets = materialise(_sets(null_too, width, wanted.withColumn("id", F.coalesce("id", F.lit(-(1 << 63)).cast("long")))), "sets")
-    links, labels = _links(members, sets, cut)
+    keyed = texts.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
+    links, labels = _links(members, nodes, keyed, width, cut)
+    nodes = nodes.select("sid", "class_id")
     named = nodes
     if links is not None:
         degree = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))

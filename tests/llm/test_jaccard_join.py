@@ -89,3 +89,12 @@ def test_components_of_a_chain(spark):
     edges = spark.range(1, 60).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
     got = {r.node: r.label for r in jj.components(edges).collect()}
     assert got == {k: 1 for k in range(1, 61)} | {100: 100, 101: 100}
+
+
+def test_grids_bound_the_difference():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 2**64, int(r.integers(1, 900)), dtype=np.uint64))
+        b = np.unique(np.concatenate([r.choice(a, int(r.integers(0, len(a) + 1)), replace=False), r.integers(0, 2**64, int(r.integers(0, 300)), dtype=np.uint64)]))
+        if len(b):
+            assert jj.grid_distance(jj.grid(a), jj.grid(b)) <= len(np.setxor1d(a, b))

@@ -35,6 +35,10 @@ CLASSES = 6
 #: Weight of the vocabulary's own scores beside expected counts.
 PRIOR = 1000.0
 FLUSH = 400_000
+#: Words up to this length are computed together with others as long, longer ones alone.
+TOGETHER = 48
+_P, _C = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_SLOTS = 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -58,51 +62,162 @@ class Lattice:
         with np.errstate(divide="ignore"):
             self.log = np.log(p)
         self.pieces = {piece: (k, float(self.log[k])) for piece, (k, _) in v.ids.items()}
-        self.longest = v.longest
+        # a trie as a dictionary: every beginning of a piece, with the piece if it is one
+        self.trie: dict[str, tuple[int, float] | None] = {piece[:n]: None for piece in self.pieces for n in range(1, len(piece))} | self.pieces
         self.byte_ids = v.bytes_at
 
-    def edges(self, s: str) -> Iterator[tuple[int, int, tuple[int, ...], float]]:
-        """(start, end, piece ids, log probability) of every edge, by end."""
-        get, longest = self.pieces.get, self.longest
-        for end in range(1, len(s) + 1):
-            for start in range(max(0, end - longest), end):
-                found = get(s[start:end])
+    def edges(self, s: str) -> tuple[list[tuple[int, int, tuple[int, ...] | int, float]], list[float]]:
+        """All edges (start, end, piece id or byte ids, log probability) by their start, and the forward sums (log) up to
+        every place."""
+        get, n = self.trie.get, len(s)
+        alpha, into = [0.0] + [-math.inf] * n, [[] for _ in range(n + 1)]
+        out = []
+        for start in range(n):
+            if start:
+                terms = into[start]
+                if not terms:
+                    continue
+                alpha[start] = terms[0] if len(terms) == 1 else summed(terms)
+            here, end = alpha[start], start + 1
+            one = s[start]
+            if one not in self.pieces:
+                ids = tuple(self.byte_ids[b] for b in one.encode("utf-8", "surrogatepass"))
+                lp = float(sum(self.log[k] for k in ids))
+                out.append((start, end, ids, lp))
+                into[end].append(here + lp)
+            while end <= n:
+                found = get(s[start:end], False)
+                if found is False:
+                    break
                 if found is not None:
-                    yield start, end, (found[0],), found[1]
-            if s[end - 1] not in self.pieces:
-                ids = tuple(self.byte_ids[b] for b in s[end - 1].encode("utf-8", "surrogatepass"))
-                yield end - 1, end, ids, float(sum(self.log[k] for k in ids))
-
-    def forward(self, s: str) -> list[float]:
-        alpha = [0.0] + [-math.inf] * len(s)
-        terms: list[float] = []
-        now = 1
-        for start, end, _, lp in self.edges(s):
-            if end != now:
-                alpha[now], terms, now = summed(terms), [], end
-            terms.append(alpha[start] + lp)
-        if s:
-            alpha[now] = summed(terms)
-        return alpha
+                    out.append((start, end, found[0], found[1]))
+                    into[end].append(here + found[1])
+                end += 1
+        if n:
+            alpha[n] = summed(into[n])
+        return out, alpha
+
+    def _table(self) -> None:
+        """Pieces by a hash of their characters, for looking up many at once (linear probing)."""
+        self.keys, self.at = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
+        for piece, (k, _) in self.pieces.items():
+            h = np.uint64(len(piece))
+            with np.errstate(over="ignore"):
+                for c in piece:
+                    h = (h ^ np.uint64(ord(c))) * _P
+                slot = int((h * _C) >> np.uint64(64 - _SLOTS))
+            while self.at[slot] >= 0:
+                slot = (slot + 1) % (1 << _SLOTS)
+            self.keys[slot], self.at[slot] = h, k
+        self.longest = max(map(len, self.pieces))
+        self.log_or_none = np.append(self.log, -np.inf)
+
+    def _lookup(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 for none."""
+        slot = ((h * _C) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        found = np.where(self.keys[slot] == h, self.at[slot], -1)
+        left = np.flatnonzero((found.ravel() < 0) & (self.at[slot.ravel()] >= 0))
+        flat, where, key = found.ravel(), slot.ravel()[left], h.ravel()[left]
+        while len(left):
+            where = (where + 1) % (1 << _SLOTS)
+            hit = self.keys[where] == key
+            flat[left[hit]] = self.at[where[hit]]
+            go = ~hit & (self.at[where] >= 0)
+            left, where, key = left[go], where[go], key[go]
+        return flat.reshape(h.shape)
+
+    def _together(self, words: list[str], expected: np.ndarray | None) -> np.ndarray:
+        """log_probability() of words of one length, and their expected pieces added to `expected`. Row k - 1 of the
+        pieces and their logs holds those of k characters, by where they start."""
+        n, many = len(words[0]), len(words)
+        chars = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(many, n).T.astype(np.uint64)
+        ids = []
+        for k in range(1, min(n, self.longest) + 1):
+            h = np.full((n - k + 1, many), k, np.uint64)
+            for j in range(k):
+                h = (h ^ chars[j : j + n - k + 1]) * _P
+            ids.append(self._lookup(h))
+        logs = [self.log_or_none[i] for i in ids]
+        lone = np.argwhere(ids[0] < 0)
+        fallback = []
+        for t, w in lone.tolist():
+            own = [self.byte_ids[b] for b in words[w][t].encode("utf-8", "surrogatepass")]
+            logs[0][t, w] = self.log[own].sum()
+            fallback.append((t, w, own))
+        alpha = np.full((n + 1, many), -np.inf)
+        alpha[0] = 0
+        with np.errstate(invalid="ignore"):
+            for end in range(1, n + 1):
+                alpha[end] = _summed_rows(np.stack([alpha[end - k] + logs[k - 1][end - k] for k in range(1, min(end, len(logs)) + 1)]))
+            if expected is not None:
+                beta = np.full((n + 1, many), -np.inf)
+                beta[n] = 0
+                for start in range(n - 1, -1, -1):
+                    beta[start] = _summed_rows(np.stack([beta[start + k] + logs[k - 1][start] for k in range(1, min(n - start, len(logs)) + 1)]))
+                for k in range(1, len(logs) + 1):
+                    use = ids[k - 1] >= 0
+                    share = np.exp(np.minimum(0, alpha[: n - k + 1] + logs[k - 1] + beta[k:] - alpha[n]))
+                    expected += np.bincount(ids[k - 1][use], weights=np.nan_to_num(share[use]), minlength=len(expected))
+                    if k == 1:
+                        for t, w, own in fallback:
+                            np.add.at(expected, own, share[t, w])
+        return alpha[n]
+
+    def log_probabilities(self, words: list[bytes], expected: np.ndarray | None = None) -> np.ndarray:
+        """log_probability() of each word; `expected`, if given, gains what expect() adds for each."""
+        if not hasattr(self, "keys"):
+            self._table()
+        out = np.zeros(len(words))
+        by_size: dict[int, list[int]] = {}
+        texts = [MARK + w.decode("utf-8", "replace") for w in words]
+        for k, s in enumerate(texts):
+            if len(s) <= TOGETHER and s[-1] != chr(0):  # numpy's strings lose zeros at their end
+                by_size.setdefault(len(s), []).append(k)
+            else:
+                out[k] = self.log_probability(words[k])
+                if expected is not None:
+                    self.expect(words[k], expected)
+        for size, own in by_size.items():
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                out[part] = self._together([texts[k] for k in part], expected)
+        return out
 
     def log_probability(self, word: bytes) -> float:
         """Of all segmentations of a word together."""
-        return self.forward(MARK + word.decode("utf-8", "replace"))[-1]
+        return self.edges(MARK + word.decode("utf-8", "replace"))[1][-1]
 
     def expect(self, word: bytes, into: np.ndarray, weight: float = 1.0) -> None:
         """Add the expected number of uses of each piece in a word."""
         s = MARK + word.decode("utf-8", "replace")
-        alpha, edges = self.forward(s), list(self.edges(s))
+        edges, alpha = self.edges(s)
         beta = [-math.inf] * len(s) + [0.0]
         terms: list[list[float]] = [[] for _ in s]
+        at, exp, total = len(s), math.exp, alpha[-1]
         for start, end, _, lp in reversed(edges):
-            if beta[end] == -math.inf and terms[end]:
-                beta[end] = summed(terms[end])
-            terms[start].append(lp + beta[end])
+            # edges come by start: once one of an earlier start is met, all that leave a place are in
+            if start < at:
+                for k in range(start + 1, min(at, len(s) - 1) + 1):
+                    if terms[k]:
+                        beta[k] = summed(terms[k])
+                at = start
+            if beta[end] > -math.inf:
+                terms[start].append(lp + beta[end])
         for start, end, ids, lp in edges:
-            share = weight * math.exp(min(0.0, alpha[start] + lp + beta[end] - alpha[-1]))
-            for k in ids:
-                into[k] += share
+            share = weight * exp(min(0.0, alpha[start] + lp + beta[end] - total))
+            if isinstance(ids, int):
+                into[ids] += share
+            else:
+                for k in ids:
+                    into[k] += share
+
+
+def _summed_rows(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over the first axis."""
+    top = x.max(axis=0)
+    safe = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.where(np.isfinite(top), safe + np.log(np.exp(x - safe).sum(axis=0)), -np.inf)
 
 
 def summed(terms: list[float]) -> float:
@@ -156,7 +271,7 @@ class Model:
         return (1 - self.unseen) * (0.95 * own + 0.05 * counts.sum(axis=1, keepdims=True) / self.total)
 
     def word_logs(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        pieces = self.unseen * np.exp([max(-700.0, self.lattice.log_probability(w)) for w in words])
+        pieces = self.unseen * np.exp(np.maximum(-700.0, self.lattice.log_probabilities(words)))
         return np.log(np.maximum(self.seen(counts) + pieces[:, None], 1e-300))
 
     def base(self, counts: np.ndarray) -> np.ndarray:
@@ -195,8 +310,7 @@ def scored(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         into = np.zeros(size)
         for pdf in batches:
-            for w in pdf.word:
-                first.value.expect(bytes(w), into)
+            first.value.log_probabilities([bytes(w) for w in pdf.word], into)
         used = np.flatnonzero(into)
         yield pd.DataFrame({"piece": used, "n": into[used]})
 

@@ -47,6 +47,17 @@ def test_forward_and_expected_counts_equal_enumeration(word):
     assert np.allclose(want, got, atol=1e-9)
 
 
+def test_words_together_equal_words_alone():
+    lattice = lm.Lattice(vocabulary(PATH))
+    r = np.random.default_rng(2)
+    words = ["".join(r.choice(list("abcdeé日 ß\x01"), int(r.integers(1, 30)))).encode() for _ in range(400)] + [b"", b"x" * 900, b"a\x00", b"\x00", "naïveté".encode(), "▁x".encode()]
+    one, two = np.zeros(len(lattice.log)), np.zeros(len(lattice.log))
+    for w in words:
+        lattice.expect(w, one)
+    got = lattice.log_probabilities(words, two)
+    assert np.allclose(got, [lattice.log_probability(w) for w in words], rtol=1e-9) and np.allclose(one, two, atol=1e-6)
+
+
 def base_scores(rows):
     toks = {i: [*(t or "").encode().lower().split(), None] for i, t, _ in rows}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 5 != 1]

@@ -21,12 +21,14 @@ DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 2
 FIELD = "<*>"
+#: Leaves with several lines that may be broadcast (16 bytes each); more are joined.
+BROADCAST_LEAVES = 500_000
 
 
 def masked(line: Column) -> Column:
     """Words joined by one space, those with ASCII digits as FIELD; empty for a blank line."""
-    words = F.split(F.regexp_replace(line, rf"^{SPACES}|{SPACES}$", ""), SPACES)
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w)), " ")
+    words = F.trim(F.regexp_replace(line, SPACES, " "))
+    return F.when(words.rlike("[0-9]"), F.regexp_replace(words, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(words)
 
 
 def _key(*columns: Column) -> Column:
@@ -46,7 +48,9 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     small = materialise(lines.select("id", "line", "n", "leaf", "own"), "lines")
     wide = small.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count(F.lit(1)).alias("of")).filter("a != b").select("leaf", "of")
     # the distinct lines of leaves with several; how often each occurs stays beside it
-    each = lines.groupBy("leaf", "own", "n", "masked").agg(F.count(F.lit(1)).alias("times")).join(wide, "leaf")
+    wide = materialise(wide, "wide")
+    of = F.broadcast(wide) if wide.count() <= BROADCAST_LEAVES else wide
+    each = lines.join(of, "leaf").groupBy("leaf", "own", "n", "masked").agg(F.count(F.lit(1)).alias("times"), F.max("of").alias("of"))
     each = materialise(each, "leaves")
     cells = each.select("leaf", "own", "n", "of", "times", F.posexplode(F.split("masked", " ")).alias("at", "word"))
     counted = cells.groupBy("leaf", "at", "word").agg(F.sum("times").alias("times"), F.max("of").alias("of")).filter("2 * times >= of")

@@ -1,8 +1,10 @@
+import functools
 import itertools
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -12,18 +14,30 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", "a", " lead", "tail ", "two  spaces", "a \n b\n\nc", "\t\tx", "it's 's <|endoftext|> here", "été — ça va", "a\x1cb \x1f c", "日本 語 " * 40, "word " * 3000, None, "x" * 9000]
 
 
-def plain_ids(text):
+@functools.cache
+def library():
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [packing.END]
+    return t
+
+
+def plain_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [packing.END]
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_are_those_of_the_whole_text(text):
-    got = np.frombuffer(packing.tokens(PATH).packed(text or ""), np.uint32).tolist() + [packing.END]
+    got = np.frombuffer(packing.tokens(PATH).packed_batch([text or ""])[0], np.uint32).tolist() + [packing.END]
     assert got == plain_ids(text)
 
 
+def test_ids_of_real_texts():
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])
+    for text in table.column("text").to_pylist()[:120]:
+        got = np.frombuffer(packing.tokens(PATH).packed_batch([text or ""])[0], np.uint32).tolist() + [packing.END]
+        assert got == plain_ids(text)
+
+
 def fewest(lengths, size):
     """Bins needed, by trying every assignment."""
     for k in itertools.count(1):

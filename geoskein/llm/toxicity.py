@@ -29,6 +29,7 @@ LEAST_DOCS = 4
 TRAIN_ROWS, TRAIN_BYTES = 6000, 40_000
 CACHE = 150_000
 CHUNK_WORDS = 120_000
+PART_WORDS = 20_000
 _MARKS = b".,;:!?\"'()[]{}|*$%&#-_"
 
 
@@ -63,6 +64,25 @@ def features(vocab: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, n
     return rows, np.append(grams[by_word], 0), np.searchsorted(of[by_word], np.arange(len(bare)))
 
 
+def _features_in_parts(vocab: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of many words in little memory."""
+    rows, grams, starts, at = [], [], [], 0
+    for k in range(0, len(words), PART_WORDS):
+        r, g, s = features(vocab, words[k : k + PART_WORDS])
+        rows.append(r.astype(np.int32))
+        grams.append(g[:-1].astype(np.int32))
+        starts.append((s + at).astype(np.int32))
+        at += len(g) - 1
+    return np.concatenate(rows), np.concatenate([*grams, [0]]).astype(np.int32), np.concatenate(starts)
+
+
+def known_part(known: tuple[np.ndarray, np.ndarray, np.ndarray], a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of the words from a to b."""
+    rows, grams, starts = known
+    low, high = starts[a], starts[b] if b < len(starts) else len(grams) - 1
+    return rows[a:b], np.append(grams[low:high], 0).astype(np.int64), (starts[a:b] - low).astype(np.int64)
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, words) of every window; words are numbered through all documents.
 
@@ -267,13 +287,13 @@ def fit(texts: list[bytes], labels: list[int], passes: int = 7, batch: int = 256
     if not 0 < y.sum() < len(y):
         return None
     words = _Words()
-    runs = [np.fromiter(map(words.__getitem__, t.lower().split()), np.int64) for t in texts]
+    runs = [np.fromiter(map(words.__getitem__, t.lower().split()), np.int32) for t in texts]
     lengths = np.array([len(r) for r in runs], np.int64)
     flat = np.concatenate(runs)
     every = words.new or [b""]
     aside = np.arange(len(y)) % 5 == 4
     vocab = vocabulary([{every[k] for k in np.unique(r)} for r, out in zip(runs, aside, strict=True) if not out])
-    known = features(vocab, every)
+    known = _features_in_parts(vocab, every)
     doc, first, size = windows(lengths)
     draw = np.random.default_rng(seed)
     p = initial(len(vocab) + 1)
@@ -281,7 +301,9 @@ def fit(texts: list[bytes], labels: list[int], passes: int = 7, batch: int = 256
     balance = min(8.0, float((y == 0).sum() / y.sum()))
 
     def all_logits() -> np.ndarray:
-        gates = projected(p, embedded(p, *known))
+        parts = [known_part(known, k, k + PART_WORDS) for k in range(0, len(every), PART_WORDS)]
+        made = [projected(p, embedded(p, *part)) for part in parts]
+        gates = {side: np.concatenate([m[side] for m in made]) for side in "fb"}
         return np.concatenate([forward(p, gates, *_laid(flat, first[k : k + 2048], size[k : k + 2048])) for k in range(0, len(doc), 2048)])
 
     for n in range(passes):

@@ -137,7 +137,11 @@ def _facts(texts: DataFrame, width: int, cut: tuple[int, int], bits: int) -> Dat
 
 
 def _regions(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarray) -> DataFrame:
-    """(h, sid, n, small): each set under the shingles of its prefix; small where it may be the smaller of two there."""
+    """(h, sid, n, small, own): each set under the shingles of its prefix; small where it may be the smaller of two there.
+
+    own: how many shingles of the prefix aren't hot. Of near copies, the one with the fewest has changed least; it is
+    in the regions of nearly all others, and the nearest to them.
+    """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(np.packbits(hot))
     size = len(hot)
@@ -157,11 +161,11 @@ def _regions(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarray
                 small, large = prefix_sizes(len(s), cut)
                 is_hot = late[(s & np.uint64(size - 1)).astype(np.int64)]
                 order = np.argsort(is_hot, kind="stable")[:large] if is_hot.any() else np.arange(large)
-                parts.append((s[order].view(np.int64), np.full(large, sid), np.full(large, len(s), np.int32), np.arange(large) < small))
+                parts.append((s[order].view(np.int64), np.full(large, sid), np.full(large, len(s), np.int32), np.arange(large) < small, np.full(large, large - is_hot[order].sum(), np.int32)))
             if parts:
-                yield pd.DataFrame(dict(zip(("h", "sid", "n", "small"), map(np.concatenate, zip(*parts)))))
+                yield pd.DataFrame(dict(zip(("h", "sid", "n", "small", "own"), map(np.concatenate, zip(*parts)))))
 
-    return texts.mapInPandas(run, "h long, sid long, n int, small boolean").groupBy("h", "sid").agg(F.max("n").alias("n"), F.max("small").alias("small"))
+    return texts.mapInPandas(run, "h long, sid long, n int, small boolean, own int").groupBy("h", "sid").agg(F.max("n").alias("n"), F.max("small").alias("small"), F.max("own").alias("own"))
 
 
 def _sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -235,7 +239,7 @@ def _links(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, c
         else:
             now = now.withColumn("c", F.col("sid"))
             outside = now
-        pivots = outside.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("sid")))
+        pivots = outside.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("own", "sid")))
         if many:
             pivots = pivots.filter(F.col("r") <= many)
         pivots = materialise(pivots.select("h", F.col("sid").alias("ps"), F.col("n").alias("pn"), F.col("small").alias("p_small"), F.col("c").alias("pc")), "pivots")

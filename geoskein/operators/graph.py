@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from geoskein.kernel import nearest as K
 from geoskein.sources.scratch import materialise
 
 
@@ -95,16 +98,48 @@ def prune(lines: DataFrame, group: str, cost: str, cutoff: float, target: int |
 
 
 def nearest(points: DataFrame, others: DataFrame, group: str) -> DataFrame:
-    """The nearest other of each point within its group, ties to the smaller id. points: (group, id, x, y)."""
-    o = others.select(group, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    j = points.join(o, group).withColumn("d2", d)
-    return j.groupBy(group, "id").agg(F.min(F.struct("d2", "other")).alias("m")).select(group, "id", F.col("m.other").alias("other"), F.sqrt("m.d2").alias("distance"))
-
-
-def farthest_pair(points: DataFrame, group: str) -> DataFrame:
-    """The two most distant points of each group, ties to the smaller ids."""
-    o = points.select(group, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    j = points.join(o, group).filter("id < other").withColumn("d2", d)
-    return j.groupBy(group).agg(F.min(F.struct((-F.col("d2")).alias("n"), "id", "other")).alias("m")).select(group, F.col("m.id").alias("a"), F.col("m.other").alias("b"), F.sqrt(-F.col("m.n")).alias("distance"))
+    """The nearest other of each point within its group, ties to the smaller id. points: (group, id, x, y).
+
+    A group is one task's work and no pairs leave it. Points without coordinates count for nothing.
+    """
+    names = [group, "id", "other", "distance"]
+
+    def run(own: pd.DataFrame, their: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(their):
+            return pd.DataFrame(columns=names)
+        other, d2 = K.nearest(own.x.to_numpy(float), own.y.to_numpy(float), their.ox.to_numpy(float), their.oy.to_numpy(float), their.other.to_numpy())
+        return pd.DataFrame({group: own.a_group, "id": own["id"], "other": other, "distance": np.sqrt(d2)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    given = f"`{group}` is not null and x is not null and y is not null"
+    a = points.filter(given).select(F.col(group).alias("a_group"), "id", "x", "y")
+    # other names: sides of one origin lose columns of one name
+    b = others.filter(given).select(F.col(group).alias("b_group"), F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    schema = f"`{group}` {kinds[group]}, id {kinds['id']}, other {dict(others.dtypes)['id']}, distance double"
+    return a.groupBy("a_group").cogroup(b.groupBy("b_group")).applyInPandas(run, schema)
+
+
+def farthest_pair(points: DataFrame, group: str, parts: int = 64) -> DataFrame:
+    """The two most distant points of each group, ties to the smaller ids.
+
+    Both are corners of the group's convex hull, which is that of the hulls of its parts; no pairs leave a task. Points
+    without coordinates count for nothing.
+    """
+    kinds = dict(points.dtypes)
+    schema = f"`{group}` {kinds[group]}, id {kinds['id']}, x double, y double"
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        # the first two ids stay, for groups whose points are all at one place
+        keep = np.union1d(K.hull(pdf.x.to_numpy(float), pdf.y.to_numpy(float)), np.arange(min(2, len(pdf))))
+        return pdf.loc[keep, [group, "id", "x", "y"]]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < 2:
+            return pd.DataFrame(columns=[group, "a", "b", "distance"])
+        a, b, d2 = K.farthest(pdf.x.to_numpy(float), pdf.y.to_numpy(float), pdf["id"].to_numpy())
+        return pd.DataFrame({group: pdf[group].iloc[:1], "a": a, "b": b, "distance": d2**0.5})
+
+    rows = points.select(group, "id", "x", "y").filter(f"`{group}` is not null and x is not null and y is not null")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy(group, "part").applyInPandas(corners, schema)
+    return rows.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, a {kinds['id']}, b {kinds['id']}, distance double")

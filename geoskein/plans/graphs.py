@@ -109,14 +109,15 @@ def prune_to_target(spark, sf_dir):
 
 
 def _points(spark, sf_dir):
-    return D.points3d(spark, sf_dir).filter("vec_id < 200").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), "x", "y")
+    """Every point by its label. The SQL of nearest_stub and farthest_pair takes those below 200 only."""
+    return D.points3d(spark, sf_dir).select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), "x", "y")
 
 
 @query("nearest_stub", D.with_sql("pt") + """ SELECT a.label AS grp, a.vec_id AS id, arg_min(b.vec_id, d) AS other, round(sqrt(min(d)), 6) AS distance FROM
   (SELECT a.label, a.vec_id AS av, b.vec_id AS bv, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM pt a JOIN pt b ON a.label = b.label AND b.vec_id >= 100 AND a.vec_id < 100 AND b.vec_id < 200) q(label, av, bv, d)
   JOIN pt a ON a.vec_id = q.av JOIN pt b ON b.vec_id = q.bv GROUP BY a.label, a.vec_id""")
 def nearest_stub(spark, sf_dir):
-    p = _points(spark, sf_dir)
+    p = _points(spark, sf_dir).filter("id < 200")
     return G.nearest(p.filter("id < 100"), p.filter("id >= 100"), "grp").select("grp", "id", "other", F.round("distance", 6).alias("distance"))
 
 
@@ -124,4 +125,17 @@ def nearest_stub(spark, sf_dir):
   FROM pt a JOIN pt b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id < 200
   QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) DESC, a.vec_id, b.vec_id) = 1""")
 def farthest_pair(spark, sf_dir):
+    return G.farthest_pair(_points(spark, sf_dir).filter("id < 200"), "grp").select("grp", "a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query("all_nearest_stub")
+def all_nearest_stub(spark, sf_dir):
+    """The nearest of the later half of all points for each of the earlier half, by ids."""
+    p = _points(spark, sf_dir)
+    half = p.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0] // 2
+    return G.nearest(p.filter(F.col("id") < half), p.filter(F.col("id") >= half), "grp").select("grp", "id", "other", F.round("distance", 6).alias("distance"))
+
+
+@query("all_farthest_pair")
+def all_farthest_pair(spark, sf_dir):
     return G.farthest_pair(_points(spark, sf_dir), "grp").select("grp", "a", "b", F.round("distance", 6).alias("distance"))

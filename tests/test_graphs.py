@@ -57,3 +57,32 @@ def test_nation_graph_of_all_suppliers(spark, suppliers):
     longest = sorted((-c, a, b) for (a, b), c in paths.items() if a < b)[:10]
     assert [r.cost for r in sorted(run("all_longest_shortest_path"), key=lambda r: r.place)] == pytest.approx([-c for c, _, _ in longest])
     assert {(r.lo, r.hi) for r in run("all_forbidden_edges")} == {e for e in edges if degree[e[0]] <= 4 and degree[e[1]] <= 4}
+
+
+def test_nearest_and_farthest_of_all_points(spark, tmp_path):
+    r = np.random.default_rng(6)
+    # a grid with many ties, two far clusters, one place, and a cloud
+    at = [(k % 25, k // 25 % 17) for k in range(600)], r.normal(0, 1, (600, 2)) + np.where(np.arange(600)[:, None] < 400, 0, 1e4), [(1.5, 2.5)] * 7, r.normal(0, 9, (500, 2))
+    rows = [(0, label, [float(np.float32(x)), float(np.float32(y)), 0.0]) for label, own in enumerate(at) for x, y in own]
+    rows = [(int(k), *row[1:]) for k, row in zip(r.permutation(len(rows)), rows)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    half = len(rows) // 2
+    near, pairs = {}, {}
+    for label in range(len(at)):
+        own = sorted((i, *e[:2]) for i, g, e in rows if g == label)
+        d2 = lambda a, b: (a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2])
+        for a in own:
+            if a[0] < half:
+                near[label, a[0]] = min((d2(a, b), b[0]) for b in own if b[0] >= half)
+        pairs[label] = min((-d2(a, b), a[0], b[0]) for k, a in enumerate(own) for b in own[k + 1 :])
+    got = {(x.grp, x.id): (x.distance, x.other) for x in entry.queries()["all_nearest_stub"](spark, str(tmp_path)).collect()}
+    assert got == {k: (pytest.approx(d**0.5, abs=1e-6), i) for k, (d, i) in near.items()}
+    got = {x.grp: (x.distance, x.a, x.b) for x in entry.queries()["all_farthest_pair"](spark, str(tmp_path)).collect()}
+    assert got == {k: (pytest.approx((-d) ** 0.5, abs=1e-6), a, b) for k, (d, a, b) in pairs.items()}
+
+
+def test_no_pairs_leave_a_task(spark):
+    p = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 3.0, 4.0)], "grp int, id long, x double, y double")
+    for df in (G.nearest(p, p, "grp"), G.farthest_pair(p, "grp")):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(x) for x in G.farthest_pair(p, "grp").collect()] == [(1, 1, 2, 5.0)]

@@ -271,8 +271,9 @@ class Model:
         return (1 - self.unseen) * (0.95 * own + 0.05 * counts.sum(axis=1, keepdims=True) / self.total)
 
     def word_logs(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        pieces = self.unseen * np.exp(np.maximum(-700.0, self.lattice.log_probabilities(words)))
-        return np.log(np.maximum(self.seen(counts) + pieces[:, None], 1e-300))
+        pieces = math.log(self.unseen) + self.lattice.log_probabilities(words)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(self.seen(counts)), pieces[:, None])
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts.sum(axis=1) + 0.5) - self.base_floor

@@ -92,3 +92,25 @@ def test_words_of_a_class_sum_to_one_at_most():
     m = lm.Model(lattice, np.array([60, 40]), np.array([10, 5]), 4, 2)
     seen = m.seen(np.array([[30, 5], [20, 30], [10, 5]]))
     assert np.allclose(seen.sum(axis=0) + m.unseen, 1)
+
+
+def test_long_unseen_words_keep_their_log_probability():
+    lattice = lm.Lattice(vocabulary(PATH))
+    m = lm.Model(lattice, np.array([60, 40]), np.array([10, 5]), 4, 2)
+    words = [b"q" * 40, b"/x7Kq" * 100, "日本ßé".encode() * 200, b"new" + b"x" * 3000]
+    got = m.word_logs(words, np.zeros((len(words), 2), np.int64))
+    for w, logs in zip(words, got):
+        assert logs == pytest.approx(math.log(m.unseen) + lattice.log_probability(w), rel=1e-9)
+    assert got[-1].max() < -1000
+    # seen words as before
+    counts = np.array([[30, 5]])
+    assert m.word_logs([b"the"], counts) == pytest.approx(np.log(m.seen(counts) + m.unseen * math.exp(lattice.log_probability(b"the"))))
+
+
+def test_score_of_a_document_with_a_long_unseen_word(spark):
+    word = "new" + "x" * 3000
+    # only held-out rows hold the words
+    held = [k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 5 == 1][:2]
+    docs = spark.createDataFrame([(k, "the lake", "en") for k in range(20)] + [(held[0], word, "en"), (held[1], word + "x" * 500, "en")], "doc_id long, text string, lang string")
+    one, two = (lm.scored(docs, PATH).filter(f"doc_id = {k}").first().score for k in held)
+    assert two < one - 100

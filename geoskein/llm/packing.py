@@ -48,7 +48,8 @@ def ranks(vocab: dict[str, int], merges: list) -> dict[bytes, int]:
 
 
 class Tokens:
-    """Ids of texts by a byte-level BPE tokenizer file; strings of special tokens are ordinary text.
+    """Ids of texts by a byte-level BPE tokenizer file. Where encode_special_tokens is set, as in the tokenizers library,
+    strings of special tokens are ordinary text; else texts are cut at the file's added tokens, which have their own ids.
 
     The words of a text are encoded on their own, each with the space before it, and remembered: a pre-token never
     reaches from a character that isn't white space over the next white space, and where no two white spaces meet,
@@ -56,11 +57,17 @@ class Tokens:
     in tiktoken, which gives the same ids in less time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        added = [t for t in file.get("added_tokens") or [] if not (encode_special_tokens and t["special"])]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that strip or match whole words only aren't supported")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added if t["content"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         merged = ranks(model["vocab"], model["merges"])
         self.sizes = np.zeros(max(merged.values()) + 1, np.int64)
         self.sizes[list(merged.values())] = [len(t) for t in merged]
@@ -82,7 +89,16 @@ class Tokens:
                 start = end
 
     def packed_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit numbers. Texts with neighbouring white spaces are encoded whole."""
+        """The ids of each text as unsigned 32-bit numbers."""
+        if not self.cut:
+            return self._packed(texts)
+        found = [self.cut.split(t) if any(a in t for a in self.added) else [t] for t in texts]
+        # every second part is an added token; empty parts have no ids
+        made = iter(self._packed([part for own in found for part in own[::2]]))
+        return [b"".join(self.added[part] if k % 2 else next(made) for k, part in enumerate(own)) for own in found]
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        """packed_batch() of texts without added tokens. Texts with neighbouring white spaces are encoded whole."""
         plain = [bool(t) and not (_ODD.search(t) or t[0].isspace() or t[-1].isspace()) for t in texts]
         units = [t.split(" ") if fine else None for t, fine in zip(texts, plain, strict=True)]
         self.learn({u for own in units if own for u in own[1:]})
@@ -95,13 +111,13 @@ class Tokens:
         return out
 
 
-_LOADED: dict[str, Tokens] = {}
+_LOADED: dict[tuple[str, bool], Tokens] = {}
 
 
-def tokens(path: str) -> Tokens:
-    if path not in _LOADED:
-        _LOADED[path] = Tokens(path)
-    return _LOADED[path]
+def tokens(path: str, encode_special_tokens: bool = True) -> Tokens:
+    if (path, encode_special_tokens) not in _LOADED:
+        _LOADED[path, encode_special_tokens] = Tokens(path, encode_special_tokens)
+    return _LOADED[path, encode_special_tokens]
 
 
 def cuts(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -110,7 +126,7 @@ def cuts(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return ([(0, over)] if over else []) + [(at, size) for at in range(over, n, size)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_ids: bool = False, encode_special_tokens: bool = True) -> DataFrame:
     """(id, item, piece, start, length, ids_crc32[, ids]): the pieces of every document, an end token after each.
 
     Null and empty texts give one piece of the end token alone. A null id stays null. `item` numbers the pieces
@@ -131,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         yield from own.packed_batch(held)
 
     def cut(batches):
-        own, item = tokens(tokenizer), TaskContext.get().partitionId() << 36
+        own, item = tokens(tokenizer, encode_special_tokens), TaskContext.get().partitionId() << 36
         for batch in batches:
             names = ["id", "item", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
             cols = [[] for _ in names]
@@ -237,8 +253,8 @@ def pack(items: DataFrame, size: int = SIZE, group_items: int = GROUP_ITEMS, rou
     return out.select("item", "sequence_id", "offset")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, encode_special_tokens: bool = True) -> DataFrame:
     """Every piece with its place: (id, piece, start, length, ids_crc32, sequence_id, offset[, ids])."""
-    own = materialise(pieces(docs, tokenizer, id_col, text_col, with_ids=with_ids), "pieces")
+    own = materialise(pieces(docs, tokenizer, id_col, text_col, with_ids=with_ids, encode_special_tokens=encode_special_tokens), "pieces")
     placed = pack(own.select("item", "length"))
     return own.join(placed, "item").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)

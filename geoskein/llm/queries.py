@@ -20,7 +20,7 @@ ORACLE_SQL["op4_exact_dedup"] = exact_dedup.SQL
 
 
 def op5_best_fit_packing(spark, sf_dir):
-    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)
 
 
 QUERIES["op5_best_fit_packing"] = op5_best_fit_packing

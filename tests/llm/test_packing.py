@@ -89,3 +89,24 @@ def test_exchange_between_groups_saves_bins(spark):
     alone, exchanged = (packing.pack(items, group_items=40, rounds=r).select("sequence_id").distinct().count() for r in (0, 3))
     bound = packing.lower_bound(np.array([300 + k % 500 for k in range(400)]))
     assert bound <= exchanged <= alone
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|>y z", "  <|endoftext|>  ", "<|endoftext", "a  b\n<|endoftext|>\n\nété <|endoftext|>"]
+
+
+@pytest.mark.parametrize("text", [*SPECIAL, *[t for t in TEXTS if t]])
+def test_ids_are_those_of_the_library_at_its_defaults(text):
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.tokens(PATH, False).packed_batch([text])[0], np.uint32).tolist() == want
+
+
+def test_query_and_pipeline_cut_at_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from geoskein.llm import queries
+
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plain = Tokenizer.from_file(PATH)
+    want = {k: zlib.crc32(np.array(plain.encode(t, add_special_tokens=False).ids + [packing.END], "<u4").tobytes()) for k, t in enumerate(SPECIAL)}
+    for df in (queries.op5_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.ids_crc32 for r in df.collect()} == want

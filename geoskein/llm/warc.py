@@ -26,8 +26,10 @@ SCHEMA = "record_id string, rec_type string, target_uri string, warc_date string
 FETCHED = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 _CRLF = b"\r\n"
+#: What a head may hold: blanks, comments, whole elements, and start or end tags alone. It ends at anything else.
+_IN_HEAD = r"\s++|<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\3\s*>|\Z)|<(title|template|noscript)\b[^>]*>.*?</\4\s*>|</?(?:meta|link|base|title|template|noscript|script|style)\b[^>]*>|<[!?][^>]*>"
 #: Elements whose content is no text, and those that end a line. Fixed values.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(template|noscript)\b[^>]*>.*?</\2\s*>|<head\b[^>]*>(?:{_IN_HEAD})*+(?:</head\s*>)?", re.S | re.I)
 _BLOCK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|blockquote|pre|hr|title|body|html|form|dl|dt|dd|figure|figcaption)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>?")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)

@@ -72,3 +72,15 @@ def test_frames(spark):
     blob = b"".join(bytes(r.bytes) for r in warc.files(derived).collect())
     assert len(warc.parsed(blob)) == 10
     assert warc.page_derivatives(pages.limit(0)).count() == 0
+
+
+def test_unclosed_heads_and_templates_hide_no_body():
+    head = '<html><head><meta charset="utf-8"><title>A</title><!-- <p> --><script>"<p></head>"</script><noscript><link></noscript>\n<style>p {}</style><link rel="x" href="y">'
+    for rest in ("<body><p>one</p>two</body></html>", "<p>one</p>two", "<div>one</div>two<header>", "</head><body><p>one</p>two", "</HEAD ><p>one<p>two", "one<p>two"):
+        assert warc.text_of(head + rest) == "one\ntwo"
+    assert warc.text_of("<head><title>A<body><p>one") == "A\none"
+    for name in ("noscript", "template"):
+        assert warc.text_of(f"<p>one<{name}>two</p><p>three") == "onetwo\nthree" and warc.text_of(f"<p>one<{name}>two</{name}></p><p>three") == "one\nthree"
+    assert warc.text_of("<header>one</header><p>two") == "one\ntwo"
+    conv = warc.derive(warc.response("http://x/", head + "<body>" + "word " * 50))[1]
+    assert conv["block"].decode().split() == ["word"] * 50

@@ -13,6 +13,10 @@ Within a region
      inequality no other can be within e. Sets near the border of the pivot's cell thus meet both sides of it;
   3. while a region holds several components, this recurs with more pivots, and at last with all that are left.
 
+That finds the components. All links are within components, so each set's links are counted there afterwards, in blocks
+of a component's sets: a task holds two blocks, counts the shingles their sets share by a product of matrices, and gives
+a number for each set, no pairs.
+
 Equal sets are one node, so copies cost nothing, and a region of near copies collapses in its first round. Links
 and components are tables; nothing but counts reaches the driver. A set is known by a 64-bit hash of its
 shingles; two sets with one hash would raise an error, not merge.
@@ -41,6 +45,8 @@ LEAST_BITS, MOST_BITS = 20, 26
 HOT_SETS = 200
 #: Shingles in a cell of a set's grid on average, at most; and ids that may be broadcast.
 CELL_LOAD, BROADCAST_IDS = 8, 1_000_000
+#: Shingles, and sets, of a block whose links are counted together; shingles laid out at once.
+BLOCK_SHINGLES, BLOCK_SETS, BLOCK_COLUMNS = 250_000, 1_000, 4_096
 _CACHE = 400_000
 #: Stands for a null id where texts are looked up.
 NO_ID = -(1 << 63)
@@ -216,8 +222,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _links(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, cut: tuple[int, int]) -> tuple[DataFrame | None, DataFrame | None]:
-    """All tested pairs that are linked (a, b), and the components (node, label) they make.
+def _labels(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, cut: tuple[int, int]) -> DataFrame | None:
+    """The components (node, label) of the linked sets; None where no two sets had to be compared.
 
     A tested pair has bounds lo and hi of its distance, equal where it was computed.
     """
@@ -276,16 +282,73 @@ def _links(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, c
             first = pivots.select("h", F.col("ps").alias("p1"))
         spent = union(spent, pivots.select("h", F.col("ps").alias("sid")))
         labels = components(tested.filter("linked"))
-    if tested is None:
-        return None, None
-    return tested.filter("linked").select("a", "b"), labels
+    return labels
+
+
+def block_links(sets: list[np.ndarray], others: list[np.ndarray] | None, cut: tuple[int, int] = CUT) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the others each set is linked with, and the reverse; without others, of the sets but itself."""
+    p, q = cut
+    both = sets if others is None else [*sets, *others]
+    sizes = np.array([len(s) for s in both], np.int64)
+    owner = np.repeat(np.arange(len(both)), sizes)
+    _, column, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    # what only one set holds is shared with none
+    common = times > 1
+    place = np.cumsum(common) - 1
+    kept = common[column]
+    owner, column = owner[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    n = len(sets)
+    shared = np.zeros((n, n if others is None else len(others)), np.int64)
+    for start in range(0, int(common.sum()), BLOCK_COLUMNS):
+        a, b = np.searchsorted(column, (start, start + BLOCK_COLUMNS))
+        has = np.zeros((len(both), BLOCK_COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - start] = 1
+        shared += (has[:n] @ (has if others is None else has[n:]).T).astype(np.int64)
+    union = sizes[:n, None] + (sizes if others is None else sizes[n:]) - shared
+    linked = q * shared >= p * union
+    if others is None:
+        np.fill_diagonal(linked, False)
+    return linked.sum(axis=1), linked.sum(axis=0)
+
+
+def _degrees(labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, cut: tuple[int, int]) -> DataFrame:
+    """(sid, n_links) of every set of a component. Two sets alone have one link; others are counted in blocks."""
+    of = labels.select(F.col("node").alias("sid"), "label").join(nodes.select("sid", "n", "class_id"), "sid")
+    sizes = of.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    of = materialise(of.join(sizes.select("label", "k", blocks.alias("blocks")), "label"), "of")
+    more = of.filter("k > 2")
+    sets = _sets(texts, width, more.select(F.coalesce("class_id", F.lit(NO_ID)).alias("id"), "sid"))
+    own = more.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    # a block meets itself and every other one once
+    own = own.select("sid", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    own = own.select("sid", "label", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        first = (pdf.block == i).to_numpy()
+        made = [np.asarray(x, np.int64) for x in pdf.shingles]
+        if i == j:
+            return pd.DataFrame({"sid": pdf.sid, "n_links": block_links(made, None, cut)[0]})
+        a, b = [x for x, f in zip(made, first) if f], [x for x, f in zip(made, first) if not f]
+        if not a or not b:
+            return pd.DataFrame({"sid": pdf.sid, "n_links": 0})
+        one, two = block_links(a, b, cut)
+        return pd.DataFrame({"sid": np.concatenate([pdf.sid.to_numpy()[first], pdf.sid.to_numpy()[~first]]), "n_links": np.concatenate([one, two])})
+
+    counted = own.join(sets, "sid").groupBy("label", "i", "j").applyInPandas(count, "sid long, n_links long")
+    pairs = of.filter("k = 2").select("sid", F.lit(1).cast("long").alias("n_links"))
+    return counted.groupBy("sid").agg(F.sum("n_links").alias("n_links")).unionByName(pairs)
+
+
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, cut: tuple[int, int] = CUT) -> DataFrame:
     """(id, n_shingles, component_id, class_id, n_links) for every row.
 
-    class_id: the smallest id with an equal set; n_links: how many other sets its set is linked with among the pairs
-    that had to be compared; component_id: the smallest id reachable by links. A document without words, or with
+    class_id: the smallest id with an equal set; n_links: how many other sets its set is linked with; component_id: the smallest id reachable by links. A document without words, or with
     null text, has no shingles and is linked with nothing. Null ids are larger than all others; repeated rows
     each have their row. Empty in, empty out.
     """
@@ -305,11 +368,11 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     members = _regions(texts, width, cut, hot)
     members = materialise(members.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("k > 1").drop("k"), "members")
     keyed = texts.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    links, labels = _links(members, nodes, keyed, width, cut)
+    labels = _labels(members, nodes, keyed, width, cut)
+    degree = None if labels is None else _degrees(labels, nodes, keyed, width, cut)
     nodes = nodes.select("sid", "class_id")
     named = nodes
-    if links is not None:
-        degree = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+    if labels is not None:
         labelled = nodes.join(labels.withColumnRenamed("node", "sid"), "sid")
         smallest = labelled.groupBy("label").agg(F.min("class_id").alias("component_id"))
         of = labelled.join(smallest, "label").select("sid", "component_id").join(degree, "sid", "left")

@@ -98,3 +98,26 @@ def test_grids_bound_the_difference():
         b = np.unique(np.concatenate([r.choice(a, int(r.integers(0, len(a) + 1)), replace=False), r.integers(0, 2**64, int(r.integers(0, 300)), dtype=np.uint64)]))
         if len(b):
             assert jj.grid_distance(jj.grid(a), jj.grid(b)) <= len(np.setxor1d(a, b))
+
+
+def plain_links(rows, width=4, p=85, q=100):
+    """Of every row: how many different sets its set is linked with."""
+    sets = [frozenset(s) for s in plain_sets(rows, width)]
+    distinct = {s for s in sets if s}
+    degree = {s: sum(t != s and q * len(s & t) >= p * len(s | t) for t in distinct) for s in distinct}
+    return sorted(((key, degree.get(s, 0)) for (key, _), s in zip(rows, sets)), key=str)
+
+
+@pytest.mark.parametrize("blocks", [1_000, 7])
+def test_links_equal_brute_force(spark, blocks, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_SETS", blocks)
+    monkeypatch.setattr(jj, "BLOCK_COLUMNS", 64)
+    r = np.random.default_rng(9)
+    base = [f"v{k}" for k in range(120)]
+    # mutually linked texts, a group where only some are, and copies
+    rows = [(1000 + k, " ".join([*base, f"end{k}"])) for k in range(30)]
+    rows += [(2000 + k, " ".join(f"u{j}" if r.random() < 0.99 else f"z{k}_{j}" for j in range(150))) for k in range(30)]
+    rows += [*corpus(0), (3000, rows[0][1]), (None, rows[1][1]), (3001, None), (3002, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((g.doc_id, g.n_links) for g in jj.joined(docs).collect()), key=str)
+    assert got == plain_links(rows) and dict(got)[1000] == 29

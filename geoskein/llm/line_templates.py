@@ -6,6 +6,10 @@ leaf's lines have there, and is `<*>` otherwise. A line that agrees with its lea
 words takes the leaf's template; another keeps itself, its fields masked, as its template. Lines whose template
 occurs in at least MIN_DOCS documents are dropped from all of them.
 
+With split, a leaf may hold several templates: what doesn't fit is parted by its words at one position, that where most
+lines have a word that not all have, each part has a template as the leaf had, and so on until all lines are placed
+or no part has a word in common that isn't common to all of it.
+
 Leaves are found from hashes alone; words are laid out by position only for leaves with several distinct lines,
 and counted by position with partial sums, so that no leaf is gathered in one place.
 """
@@ -35,7 +39,28 @@ def _key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
+def _placed_by_parts(rest: DataFrame, similar: float) -> DataFrame | None:
+    """(leaf, own, part) of the lines that fit a part of what is left of their leaves (leaf, own, n, masked, times)."""
+    found = None
+    now = rest.withColumn("part", _key(F.col("leaf"), F.lit("rest")))
+    while True:
+        many = now.groupBy("part").agg(F.count(F.lit(1)).alias("lines"), F.sum("times").alias("of")).filter("lines > 1")
+        now = materialise(now.drop("lines", "of").join(many, "part"), "parts")
+        if not now.limit(1).count():
+            return found
+        cells = now.select("leaf", "own", "part", "n", "times", "lines", "of", F.posexplode(F.split("masked", " ")).alias("at", "word"))
+        counted = materialise(cells.groupBy("part", "at", "word").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("k"), F.max("lines").alias("lines"), F.max("of").alias("of")).filter("k > 1 or 2 * times >= of"), "counted")
+        kept = counted.filter("2 * times >= of").groupBy("part", "at").agg(F.max_by("word", F.struct("times", "word")).alias("kept"))
+        same = F.sum(F.when(F.col("word") == F.col("kept"), 1).otherwise(0))
+        fit = cells.join(kept, ["part", "at"], "left").groupBy("leaf", "own", "part").agg((same >= F.lit(similar) * F.max("n")).alias("fits"))
+        fit = materialise(fit.filter("fits").select("leaf", "own", "part"), "fit")
+        found = fit if found is None else found.unionByName(fit)
+        best = counted.filter("k > 1 and k < lines").groupBy("part").agg(F.max_by("at", F.struct("k", -F.col("at"))).alias("at"))
+        left = now.join(fit, ["leaf", "own", "part"], "left_anti").join(best, "part")
+        now = left.withColumn("part", _key(F.col("part"), F.col("at"), F.element_at(F.split("masked", " "), F.col("at") + 1))).drop("at")
+
+
+def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, split: bool = False) -> DataFrame:
     """(id, line, template, docs, dropped) for every line that isn't blank; lines are numbered from 0, template by its hash.
 
     docs counts distinct ids, a null id as one more. Lines are what line feeds part. Blank lines are never dropped.
@@ -63,7 +88,10 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     )
     # a leaf's template is known by the leaf; a line of its own by the line
     placed = small.join(fit.filter("fits").select("leaf", "own", F.lit(True).alias("fits")), ["leaf", "own"], "left")
-    placed = placed.select("id", "line", F.when(F.col("fits"), F.col("leaf")).otherwise(F.col("own")).alias("template"), F.coalesce("fits", F.lit(False)).alias("shared"))
+    parts = _placed_by_parts(each.join(fit.filter("fits"), ["leaf", "own"], "left_anti").select("leaf", "own", "n", "masked", "times"), similar) if split else None
+    placed = placed.withColumn("part", F.lit(None).cast("long")) if parts is None else placed.join(parts, ["leaf", "own"], "left")
+    found = F.coalesce(F.when(F.col("fits"), F.col("leaf")), "part")
+    placed = placed.select("id", "line", F.coalesce(found, "own").alias("template"), found.isNotNull().alias("shared"))
     per_doc = placed.groupBy("template", "shared", "id").agg(F.count(F.lit(1)).alias("x"))
     spread = per_doc.groupBy("template", "shared").agg(F.count(F.lit(1)).alias("docs"))
     return placed.join(spread, ["template", "shared"]).select("id", "line", "template", "docs", (F.col("docs") >= min_docs).alias("dropped"))
@@ -84,9 +112,9 @@ def without_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.select(F.col("id").alias(id_col), F.array_join(left, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(left)).cast("long").alias("n_dropped"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text_sha256): without_templates() with a digest for its text."""
-    return without_templates(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return without_templates(docs, **options).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 SQL = r"""

@@ -78,6 +78,14 @@ QUERIES["op3_line_templates"] = op3_line_templates
 ORACLE_SQL["op3_line_templates"] = line_templates.SQL
 
 
+def op3_split_line_templates(spark, sf_dir):
+    """With several templates in a leaf, which the SQL of op3_line_templates doesn't have."""
+    return line_templates.digests(table(spark, sf_dir, "documents"), split=True)
+
+
+QUERIES["op3_split_line_templates"] = op3_split_line_templates
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 

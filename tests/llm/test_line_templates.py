@@ -57,3 +57,18 @@ def test_equals_loops(spark):
     # without Python anywhere
     plan = lt.without_templates(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_leaf_may_hold_several_families(spark):
+    names = "alice bob carol dave erin".split()
+    families = ["for all users {} must check in at the north gate", "for all users {} may not take part in our games", "for all users {} was seen by some guards last week"]
+    rows = [(3 * k + f, families[f].format(name)) for k, name in enumerate(names) for f in range(3)]
+    rows += [(100, "for all users one two three four five six seven"), (101, "for all users aa bb cc dd ee ff gg"), (102, "own line\nfor all users")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in lt.without_templates(docs, split=True).collect()}
+    assert all(got[k] == (1, "") for k in range(15)) and [got[k][0] for k in (100, 101, 102)] == [0, 0, 0]
+    # more lines of other kinds change nothing
+    more = docs.unionByName(docs.filter("doc_id = 100").selectExpr("explode(sequence(200, 240)) AS doc_id", "concat('for all users ', array_join(transform(sequence(1, 7), x -> concat(char(97 + x), char(97 + doc_id % 26), char(97 + doc_id div 26))), ' ')) AS text").selectExpr("cast(doc_id AS long) AS doc_id", "text"))
+    again = {r.doc_id: r.n_dropped for r in lt.without_templates(more, split=True).collect()}
+    assert all(again[k] == 1 for k in range(15))
+    assert lt.without_templates(docs.limit(0), split=True).count() == 0

@@ -86,16 +86,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, bi
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """The model of a bounded sample of labelled training documents; only their feature counts reach the driver."""
+    """The weights fitted on a bounded sample of labelled training documents, in one task; the driver gets them alone.
+
+    A document whose id stands on several rows is trained on once for each.
+    """
 
     def features(batches):
         for pdf in batches:
             made = [counted(t) for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "at": [m[0].astype(np.int32).tobytes() for m in made], "x": [m[1].tobytes() for m in made], "label": pdf.label})
 
+    def run(batches):
+        rows = sorted((r for pdf in batches for r in zip(pdf.doc_id, pdf.label, pdf["at"], pdf.x)))
+        yield pd.DataFrame({"weights": [fit([(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), int(y)) for _, y, at, x in rows]).tobytes()]})
+
     sample = labelled_sample(docs, labels, "quality", train_rows).mapInPandas(features, "doc_id long, at binary, x binary, label int")
-    rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.label))
-    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.x, np.float32), r.label) for r in rows])
+    made = sample.repartition(1).mapInPandas(run, "weights binary").collect()
+    return np.frombuffer(made[0].weights, np.float32) if made else fit([])
 
 
 def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

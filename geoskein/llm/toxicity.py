@@ -7,6 +7,7 @@ document is read whole in overlapping windows; its score is that of its most tox
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
 ORDERS = (3, 5, 7)
 #: Training documents that a word must occur in to have an embedding of its own.
 LEAST_DOCS = 4
-#: Labelled rows that the model is fitted on at most, and the longest text among them.
-TRAIN_ROWS, TRAIN_BYTES = 6000, 40_000
+#: Labelled rows that the model is fitted on at most, each with its whole text.
+TRAIN_ROWS = 6000
 CACHE = 150_000
 CHUNK_WORDS = 120_000
 PART_WORDS = 20_000
@@ -278,19 +279,34 @@ class Scorer:
         np.maximum.at(out, np.array(owner)[doc], found)
 
 
-def fit(texts: list[bytes], labels: list[int], passes: int = 7, batch: int = 256, rate: float = 0.01, seed: int = 3) -> dict | None:
+class Corpus:
+    """Training documents as runs of word numbers, in the order of their keys; texts aren't kept."""
+
+    def __init__(self):
+        self.words, self.rows = _Words(), []
+
+    def add(self, key: tuple, text: bytes, label: int) -> None:
+        self.rows.append((key, np.fromiter(map(self.words.__getitem__, text.lower().split()), np.int32), label))
+
+
+def fit(corpus: Corpus, passes: int = 7, batch: int = 256, rate: float = 0.01, seed: int = 3) -> dict | None:
     """A model by Adam on windows: first on windows drawn at random, then on each document's most toxic ones.
 
-    One document in five only calibrates the scores. None without both labels.
+    One document in five only calibrates the scores. None without both labels. Documents are numbered by their keys, so
+    the model doesn't depend on the order in which they came.
     """
-    y = np.array(labels, np.int64)
+    rows = sorted(corpus.rows, key=lambda r: (r[0], r[2], len(r[1])))
+    y = np.array([r[2] for r in rows], np.int64)
     if not 0 < y.sum() < len(y):
         return None
-    words = _Words()
-    runs = [np.fromiter(map(words.__getitem__, t.lower().split()), np.int32) for t in texts]
+    # words numbered in their own order: sums of gradients don't depend on the order of arrival either
+    seen = corpus.words.new or [b""]
+    by_word = sorted(range(len(seen)), key=seen.__getitem__)
+    number = np.empty(len(seen), np.int32)
+    number[by_word] = np.arange(len(seen), dtype=np.int32)
+    every, runs = [seen[k] for k in by_word], [number[r[1]] for r in rows]
     lengths = np.array([len(r) for r in runs], np.int64)
     flat = np.concatenate(runs)
-    every = words.new or [b""]
     aside = np.arange(len(y)) % 5 == 4
     vocab = vocabulary([{every[k] for k in np.unique(r)} for r, out in zip(runs, aside, strict=True) if not out])
     known = _features_in_parts(vocab, every)
@@ -348,11 +364,22 @@ def calibration(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.05, float(w[0])), float(w[1])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> dict | None:
-    """The model of at most train_rows labelled training documents of at most train_bytes bytes each."""
-    sample = labelled_sample(docs, labels, "toxic", train_rows).filter(F.octet_length("text") <= train_bytes)
-    rows = sorted(sample.select("doc_id", F.col("text").cast("binary").alias("text"), "label").collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.label))
-    return fit([bytes(r.text) for r in rows], [r.label for r in rows])
+def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:
+    """The model of at most train_rows labelled training documents, fitted in one task; the driver gets it alone.
+
+    A document whose id stands on several rows is trained on once for each. None without labels of both kinds.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        corpus = Corpus()
+        for pdf in batches:
+            for key, text, label in zip(pdf.doc_id, pdf.text, pdf.label):
+                corpus.add((xxhash.xxh64_intdigest(str(key)), key), bytes(text), int(label))
+        yield pd.DataFrame({"model": [pickle.dumps(fit(corpus))]})
+
+    sample = labelled_sample(docs, labels, "toxic", train_rows).select("doc_id", F.col("text").cast("binary").alias("text"), "label")
+    made = [r.model for r in sample.repartition(1).mapInPandas(run, "model binary").collect()]
+    return pickle.loads(made[0]) if made else None
 
 
 def scored(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:

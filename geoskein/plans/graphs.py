@@ -12,12 +12,9 @@ from geoskein.sources import derived as D
 
 CHAIN = "e AS (SELECT * FROM (SELECT s_suppkey AS lo, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS hi FROM supplier) WHERE hi IS NOT NULL)"
 NATION = """ne AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, min(c) AS cost FROM (SELECT s_nationkey AS a, lead(s_nationkey) OVER (ORDER BY s_suppkey) AS b,
-  abs(s_acctbal - lead(s_acctbal) OVER (ORDER BY s_suppkey)) AS c FROM supplier WHERE s_suppkey <= 60) WHERE b IS NOT NULL AND a <> b GROUP BY ALL)"""
+  abs(s_acctbal - lead(s_acctbal) OVER (ORDER BY s_suppkey)) AS c FROM supplier) WHERE b IS NOT NULL AND a <> b GROUP BY ALL)"""
 BOTH = "bo AS (SELECT lo AS a, hi AS b FROM {e} UNION ALL SELECT hi, lo FROM {e}), deg AS (SELECT a AS node, count(*) AS degree FROM bo GROUP BY a)"
 
-#: How many suppliers the SQL of the nation graph takes; the queries called all_ take every one and have no SQL.
-FIRST = 60
-
 
 def chains(spark, sf_dir):
     """Suppliers of a nation, each joined to the next."""
@@ -25,26 +22,24 @@ def chains(spark, sf_dir):
     return s.select(F.col("s_suppkey").alias("lo"), F.lead("s_suppkey").over(W.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("hi")).filter("hi IS NOT NULL")
 
 
-def nation_graph(spark, sf_dir, first: int | None = None):
-    """Nations of suppliers that follow each other, at the difference of their balances; among the first few only, if
-    that is given, as the SQL above does."""
+def nation_graph(spark, sf_dir):
+    """Nations of suppliers that follow each other, at the difference of their balances."""
     s = D.table(spark, sf_dir, "supplier")
-    s = s if first is None else s.filter(F.col("s_suppkey") <= first)
     t = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_nationkey").cast("long").alias("b"), F.col("s_acctbal").alias("c2"))
     j = s.select("s_suppkey", F.col("s_nationkey").cast("long").alias("a"), "s_acctbal").join(t, "s_suppkey").filter("a != b")
     return j.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.abs(F.col("s_acctbal") - F.col("c2"))).alias("cost"))
 
 
 @query("node_degree", "WITH " + NATION + ", " + BOTH.format(e="ne") + " SELECT node, degree, CASE degree WHEN 1 THEN 'stub' WHEN 2 THEN 'binode' WHEN 3 THEN 'hub' ELSE 'hyperhub' END AS kind FROM deg")
-def node_degree(spark, sf_dir, first=FIRST):
-    return G.degrees(nation_graph(spark, sf_dir, first))
+def node_degree(spark, sf_dir):
+    return G.degrees(nation_graph(spark, sf_dir))
 
 
 @query("describe_edges", "WITH " + NATION + ", " + BOTH.format(e="ne") + """ SELECT lo, hi, CASE WHEN least(p, q) = 1 AND greatest(p, q) = 1 THEN 'isolated' WHEN p = 2 AND q = 2 THEN 'link'
   WHEN least(p, q) >= 3 THEN 'interior' WHEN least(p, q) = 1 AND greatest(p, q) = 2 THEN 'tip' WHEN least(p, q) = 1 THEN 'marginal' ELSE 'spoke' END AS kind
   FROM (SELECT lo, hi, x.degree AS p, y.degree AS q FROM ne JOIN deg x ON x.node = lo JOIN deg y ON y.node = hi)""")
-def describe_edges(spark, sf_dir, first=FIRST):
-    return G.describe_edges(nation_graph(spark, sf_dir, first)).select("lo", "hi", "kind")
+def describe_edges(spark, sf_dir):
+    return G.describe_edges(nation_graph(spark, sf_dir)).select("lo", "hi", "kind")
 
 
 @query("components", "WITH " + CHAIN + """ SELECT n AS node, min(s2.s_suppkey) AS component FROM (SELECT lo AS n FROM e UNION SELECT hi FROM e)
@@ -62,40 +57,27 @@ PATHS = PATHS.replace("SELECT round + 1, source, node, min(cost) FROM (SELECT r.
 
 
 @query("shortest_paths", PATHS + " SELECT source, node, round(cost, 4) AS cost FROM sp")
-def shortest_paths(spark, sf_dir, first=FIRST):
-    e = nation_graph(spark, sf_dir, first)
+def shortest_paths(spark, sf_dir):
+    e = nation_graph(spark, sf_dir)
     p = G.shortest_paths(e, G.degrees(e).select("node"))
     return p.select("source", "node", F.round("cost", 4).alias("cost"))
 
 
 @query("longest_shortest_path", PATHS + " SELECT source, node, round(cost, 4) AS cost, row_number() OVER (ORDER BY cost DESC, source, node) AS place FROM sp WHERE source < node QUALIFY place <= 10")
-def longest_shortest_path(spark, sf_dir, first=FIRST):
+def longest_shortest_path(spark, sf_dir):
     """Candidate trunks: least-cost paths, the longest first."""
-    e = nation_graph(spark, sf_dir, first)
+    e = nation_graph(spark, sf_dir)
     p = G.shortest_paths(e, G.degrees(e).select("node")).filter("source < node")
     top = p.orderBy(F.desc("cost"), "source", "node").limit(10)
     return top.select("source", "node", F.round("cost", 4).alias("cost"), F.row_number().over(W.orderBy(F.desc("cost"), "source", "node")).cast("long").alias("place"))
 
 
 @query("forbidden_edges", "WITH " + NATION + ", " + BOTH.format(e="ne") + " SELECT lo, hi, round(cost, 4) AS cost FROM ne WHERE lo NOT IN (SELECT node FROM deg WHERE degree > 4) AND hi NOT IN (SELECT node FROM deg WHERE degree > 4)")
-def forbidden_edges(spark, sf_dir, first=FIRST):
-    e = nation_graph(spark, sf_dir, first)
+def forbidden_edges(spark, sf_dir):
+    e = nation_graph(spark, sf_dir)
     return G.without_nodes(e, G.degrees(e).filter("degree > 4")).select("lo", "hi", F.round("cost", 4).alias("cost"))
 
 
-def _over_all(of):
-    """The query of a nation graph, over all suppliers."""
-
-    def run(spark, sf_dir):
-        return of(spark, sf_dir, first=None)
-
-    return run
-
-
-for _of in (node_degree, describe_edges, shortest_paths, longest_shortest_path, forbidden_edges):
-    query(f"all_{_of.__name__}")(_over_all(_of))
-
-
 @query("prune_rank", """SELECT s_nationkey AS grp, s_suppkey AS line_id, s_acctbal < 4000 AND row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) <= 2 AS pruned FROM supplier""")
 def prune_rank(spark, sf_dir):
     s = D.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("line_id"), "s_acctbal")
@@ -109,33 +91,22 @@ def prune_to_target(spark, sf_dir):
 
 
 def _points(spark, sf_dir):
-    """Every point by its label. The SQL of nearest_stub and farthest_pair takes those below 200 only."""
+    """Every point by its label."""
     return D.points3d(spark, sf_dir).select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), "x", "y")
 
 
-@query("nearest_stub", D.with_sql("pt") + """ SELECT a.label AS grp, a.vec_id AS id, arg_min(b.vec_id, d) AS other, round(sqrt(min(d)), 6) AS distance FROM
-  (SELECT a.label, a.vec_id AS av, b.vec_id AS bv, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM pt a JOIN pt b ON a.label = b.label AND b.vec_id >= 100 AND a.vec_id < 100 AND b.vec_id < 200) q(label, av, bv, d)
-  JOIN pt a ON a.vec_id = q.av JOIN pt b ON b.vec_id = q.bv GROUP BY a.label, a.vec_id""")
+@query("nearest_stub", D.with_sql("pt") + """ SELECT grp, id, arg_min(other, struct_pack(d, other)) AS other, round(sqrt(min(d)), 6) AS distance FROM
+  (SELECT a.label AS grp, a.vec_id AS id, b.vec_id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM pt a JOIN pt b ON a.label = b.label
+   WHERE a.vec_id < (SELECT (max(vec_id) + 1) // 2 FROM pt) AND b.vec_id >= (SELECT (max(vec_id) + 1) // 2 FROM pt)) GROUP BY grp, id""")
 def nearest_stub(spark, sf_dir):
-    p = _points(spark, sf_dir).filter("id < 200")
-    return G.nearest(p.filter("id < 100"), p.filter("id >= 100"), "grp").select("grp", "id", "other", F.round("distance", 6).alias("distance"))
-
-
-@query("farthest_pair", D.with_sql("pt") + """ SELECT a.label AS grp, a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance
-  FROM pt a JOIN pt b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id < 200
-  QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) DESC, a.vec_id, b.vec_id) = 1""")
-def farthest_pair(spark, sf_dir):
-    return G.farthest_pair(_points(spark, sf_dir).filter("id < 200"), "grp").select("grp", "a", "b", F.round("distance", 6).alias("distance"))
-
-
-@query("all_nearest_stub")
-def all_nearest_stub(spark, sf_dir):
     """The nearest of the later half of all points for each of the earlier half, by ids."""
     p = _points(spark, sf_dir)
     half = p.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0] // 2
     return G.nearest(p.filter(F.col("id") < half), p.filter(F.col("id") >= half), "grp").select("grp", "id", "other", F.round("distance", 6).alias("distance"))
 
 
-@query("all_farthest_pair")
-def all_farthest_pair(spark, sf_dir):
+@query("farthest_pair", D.with_sql("pt") + """ SELECT a.label AS grp, a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance
+  FROM pt a JOIN pt b ON a.label = b.label AND a.vec_id < b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) DESC, a.vec_id, b.vec_id) = 1""")
+def farthest_pair(spark, sf_dir):
     return G.farthest_pair(_points(spark, sf_dir), "grp").select("grp", "a", "b", F.round("distance", 6).alias("distance"))

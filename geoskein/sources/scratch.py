@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
+    """spark.checkpoint.dir; where it is unset a temporary folder, if one machine runs all tasks, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="geoskein-geo-")

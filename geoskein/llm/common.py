@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoskein.sources.scratch import materialise as materialise
+
 #: ASCII white space, the only separators of words in every contract here.
 SPACES = r"[\x20\x09-\x0D]+"
-_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="geoskein-")
-    return f"file://{_OWN[app]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: its lineage ends there, whatever executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(id_column: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5

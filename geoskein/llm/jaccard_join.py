@@ -1,53 +1,59 @@
-"""Exact Jaccard self-join of word-shingle sets, by pivots and the triangle inequality, and its components.
-
-1 - Jaccard is a metric. Nearly all documents of a corpus are at distance 1 from one another, where no choice of
-pivots separates them, so ground regions come first: sets that can be linked share a shingle within the first
-few of each in one global order (prefix filter; shingles that are hot in the prefixes come last in that order).
-Within a region
-
-  1. a pivot's distance to every other set is computed exactly; what is within the threshold e joins its component;
-     (the shingle counts of two sets in the cells of a fixed grid differ by no more than the sets do, which settles
-     most pairs that are far apart without their shingles);
-  2. sets of the pivot's component need no comparison with each other. Each set outside becomes a pivot itself, and
-     meets those sets only whose distance to the first pivot differs from its own by e at most: by the triangle
-     inequality no other can be within e. Sets near the border of the pivot's cell thus meet both sides of it;
-  3. while a region holds several components, this recurs with more pivots, and at last with all that are left.
-
-That finds the components. All links are within components, so each set's links are counted there afterwards, in blocks
-of a component's sets: a task holds two blocks, counts the shingles their sets share by a product of matrices, and gives
-a number for each set, no pairs.
-
-Equal sets are one node, so copies cost nothing, and a region of near copies collapses in its first round. Links
-and components are tables; nothing but counts reaches the driver. A set is known by a 64-bit hash of its
-shingles; two sets with one hash would raise an error, not merge.
+"""Exact Jaccard self-join of word-shingle sets by Voronoi regions, with its components and each set's number of links.
+
+1 - Jaccard is a metric, and sets are linked when they are within e of one another.
+
+  1. Ground regions. Nearly all documents of a corpus are at distance 1 from all others, where no pivot separates
+     anything. Sets that can be linked share a shingle within the first few of each in one global order (prefix filter;
+     shingles that are frequent in the prefixes come last in it). Of the sets with such a shingle the one with the fewest
+     rare shingles is the shingle's pivot, and a pivot's region holds all sets that share one of its shingles. A pair is
+     judged in the region of its smallest common pivot alone. Counts of a set's shingles in the cells of a fixed grid
+     bound distances from below, and what has no partner by that bound leaves the region.
+  2. A region of more than LEAF sets is divided. PIVOTS of its sets are drawn, all distances to them are computed,
+     and each set goes to the Voronoi cell of its nearest one; a set that is NEAR none goes to one further cell. Let c be
+     the pivot of x, and y be linked with x. By the triangle inequality d(y, c) <= d(y, c') + 2e with c' the pivot of y,
+     and d(y, c) <= NEAR + e if y is near none. Sets within these windows are replicated to the cell of c, and
+     so each pair is judged in one cell: in the one that holds both as their own, else in that of the set near a pivot, else
+     in that of the smaller set. Cells that are still large are divided in turn, with new pivots.
+  3. A region where division doesn't help (all its sets are near to each other, or none is near a pivot) is laid out in
+     blocks by the distance to one pivot; only blocks whose distances differ by e at most meet.
+  4. Within a leaf, or two blocks, shared shingles are counted by products of matrices in one task. A task gives for each
+     set the number of its links and one edge of a spanning forest of the links, no pairs.
+
+Equal sets are one node, so copies cost nothing. Links and components are tables; nothing but counts, and frequent
+shingles up to a fixed number, reaches the driver. A set is known by a 64-bit hash of its shingles; two sets with one hash
+would raise an error, not merge.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from geoskein.llm.common import materialise
+from geoskein.operators.graph import components
 
 WIDTH = 4
 #: Linked when CUT[1] * intersection >= CUT[0] * union.
 CUT = (85, 100)
-#: Pivots of a region by round; None: all sets outside its largest component.
-PIVOTS = (1, 16, 256, None)
-#: The table of prefix counts that finds hot shingles has 2^bits cells, by the size of the input.
-LEAST_BITS, MOST_BITS = 20, 26
-HOT_SETS = 200
-#: Shingles in a cell of a set's grid on average, at most; and ids that may be broadcast.
-CELL_LOAD, BROADCAST_IDS = 8, 1_000_000
-#: Shingles, and sets, of a block whose links are counted together; shingles laid out at once.
-BLOCK_SHINGLES, BLOCK_SETS, BLOCK_COLUMNS = 250_000, 1_000, 4_096
-_CACHE = 400_000
+#: A shingle in the prefixes of so many sets is frequent; at most so many of them, the most frequent, come last in
+#: the global order, by a table of 2^HOT_BITS bits. This touches costs alone, not results.
+HOT_SETS, MOST_HOT, HOT_BITS = 100, 200_000, 22
+#: Sets of a region that one task judges whole; pivots of a larger one; sets nearer than this may make a cell.
+LEAF, PIVOTS, NEAR = 256, 16, 0.5
+#: A division must leave fewer than DENSE rows for each set, and no cell with more than MOST of the sets.
+DENSE, MOST = 1.5, 0.8
+#: Sets, and shingles, of a block; columns of a matrix; pairs and shingles that a task looks at together.
+BLOCK_SETS, BLOCK_SHINGLES, BLOCK_COLUMNS = 3_000, 2_000_000, 1_024
+CHUNK_PAIRS, CHUNK_BYTES = 200_000, 24_000_000
+#: Shingles in a cell of a set's grid at most, and least cells of a grid; ids that may be broadcast.
+CELL_LOAD, LEAST_BITS, BROADCAST_IDS = 40, 6, 1_000_000
+_CACHE, _SEEN, _COUNTED = 300_000, 200_000, 2_000_000
 #: Stands for a null id where texts are looked up.
 NO_ID = -(1 << 63)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -64,18 +70,31 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct runs of `width` words; of all words where there are fewer; none without words."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    width, start = min(width, len(w)), np.uint64(min(width, len(w)))
-    h = np.full(len(w) - width + 1, start, np.uint64)
+def _mixed(w: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of `width` word hashes, at each word but the last ones."""
+    h = np.full(max(0, len(w) - width + 1), width, np.uint64)
     for k in range(width):
         h = (h ^ w[k : len(h) + k]) * _MIX[k % len(_MIX)]
         h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return h
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+    """Of each text the sorted 64-bit hashes of the distinct runs of `width` words; of all words where there are fewer;
+    none without words."""
+    words = [t.lower().split() for t in texts]
+    flat = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
+    h, out, at = _mixed(flat, width), [], 0
+    for own in words:
+        n = len(own)
+        out.append(_distinct(h[at : at + n - width + 1] if n >= width else _mixed(flat[at : at + n], n)) if n else np.empty(0, np.uint64))
+        at += n
+    return out
 
 
 def prefix_sizes(n: int, cut: tuple[int, int] = CUT) -> tuple[int, int]:
@@ -88,8 +107,8 @@ def prefix_sizes(n: int, cut: tuple[int, int] = CUT) -> tuple[int, int]:
 
 
 def grid(s: np.ndarray) -> np.ndarray:
-    """Shingles counted by their leading bits, in a power of two of cells."""
-    bits = max(4, int(np.ceil(np.log2(max(1, len(s)) / CELL_LOAD))))
+    """Shingles counted by their leading bits, in a power of two of cells; 255 in a cell stands for any count."""
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, len(s)) / CELL_LOAD))))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).clip(max=255).astype(np.uint8)
 
 
@@ -97,7 +116,7 @@ def grid_distance(a: np.ndarray, b: np.ndarray) -> int:
     """At most the size of the symmetric difference of two sets, from their grids. The finer grid is folded."""
     a, b = a.astype(np.int64), b.astype(np.int64)
     if (a == 255).any() or (b == 255).any():
-        return 0  # a full counter says nothing
+        return 0
     while len(a) > len(b):
         a = a[::2] + a[1::2]
     while len(b) > len(a):
@@ -113,273 +132,435 @@ def _sid(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _facts(texts: DataFrame, width: int, cut: tuple[int, int], bits: int) -> DataFrame:
-    """A row (id, n, sid, check, grid) for each document, and rows (cell, times) of the counts of hashed prefixes.
+def _slices(texts: list[bytes], width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """shingle_sets() of runs of texts of bounded size, each with the number of its first text."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held > CHUNK_BYTES // 8 or k == len(texts) - 1:
+            yield start, shingle_sets([bytes(x) for x in texts[start : k + 1]], width)
+            start, held = k + 1, 0
 
-    Of a set that a task has met before the grid is null.
-    """
+
+def _facts(texts: DataFrame, width: int, cut: tuple[int, int]) -> DataFrame:
+    """A row (id, n, sid, check, grid) for each document, and rows (h, times) of shingles that came several times in
+    the prefixes that a task met together. Of a set that a task has met before the grid is null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, seen = np.zeros(1 << bits, np.int32), set()
-        columns = ["id", "n", "sid", "check", "grid", "cell", "times"]
+        seen, held, many = set(), [], 0
+        columns = ["id", "n", "sid", "check", "grid", "h", "times"]
         kinds = {c: "Int64" for c in columns if c != "grid"}
+
+        def repeated() -> pd.DataFrame:
+            h, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            held.clear()
+            return pd.DataFrame({"h": h[times > 1].view(np.int64), "times": times[times > 1]}).assign(grid=None).reindex(columns=columns).astype(kinds)
+
         for pdf in batches:
-            out = []
-            for key, text in zip(pdf["id"], pdf.text):
-                s = shingles(bytes(text), width)
-                sid = _sid(s)
-                new = len(s) and sid not in seen
-                out.append((key, len(s), sid, xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), grid(s).tobytes() if new else None))
-                if new:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(sid)
-                    np.add.at(cells, (s[: prefix_sizes(len(s), cut)[1]] & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+            out, ids = [], pdf["id"].tolist()
+            for start, sets in _slices(pdf.text.tolist(), width):
+                for key, s in zip(ids[start:], sets):
+                    raw = s.tobytes()
+                    sid = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                    new = len(s) > 0 and sid not in seen
+                    out.append((key, len(s), sid, xxhash.xxh64_intdigest(raw) - (1 << 63), grid(s).tobytes() if new else None))
+                    if new:
+                        if len(seen) > _SEEN:
+                            seen.clear()
+                        seen.add(sid)
+                        held.append(s[: prefix_sizes(len(s), cut)[1]].copy())
+                        many += len(held[-1])
             yield pd.DataFrame([(*x, None, None) for x in out], columns=columns).astype(kinds)
-        used = np.flatnonzero(cells)
-        yield pd.DataFrame({"cell": used, "times": cells[used]}).assign(grid=None).reindex(columns=columns).astype(kinds)
+            if many > _COUNTED:
+                many = 0
+                yield repeated()
+        yield repeated()
 
-    return texts.mapInPandas(run, "id long, n long, sid long, check long, grid binary, cell long, times long")
+    return texts.mapInPandas(run, "id long, n long, sid long, check long, grid binary, h long, times long")
 
 
-def _regions(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarray) -> DataFrame:
-    """(h, sid, n, small, own): each set under the shingles of its prefix; small where it may be the smaller of two there.
+def _frequent(facts: DataFrame) -> np.ndarray:
+    """A bit for each value of the last HOT_BITS of a shingle: whether a frequent one has it."""
+    times = materialise(facts.filter(F.col("h").isNotNull()).groupBy("h").agg(F.sum("times").alias("times")).filter(F.col("times") >= HOT_SETS), "frequent")
+    many, least = times.count(), HOT_SETS
+    if many > MOST_HOT:
+        least = times.agg(F.percentile_approx("times", 1 - MOST_HOT / many / 2, 10_000)).first()[0] + 1
+    mask = (1 << HOT_BITS) - 1
+    cells = times.filter(F.col("times") >= least).select(F.col("h").bitwiseAND(mask).cast("int").alias("cell")).distinct().limit(MOST_HOT)
+    hot = np.zeros(1 << HOT_BITS, bool)
+    hot[[r.cell for r in cells.collect()]] = True
+    return hot
 
-    own: how many shingles of the prefix aren't hot. Of near copies, the one with the fewest has changed least; it is
-    in the regions of nearly all others, and the nearest to them.
+
+def _postings(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarray) -> DataFrame:
+    """(h, sid, small, own): each set under the shingles of its prefix; small where it may be the smaller of two there.
+
+    own: how many shingles of the prefix aren't frequent. Of near copies, the one with the fewest has changed least; it is
+    in the lists of nearly all others, and the nearest to them.
     """
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(np.packbits(hot))
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(hot))
     size = len(hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late, seen = np.unpackbits(shared.value)[:size].astype(bool), set()
         for pdf in batches:
-            parts: list[tuple] = []
-            for text in pdf.text:
-                s = shingles(bytes(text), width)
-                sid = _sid(s)
-                if not len(s) or sid in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(sid)
-                small, large = prefix_sizes(len(s), cut)
-                is_hot = late[(s & np.uint64(size - 1)).astype(np.int64)]
-                order = np.argsort(is_hot, kind="stable")[:large] if is_hot.any() else np.arange(large)
-                parts.append((s[order].view(np.int64), np.full(large, sid), np.full(large, len(s), np.int32), np.arange(large) < small, np.full(large, large - is_hot[order].sum(), np.int32)))
-            if parts:
-                yield pd.DataFrame(dict(zip(("h", "sid", "n", "small", "own"), map(np.concatenate, zip(*parts)))))
-
-    return texts.mapInPandas(run, "h long, sid long, n int, small boolean, own int").groupBy("h", "sid").agg(F.max("n").alias("n"), F.max("small").alias("small"), F.max("own").alias("own"))
+            for _, sets in _slices(pdf.text.tolist(), width):
+                parts: list[tuple] = []
+                for s in sets:
+                    sid = _sid(s)
+                    if not len(s) or sid in seen:
+                        continue
+                    if len(seen) > _SEEN:
+                        seen.clear()
+                    seen.add(sid)
+                    small, large = prefix_sizes(len(s), cut)
+                    is_hot = late[(s & np.uint64(size - 1)).astype(np.int64)]
+                    order = np.argsort(is_hot, kind="stable")[:large] if is_hot[:large].any() else np.arange(large)
+                    parts.append((s[order].view(np.int64), np.full(large, sid), np.arange(large) < small, np.full(large, large - is_hot[order].sum(), np.int32)))
+                if parts:
+                    yield pd.DataFrame(dict(zip(("h", "sid", "small", "own"), map(np.concatenate, zip(*parts)))))
+
+    return texts.mapInPandas(run, "h long, sid long, small boolean, own int").groupBy("h", "sid").agg(F.max("small").alias("small"), F.max("own").alias("own"))
 
 
 def _sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles) of the wanted (id, sid). Up to BROADCAST_IDS ids are sent to the texts; more of them are joined."""
+    """(sid, raw) of the wanted (id, sid); several rows of a set where its id has several. Up to BROADCAST_IDS ids are sent
+    to the texts; more of them are joined."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [shingles(bytes(t), width) for t in pdf.text]
-            yield pd.DataFrame({"sid": [_sid(s) for s in made], "shingles": [s.view(np.int64) for s in made]})
-
-    ids = wanted.select("id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = texts.join(ids, "id", "left_semi").mapInPandas(run, "sid long, shingles array<long>")
-    # an id may have several rows: only wanted sets stay, one row each
-    rows = rows.join(wanted.select("sid").distinct(), "sid", "left_semi")
-    return rows.groupBy("sid").agg(F.first("shingles").alias("shingles"))
-
-
-def _near(pairs: DataFrame, nodes: DataFrame, cut: tuple[int, int]) -> DataFrame:
-    """(a, b, lo): pairs with a bound below their distance by their grids."""
+            for _, sets in _slices(pdf.text.tolist(), width):
+                raw = [s.tobytes() for s in sets]
+                yield pd.DataFrame({"sid": [xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], "raw": raw})
+
+    small = wanted.count() <= BROADCAST_IDS
+    sent = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    rows = texts.join(sent(wanted.select("id").distinct()), "id", "left_semi").mapInPandas(run, "sid long, raw binary")
+    # an id may have several rows: wanted sets alone stay
+    return rows.join(sent(wanted.select("sid")), "sid", "left_semi")
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], weight: Callable[[pd.DataFrame], int], most: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by the keys in runs that hold whole groups; runs are cut once they weigh more than most."""
+    held, weighs = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        weighs += weight(pdf)
+        if weighs > most:
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf.reset_index(drop=True)
+            at = rows[keys].to_numpy()
+            last = len(rows) - int(np.argmax((at[::-1] != at[-1]).any(axis=1))) if (at != at[-1]).any() else 0
+            if last:
+                yield rows[:last].reset_index(drop=True)
+            held = [rows[last:].reset_index(drop=True)]
+            weighs = weight(held[0])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _bounds(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where the groups of sorted rows begin, and their end."""
+    at = rows[keys].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, [len(rows)]])
+
+
+def _partnered(members: DataFrame, cut: tuple[int, int]) -> DataFrame:
+    """(region, sid, lower) of the members (region, sid, n, grid, lower) that may have a link to be judged there: sizes and
+    grids allow it, and the two have no lower pivot in common."""
+    p, q = cut
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            apart = [grid_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(pdf.ga, pdf.gb)]
-            both = (pdf.na + pdf.nb).to_numpy()
-            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "lo": 2 * np.array(apart, np.float64) / (both + np.array(apart, np.float64))})
-
-    one = nodes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("grid").alias("ga"))
-    two = nodes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("grid").alias("gb"))
-    return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long, lo double")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the edges (a, b) reaches. Labels shrink by neighbours and by
-    following labels, so that a chain of n nodes takes about log n rounds."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # what a label's own node has learned passes to all that bear the label
-        said = lower.groupBy(F.col("old").alias("of")).agg(F.min("label").alias("said"))
-        jump = lower.join(said, F.col("old") == F.col("of"), "left").select("node", "old", F.least("label", F.coalesce("said", "label")).alias("mid"))
-        up = lower.select(F.col("node").alias("up"), F.col("label").alias("further"))
-        new = materialise(jump.join(up, F.col("mid") == F.col("up"), "left").select("node", "old", F.least("mid", F.coalesce("further", "mid")).alias("label")), "labels")
-        if not new.filter("label != old").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
-
-
-def _labels(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, cut: tuple[int, int]) -> DataFrame | None:
-    """The components (node, label) of the linked sets; None where no two sets had to be compared.
-
-    A tested pair has bounds lo and hi of its distance, equal where it was computed.
-    """
-    p, q = cut
-    far = 1 - p / q + 1e-9
-    tested = labels = first = spent = sets = None
-
-    def union(x: DataFrame | None, y: DataFrame) -> DataFrame:
-        return y if x is None else x.unionByName(y)
-
-    for many in PIVOTS:
-        now = members
-        if labels is not None:
-            now = now.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("label", "sid")).drop("label")
-            sizes = now.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
-            main = sizes.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-            now = now.join(main, "h").join(spent, ["h", "sid"], "left_anti")
-            outside = now.filter("c != main")
-        else:
-            now = now.withColumn("c", F.col("sid"))
-            outside = now
-        pivots = outside.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("own", "sid")))
-        if many:
-            pivots = pivots.filter(F.col("r") <= many)
-        pivots = materialise(pivots.select("h", F.col("sid").alias("ps"), F.col("n").alias("pn"), F.col("small").alias("p_small"), F.col("c").alias("pc")), "pivots")
-        if not pivots.limit(1).count():
-            break
-        met = now.select("h", "sid", "n", "small", "c").join(pivots, "h")
-        fine = F.when(F.col("n") < F.col("pn"), F.col("small")).when(F.col("n") > F.col("pn"), F.col("p_small")).otherwise(F.col("small") | F.col("p_small"))
-        met = met.filter((F.col("c") != F.col("pc")) & fine & (q * F.least("n", "pn") >= p * F.greatest("n", "pn")))
-        if first is not None:
-            d = tested.select("a", "b", "lo", "hi")
-            d = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "lo", "hi"))
-            met = met.join(first, "h", "left")
-            for own, name in (("sid", "x"), ("ps", "y")):
-                met = met.join(d.select(F.col("a").alias("p1"), F.col("b").alias(own), F.col("lo").alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}")), ["p1", own], "left")
-            met = met.filter(~F.coalesce((F.col("lo_x") - F.col("hi_y") > far) | (F.col("lo_y") - F.col("hi_x") > far), F.lit(False)))
-        pairs = met.select(F.least("sid", "ps").alias("a"), F.greatest("sid", "ps").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        near = materialise(_near(pairs, nodes, cut), "near")
-        close = near.filter(F.col("lo") <= far).select("a", "b")
-        needed = close.select(F.col("a").alias("sid")).unionByName(close.select(F.col("b").alias("sid"))).distinct()
-        if sets is not None:
-            needed = needed.join(sets.select("sid"), "sid", "left_anti")
-        wanted = needed.join(nodes, "sid").select(F.coalesce("class_id", F.lit(NO_ID)).alias("id"), "sid")
-        sets = union(sets, materialise(_sets(texts, width, wanted), "sets"))
-        one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-        two = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        judged = close.join(one, "a").join(two, "b").select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u"))
-        judged = judged.select("a", "b", (1 - F.col("i") / F.col("u")).alias("lo"), (1 - F.col("i") / F.col("u")).alias("hi"), (q * F.col("i") >= p * F.col("u")).alias("linked"))
-        refuted = near.filter(F.col("lo") > far).select("a", "b", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
-        tested = union(tested, materialise(judged.unionByName(refuted), "tested"))
+        for rows in _whole_groups(batches, ["region"], len, 20_000):
+            ends = _bounds(rows, ["region"])
+            n, grids, lower = rows.n.to_numpy(), rows.grid.tolist(), rows.lower.tolist()
+            even = np.array([len(g) == 1 << LEAST_BITS for g in grids])
+            cells = np.zeros((len(rows), 1 << LEAST_BITS), np.int16)
+            if even.any():
+                cells[even] = np.frombuffer(b"".join(g for g, e in zip(grids, even) if e), np.uint8).reshape(-1, 1 << LEAST_BITS)
+            stays, low = np.zeros(len(rows), bool), [None if x is None or not len(x) else frozenset(np.asarray(x).tolist()) for x in lower]
+            for i, j in _pairs(ends):
+                ok = q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
+                apart = np.abs(cells[i] - cells[j]).sum(axis=1, dtype=np.int64)
+                for k in np.flatnonzero(~(even[i] & even[j])):
+                    apart[k] = grid_distance(np.frombuffer(grids[i[k]], np.uint8), np.frombuffer(grids[j[k]], np.uint8))
+                both = n[i] + n[j]
+                # of sets with d elements apart, (both - d) / 2 are shared and (both + d) / 2 are in either
+                ok = q * (both - apart) >= p * (both + apart)
+                for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+                    if not (stays[a] and stays[b]) and (low[a] is None or low[b] is None or low[a].isdisjoint(low[b])):
+                        stays[a] = stays[b] = True
+            yield rows.loc[stays, ["region", "sid", "lower"]]
+
+    return members.repartition("region").sortWithinPartitions("region").mapInPandas(run, "region long, sid long, lower array<long>")
+
+
+def _pairs(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within groups, some at a time: each row with those after it."""
+    size = np.diff(ends)
+    end = np.repeat(ends[1:], size)
+    row = np.arange(len(end))
+    many = end - row - 1
+    done = np.cumsum(many)
+    start = 0
+    while start < len(row):
+        stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + CHUNK_PAIRS)))
+        k = many[start:stop]
+        i = np.repeat(row[start:stop], k)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        start = stop
+
+
+def shared_counts(items: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """How many items each two of some sets of distinct items have in common; with first, those before it (rows)
+    with those from it on (columns)."""
+    many = len(items)
+    rows, columns = (many, many) if first is None else (first, many - first)
+    shared = np.zeros((rows, columns), np.float32)
+    if not many:
+        return shared
+    if many == 2:
+        k = len(np.intersect1d(items[0], items[1], assume_unique=True))
         if first is None:
-            first = pivots.select("h", F.col("ps").alias("p1"))
-        spent = union(spent, pivots.select("h", F.col("ps").alias("sid")))
-        labels = components(tested.filter("linked"))
-    return labels
-
-
-def block_links(sets: list[np.ndarray], others: list[np.ndarray] | None, cut: tuple[int, int] = CUT) -> tuple[np.ndarray, np.ndarray]:
-    """How many of the others each set is linked with, and the reverse; without others, of the sets but itself."""
-    p, q = cut
-    both = sets if others is None else [*sets, *others]
-    sizes = np.array([len(s) for s in both], np.int64)
-    owner = np.repeat(np.arange(len(both)), sizes)
-    _, column, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+            shared[:] = [[len(items[0]), k], [k, len(items[1])]]
+        else:
+            shared[:] = k
+        return shared
+    owner = np.repeat(np.arange(many), [len(x) for x in items])
+    flat = np.concatenate(items)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, bool)
+    begins = np.flatnonzero(new)
+    times = np.diff(np.append(begins, len(flat)))
     # what only one set holds is shared with none
-    common = times > 1
-    place = np.cumsum(common) - 1
-    kept = common[column]
-    owner, column = owner[kept], place[column[kept]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    n = len(sets)
-    shared = np.zeros((n, n if others is None else len(others)), np.int64)
-    for start in range(0, int(common.sum()), BLOCK_COLUMNS):
+    common = np.repeat(times > 1, times)
+    column, owner = (np.cumsum(new & common) - 1)[common], owner[common]
+    for start in range(0, int((times > 1).sum()), BLOCK_COLUMNS):
         a, b = np.searchsorted(column, (start, start + BLOCK_COLUMNS))
-        has = np.zeros((len(both), BLOCK_COLUMNS), np.float32)
+        has = np.zeros((many, int(column[b - 1]) - start + 1), np.float32)
         has[owner[a:b], column[a:b] - start] = 1
-        shared += (has[:n] @ (has if others is None else has[n:]).T).astype(np.int64)
-    union = sizes[:n, None] + (sizes if others is None else sizes[n:]) - shared
-    linked = q * shared >= p * union
-    if others is None:
-        np.fill_diagonal(linked, False)
-    return linked.sum(axis=1), linked.sum(axis=0)
-
+        shared += has @ has.T if first is None else has[:first] @ has[first:].T
+    return shared
 
-def _degrees(labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, cut: tuple[int, int]) -> DataFrame:
-    """(sid, n_links) of every set of a component. Two sets alone have one link; others are counted in blocks."""
-    of = labels.select(F.col("node").alias("sid"), "label").join(nodes.select("sid", "n", "class_id"), "sid")
-    sizes = of.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("k") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    of = materialise(of.join(sizes.select("label", "k", blocks.alias("blocks")), "label"), "of")
-    more = of.filter("k > 2")
-    sets = _sets(texts, width, more.select(F.coalesce("class_id", F.lit(NO_ID)).alias("id"), "sid"))
-    own = more.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    # a block meets itself and every other one once
-    own = own.select("sid", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    own = own.select("sid", "label", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        first = (pdf.block == i).to_numpy()
-        made = [np.asarray(x, np.int64) for x in pdf.shingles]
-        if i == j:
-            return pd.DataFrame({"sid": pdf.sid, "n_links": block_links(made, None, cut)[0]})
-        a, b = [x for x, f in zip(made, first) if f], [x for x, f in zip(made, first) if not f]
-        if not a or not b:
-            return pd.DataFrame({"sid": pdf.sid, "n_links": 0})
-        one, two = block_links(a, b, cut)
-        return pd.DataFrame({"sid": np.concatenate([pdf.sid.to_numpy()[first], pdf.sid.to_numpy()[~first]]), "n_links": np.concatenate([one, two])})
+def judged(rows: pd.DataFrame, cut: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(links, to) of the sets of a leaf, or of two blocks that meet (side 0 and 1): how many links of each are
+    judged here, and another of its forest (its own place where it is a root).
 
-    counted = own.join(sets, "sid").groupBy("label", "i", "j").applyInPandas(count, "sid long, n_links long")
-    pairs = of.filter("k = 2").select("sid", F.lit(1).cast("long").alias("n_links"))
-    return counted.groupBy("sid").agg(F.sum("n_links").alias("n_links")).unionByName(pairs)
+    A pair is judged here unless the two have a lower pivot in common, and if each division has put it here.
+    """
+    p, q = cut
+    rectangle = rows.i.iloc[0] != rows.j.iloc[0]
+    first = int((rows.side == 0).sum()) if rectangle else None
+    sets = [np.frombuffer(r, np.uint64) for r in rows.raw]
+    n = np.array([len(s) for s in sets], np.float64)
+    many = len(n)
+    a, b = (slice(0, first), slice(first, many)) if rectangle else (slice(0, many), slice(0, many))
+    linked = np.zeros((len(n[a]), len(n[b])), bool)
+    if not linked.size:
+        return np.zeros(many, np.int64), np.arange(many)
+    shared = shared_counts(sets, first)
+    for k in range(0, len(linked), 512):
+        linked[k : k + 512] = q * shared[k : k + 512] >= p * (n[a][k : k + 512, None] + n[b][None, :] - shared[k : k + 512])
+    del shared
+    if not rectangle:
+        np.fill_diagonal(linked, False)
+    lower = [np.empty(0, np.int64) if x is None else np.asarray(x, np.int64) for x in rows.lower]
+    if sum(len(x) > 0 for x in lower) > 1:
+        linked &= shared_counts(lower, first) == 0
+    sid, own, far = rows.sid.to_numpy(), rows.own.to_numpy(), rows.far.to_numpy()
+    for level in range(int(rows.depth.iloc[0])):
+        o, f = (own >> level) & 1 > 0, (far >> level) & 1 > 0
+        smaller = sid[a][:, None] < sid[b][None, :]
+        here = o[a][:, None] & (o[b] | f[b])[None, :] | (o[a] | f[a])[:, None] & o[b][None, :]
+        linked &= here | o[a][:, None] & smaller | o[b][None, :] & ~smaller
+    links = np.zeros(many, np.int64)
+    links[a] += linked.sum(axis=1)
+    if rectangle:
+        links[b] += linked.sum(axis=0)
+    return links, _forest(linked, rectangle, many)
+
+
+def _forest(linked: np.ndarray, rectangle: bool, many: int) -> np.ndarray:
+    to, first = np.arange(many), len(linked)
+    fresh = np.ones(many, bool)
+    across = np.ascontiguousarray(linked.T) if rectangle else None
+    for root in range(many):
+        if not fresh[root]:
+            continue
+        fresh[root], queue = False, [root]
+        while queue:
+            u = queue.pop()
+            if not rectangle:
+                found = np.flatnonzero(linked[u] & fresh)
+            elif u < first:
+                found = first + np.flatnonzero(linked[u] & fresh[first:])
+            else:
+                found = np.flatnonzero(across[u - first] & fresh[:first])
+            if len(found):
+                fresh[found], to[found] = False, u
+                queue.extend(found.tolist())
+    return to
+
+
+def _judged(leaves: DataFrame, sets: DataFrame, cut: tuple[int, int]) -> DataFrame:
+    """(sid, links, to) for every set of a leaf (region, i, j, side, sid, lower, own, far, depth) that has a link there."""
+    keys = ["region", "i", "j"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, keys, lambda pdf: int(pdf.raw.map(len).sum()), CHUNK_BYTES):
+            ends = _bounds(rows, keys)
+            found = []
+            for k, end in zip(ends, ends[1:]):
+                own = rows[k:end].drop_duplicates("sid")
+                if len(own) > 1:
+                    links, to = judged(own, cut)
+                    sid = own.sid.to_numpy()
+                    some = np.flatnonzero(links)
+                    found.append(pd.DataFrame({"sid": sid[some], "links": links[some], "to": sid[to[some]]}))
+            if found:
+                yield pd.concat(found, ignore_index=True)
+
+    rows = leaves.join(sets, "sid")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInPandas(run, "sid long, links long, to long")
+
+
+def _distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    shared = np.array([[len(np.intersect1d(s, v, assume_unique=True)) for v in pivots] for s in sets], np.float64).reshape(len(sets), len(pivots))
+    size = np.array([len(s) for s in sets], np.float64)[:, None] + np.array([len(v) for v in pivots], np.float64)
+    return 1 - shared / (size - shared)
+
+
+def voronoi(d: np.ndarray, far: float) -> list[list[tuple[int, int]]]:
+    """Of each set, by its distances to pivots, the cells that it is in: (cell, 1) for its own, (cell, 0) where it is a
+    replica, (cell, 2) where it is a replica and near no pivot. Cell -1 is that of sets near none. far: the threshold."""
+    home, least = d.argmin(axis=1), d.min(axis=1)
+    near = least <= NEAR
+    window = np.where(near[:, None], np.minimum(least[:, None] + 2 * far, NEAR + far), NEAR + far) + 1e-9
+    out = []
+    for k in range(len(d)):
+        own = int(home[k]) if near[k] else -1
+        state = 0 if near[k] else 2
+        out.append([(own, 1)] + [(int(c), state) for c in np.flatnonzero(d[k] <= window[k]) if c != own])
+    return out
+
+
+def _divided(rows: DataFrame, sizes: DataFrame, sets: DataFrame, cut: tuple[int, int]) -> DataFrame:
+    """The rows (region, sid, ...) of large regions with `d0`, the distance to one pivot, and `cells` as voronoi() gives them,
+    each as 4 * (cell + 1) + its other number.
+
+    A region's sets are dealt to parts of some LEAF sets each, and its pivots go to every part.
+    """
+    far, keys = 1 - cut[0] / cut[1], ["region", "part"]
+    share = F.pmod(F.xxhash64("region", "sid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    parts = F.ceil(F.col("k") / LEAF).cast("int")
+    drawn = rows.join(sizes.select("region", "k"), "region").filter(share < F.lit(4.0 * PIVOTS) / F.col("k"))
+    drawn = drawn.groupBy("region", parts.alias("parts")).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("region", "sid"), "sid"))), 1, PIVOTS).alias("drawn"))
+    pivots = drawn.select("region", "drawn", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("region", "part", F.explode("drawn.sid").alias("sid"))
+    members = rows.join(sizes.select("region", parts.alias("parts")), "region").select("region", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), "sid")
+    both = pivots.withColumn("member", F.lit(0)).unionByName(members.withColumn("member", F.lit(1))).join(sets, "sid")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run_ in _whole_groups(batches, keys, lambda pdf: int(pdf.raw.map(len).sum()), CHUNK_BYTES):
+            ends = _bounds(run_, keys)
+            for a, b in zip(ends, ends[1:]):
+                own = run_[a:b].drop_duplicates(["member", "sid"])
+                raw = [np.frombuffer(r, np.uint64) for r in own.raw]
+                m = int((own.member == 0).sum())
+                d = _distances(raw[m:], raw[:m]) if m else np.ones((len(raw), 1))
+                if len(d):
+                    cells = [[4 * (c + 1) + state for c, state in x] for x in voronoi(d, far)]
+                    yield pd.DataFrame({"region": own.region[m:].to_numpy(), "sid": own.sid[m:].to_numpy(), "d0": d[:, 0], "cells": cells})
+
+    placed = both.repartition(*keys).sortWithinPartitions(*keys, "member", "sid").mapInPandas(run, "region long, sid long, d0 double, cells array<int>")
+    return rows.join(placed, ["region", "sid"])
+
+
+def _blocks(rows: DataFrame, cut: tuple[int, int]) -> DataFrame:
+    """Leaves of dense regions: rows (region, sid, n, d0, ...) in blocks by d0, each two that can hold links as a leaf."""
+    width = (1 - cut[0] / cut[1]) / 2
+    rows = rows.withColumn("bin", F.floor(F.col("d0") / width).cast("long"))
+    each = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    bins = rows.groupBy("region", "bin").agg(each.alias("many"))
+    code = lambda part: F.col("bin") * (1 << 31) + part
+    rows = rows.join(bins, ["region", "bin"]).withColumn("block", code(F.pmod(F.xxhash64("sid"), F.col("many"))))
+    listed = bins.select("region", F.col("bin").alias("other_bin"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("many") - 1), code)).alias("other"))
+    # distances that differ by e at most are two bins apart at most; a third makes up for rounding
+    met = rows.join(listed, "region").filter(F.abs(F.col("bin") - F.col("other_bin")) <= 3)
+    return met.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "sid", "lower", "own", "far", "depth")
+
+
+_LEAF_COLUMNS = ["region", "i", "j", "side", "sid", "lower", "own", "far", "depth"]
+
+
+def _links(rows: DataFrame, sets: DataFrame, cut: tuple[int, int]) -> DataFrame:
+    """(sid, links, to) of all regions (region, sid, n, lower), as judged() gives them, leaf by leaf."""
+    now = rows.withColumns({"own": F.lit(0).cast("long"), "far": F.lit(0).cast("long"), "depth": F.lit(0)})
+    out = None
+    level = 0
+    while True:
+        sizes = materialise(now.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.max(F.col("own").bitwiseAND(1 << max(0, level - 1)) if level else F.lit(1)).alias("owned")).filter("k > 1 and owned > 0"), "sizes")
+        large = (F.col("k") > LEAF) | (F.col("total") > BLOCK_SHINGLES)
+        whole = now.join(sizes.filter(~large).select("region"), "region").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long"), "side": F.lit(0)})
+        leaves = whole.select(_LEAF_COLUMNS)
+        sizes = sizes.filter(large)
+        if not sizes.limit(1).count():
+            found = materialise(_judged(leaves, sets, cut), "links")
+            return found if out is None else out.unionByName(found)
+        split = materialise(_divided(now.join(sizes.select("region"), "region", "left_semi"), sizes, sets, cut), "divided")
+        cells = split.select("region", "sid", F.explode("cells").alias("cell")).groupBy("region", F.shiftright("cell", 2).alias("c")).agg(F.count(F.lit(1)).alias("rows"))
+        cells = cells.groupBy("region").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).join(sizes, "region")
+        helps = materialise(cells.filter((F.col("rows") <= DENSE * F.col("k")) & (F.col("most") <= MOST * F.col("k"))).select("region"), "helps")
+        leaves = leaves.unionByName(_blocks(split.join(helps, "region", "left_anti"), cut))
+        found = materialise(_judged(leaves, sets, cut), "links")
+        out = found if out is None else out.unionByName(found)
+        bit = 1 << level
+        mark = lambda column, state: F.when(F.col("cell").bitwiseAND(3) == state, F.col(column).bitwiseOR(F.lit(bit).cast("long"))).otherwise(F.col(column)).alias(column)  # noqa: B023, E731
+        now = split.join(helps, "region").select("*", F.explode("cells").alias("cell"))
+        now = now.select(F.xxhash64("region", F.shiftright("cell", 2)).alias("region"), "sid", "n", "lower", mark("own", 1), mark("far", 2), F.lit(level + 1).alias("depth"))
+        now = materialise(now, "cells")
+        level += 1
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, cut: tuple[int, int] = CUT) -> DataFrame:
     """(id, n_shingles, component_id, class_id, n_links) for every row.
 
-    class_id: the smallest id with an equal set; n_links: how many other sets its set is linked with; component_id: the smallest id reachable by links. A document without words, or with
-    null text, has no shingles and is linked with nothing. Null ids are larger than all others; repeated rows
-    each have their row. Empty in, empty out.
+    component_id: the smallest id reachable by links; class_id: the smallest id with an equal set; n_links: how many
+    other sets its set is linked with. A document without words, or with null text, has no shingles and is linked with
+    nothing. Null ids are larger than all others; repeated rows each have their row. Other columns are ignored. Empty in,
+    empty out.
     """
     texts = _texts(docs, id_col, text_col)
-    rows = docs.count()
-    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, rows * 80 / 16))))))
-    facts = materialise(_facts(texts, width, cut, bits), "facts")
-    owned = facts.filter(F.col("cell").isNull()).select("id", "n", "sid", "check", "grid")
-    cells = facts.filter(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("times").alias("times"))
-    total = cells.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    least = max(HOT_SETS, 10 * total / (1 << bits))
-    hot = np.zeros(1 << bits, bool)
-    hot[[r.cell for r in cells.filter(F.col("times") > least).select("cell").collect()]] = True  # at most 2^bits / 10
+    facts = materialise(_facts(texts, width, cut), "facts")
+    owned = facts.filter(F.col("n").isNotNull()).select("id", "n", "sid", "check", "grid")
     nodes = owned.filter("n > 0").groupBy("sid").agg(F.min("id").alias("class_id"), F.min("check").alias("x"), F.max("check").alias("y"), F.max("n").alias("n"), F.max("grid").alias("grid"))
     nodes = nodes.select("sid", "n", "grid", F.when(F.col("x") == F.col("y"), F.col("class_id")).otherwise(F.raise_error(F.lit("two sets share a hash"))).alias("class_id"))
     nodes = materialise(nodes, "nodes")
-    members = _regions(texts, width, cut, hot)
-    members = materialise(members.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("k > 1").drop("k"), "members")
-    keyed = texts.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    labels = _labels(members, nodes, keyed, width, cut)
-    degree = None if labels is None else _degrees(labels, nodes, keyed, width, cut)
+    postings = materialise(_postings(texts, width, cut, _frequent(facts)), "postings")
+    heads = postings.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("small").alias("some"), F.min(F.struct("own", "sid")).alias("least")).filter("k > 1 and some")
+    of = postings.select("h", "sid").join(heads.select("h", F.col("least.sid").alias("pivot")), "h").groupBy("sid").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
+    of = materialise(of.join(nodes, "sid"), "members")
+    members = of.select("sid", "n", "grid", "class_id", "pivots", F.explode("pivots").alias("region"))
+    members = members.withColumn("lower", F.filter("pivots", lambda x: x < F.col("region"))).drop("pivots")
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    large = materialise(sizes.filter(F.col("k") > LEAF), "large")
+    few = members.join(sizes.filter(F.col("k") <= LEAF).select("region"), "region", "left_semi")
+    stay = _partnered(few.select("region", "sid", "n", "grid", "lower"), cut)
+    many = members.join(large.select("region"), "region", "left_semi").select("region", "sid", "lower")
+    rows = materialise(stay.unionByName(many).join(nodes.select("sid", "n", "class_id"), "sid"), "regions")
+    wanted = rows.groupBy("sid").agg(F.coalesce(F.first("class_id"), F.lit(NO_ID)).alias("id"))
+    sets = materialise(_sets(texts.withColumn("id", F.coalesce("id", F.lit(NO_ID))), width, wanted), "sets")
+    links = _links(rows.select("region", "sid", "n", "lower"), sets, cut)
+    labels = components(links.filter("to != sid").select(F.col("sid").alias("lo"), F.col("to").alias("hi")))
+    degree = links.groupBy("sid").agg(F.sum("links").alias("n_links"))
     nodes = nodes.select("sid", "class_id")
-    named = nodes
-    if labels is not None:
-        labelled = nodes.join(labels.withColumnRenamed("node", "sid"), "sid")
-        smallest = labelled.groupBy("label").agg(F.min("class_id").alias("component_id"))
-        of = labelled.join(smallest, "label").select("sid", "component_id").join(degree, "sid", "left")
-        named = nodes.join(of, "sid", "left")
-    else:
-        named = nodes.withColumns({"component_id": F.lit(None).cast("long"), "n_links": F.lit(None).cast("long")})
-    named = named.withColumnRenamed("sid", "of")
+    labelled = nodes.join(labels.withColumnRenamed("node", "sid"), "sid")
+    smallest = labelled.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    part = labelled.join(smallest, "component").select("sid", "component_id").join(degree, "sid", "left")
+    named = nodes.join(part, "sid", "left").withColumnRenamed("sid", "of")
     out = owned.join(named, (F.col("sid") == F.col("of")) & (F.col("n") > 0), "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "class_id", "id").alias("component_id"),

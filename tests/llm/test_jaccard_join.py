@@ -60,8 +60,10 @@ def corpus(seed, docs=160):
 @pytest.mark.parametrize("seed", [0, 1])
 def test_equals_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jj, "HOT_SETS", 3)
-    if seed:
-        monkeypatch.setattr(jj, "PIVOTS", (1, 2, None))
+    if seed:  # regions are divided, again and again, and laid out in blocks
+        monkeypatch.setattr(jj, "LEAF", 3)
+        monkeypatch.setattr(jj, "PIVOTS", 4)
+        monkeypatch.setattr(jj, "DENSE", 3.0)
     rows = corpus(seed)
     rows += [(900, None), (901, ""), (902, "One two"), (903, "one TWO"), (904, "a\x1cb c d e"), (905, "É é x y"), (906, "big " * 5000), (907, "big " * 4000), (None, rows[0][1]), (None, "null alone here"), (3, rows[3][1]), (3, "other text of one id")]
     docs = spark.createDataFrame([(*x, 1, "s") for x in rows], "doc_id long, text string, n int, sid string")
@@ -85,12 +87,6 @@ def test_prefixes_are_long_enough():
         assert large == n - -(-85 * n // 100) + 1 and small == n - -(-170 * n // 185) + 1
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.range(1, 60).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
-    got = {r.node: r.label for r in jj.components(edges).collect()}
-    assert got == {k: 1 for k in range(1, 61)} | {100: 100, 101: 100}
-
-
 def test_grids_bound_the_difference():
     r = np.random.default_rng(3)
     for _ in range(200):
@@ -108,9 +104,11 @@ def plain_links(rows, width=4, p=85, q=100):
     return sorted(((key, degree.get(s, 0)) for (key, _), s in zip(rows, sets)), key=str)
 
 
-@pytest.mark.parametrize("blocks", [1_000, 7])
-def test_links_equal_brute_force(spark, blocks, monkeypatch):
+@pytest.mark.parametrize(("blocks", "leaf", "dense"), [(3_000, 256, 1.5), (7, 10, 1.5), (50, 4, 9.0)])
+def test_links_equal_brute_force(spark, blocks, leaf, dense, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK_SETS", blocks)
+    monkeypatch.setattr(jj, "LEAF", leaf)
+    monkeypatch.setattr(jj, "DENSE", dense)
     monkeypatch.setattr(jj, "BLOCK_COLUMNS", 64)
     r = np.random.default_rng(9)
     base = [f"v{k}" for k in range(120)]
@@ -121,3 +119,41 @@ def test_links_equal_brute_force(spark, blocks, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((g.doc_id, g.n_links) for g in jj.joined(docs).collect()), key=str)
     assert got == plain_links(rows) and dict(got)[1000] == 29
+
+
+def test_cells_judge_each_pair_once():
+    """Links between sets laid out by voronoi(), counted over all cells, are those of all pairs."""
+    r = np.random.default_rng(5)
+    base = [np.unique(r.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(6)]
+    sets = []
+    for k in range(150):
+        own = base[k % 6]
+        sets.append(np.unique(np.concatenate([own[r.random(len(own)) > 0.02 * (k % 13)], r.integers(0, 2**63, k % 9 * (1 + k % 2)).astype(np.uint64)])))
+    sid = r.permutation(len(sets))
+    d = jj._distances(sets, sets)
+    linked = d <= 0.15 + 1e-12
+    cells = jj.voronoi(d[:, [0, 1, 2, 7, 13]], 0.15)
+    times = np.zeros_like(linked, int)
+    for c in {c for x in cells for c, _ in x}:
+        rows = [(k, s) for k, x in enumerate(cells) for cc, s in x if cc == c]
+        pdf = jj.pd.DataFrame({"i": 0, "j": 0, "side": 0, "sid": [sid[k] for k, _ in rows], "raw": [sets[k].tobytes() for k, _ in rows], "lower": None, "own": [int(s == 1) for _, s in rows], "far": [int(s == 2) for _, s in rows], "depth": 1})
+        links, _ = jj.judged(pdf, (85, 100))
+        for (k, _), n in zip(rows, links):
+            times[k, 0] += n
+    assert (times[:, 0] == linked.sum(axis=1) - 1).all() and len({c for x in cells for c, _ in x}) > 2
+
+
+def test_shared_counts():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 90, int(r.integers(0, 40))).astype(np.uint64)) for _ in range(30)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    off = ~np.eye(30, dtype=bool)
+    assert (jj.shared_counts(sets)[off] == want[off]).all() and (jj.shared_counts(sets, 11) == want[:11, 11:]).all()
+    assert (jj.shared_counts(sets[:2], 1) == want[:1, 1:2]).all() and jj.shared_counts([]).shape == (0, 0)
+
+
+def test_runs_hold_whole_groups():
+    rows = jj.pd.DataFrame({"g": np.repeat(np.arange(40), np.random.default_rng(1).integers(1, 12, 40)), "x": 1})
+    parts = list(jj._whole_groups((rows[k : k + 7] for k in range(0, len(rows), 7)), ["g"], len, 20))
+    assert jj.pd.concat(parts).g.tolist() == rows.g.tolist() and len(parts) > 3
+    assert sum(p.g.nunique() for p in parts) == 40

@@ -34,6 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from geoskein.llm.common import materialise
 from geoskein.operators.graph import components
@@ -43,7 +44,7 @@ WIDTH = 4
 CUT = (85, 100)
 #: A shingle in the prefixes of so many sets is frequent; at most so many of them, the most frequent, come last in
 #: the global order, by a table of 2^HOT_BITS bits. This touches costs alone, not results.
-HOT_SETS, MOST_HOT, HOT_BITS = 100, 200_000, 22
+HOT_SETS, MOST_HOT, HOT_BITS, SALTS = 100, 200_000, 22, 64
 #: Sets of a region that one task judges whole; pivots of a larger one; sets nearer than this may make a cell.
 LEAF, PIVOTS, NEAR = 256, 16, 0.5
 #: A division must leave fewer than DENSE rows for each set, and no cell with more than MOST of the sets.
@@ -193,7 +194,8 @@ def _frequent(facts: DataFrame) -> np.ndarray:
 
 
 def _postings(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarray) -> DataFrame:
-    """(h, sid, small, own): each set under the shingles of its prefix; small where it may be the smaller of two there.
+    """(h, sid, small, own, salt): each set under the shingles of its prefix, at times repeatedly; small where it may be
+    the smaller of two there. salt: 0, or one of SALTS by the set where the shingle counts as frequent.
 
     own: how many shingles of the prefix aren't frequent. Of near copies, the one with the fewest has changed least; it is
     in the lists of nearly all others, and the nearest to them.
@@ -216,11 +218,29 @@ def _postings(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarra
                     small, large = prefix_sizes(len(s), cut)
                     is_hot = late[(s & np.uint64(size - 1)).astype(np.int64)]
                     order = np.argsort(is_hot, kind="stable")[:large] if is_hot[:large].any() else np.arange(large)
-                    parts.append((s[order].view(np.int64), np.full(large, sid), np.arange(large) < small, np.full(large, large - is_hot[order].sum(), np.int32)))
+                    last = is_hot[order]
+                    parts.append((s[order].view(np.int64), np.full(large, sid), np.arange(large) < small, np.full(large, large - last.sum(), np.int32), last.astype(np.int32) * (1 + sid % SALTS)))
                 if parts:
-                    yield pd.DataFrame(dict(zip(("h", "sid", "small", "own"), map(np.concatenate, zip(*parts)))))
+                    yield pd.DataFrame(dict(zip(("h", "sid", "small", "own", "salt"), map(np.concatenate, zip(*parts)))))
 
-    return texts.mapInPandas(run, "h long, sid long, small boolean, own int").groupBy("h", "sid").agg(F.max("small").alias("small"), F.max("own").alias("own"))
+    return texts.mapInPandas(run, "h long, sid long, small boolean, own int, salt int")
+
+
+def _pivots(postings: DataFrame) -> DataFrame:
+    """(sid, pivots): the pivots of a set's shingles, sorted, where another set has the shingle.
+
+    One exchange by shingle and salt finds the shingles that several sets have. A shingle without salt is in HOT_SETS sets and
+    one more for each run of postings that a task counts together, at most; the salts of others are joined by their heads.
+    """
+    once = postings.repartition("h", "salt").groupBy("h", "salt", "sid").agg(F.max("small").alias("small"), F.max("own").alias("own"))
+    w = W.partitionBy("h", "salt")
+    listed = once.select("h", "salt", "sid", F.count(F.lit(1)).over(w).alias("k"), F.max("small").over(w).alias("some"), F.min(F.struct("own", "sid")).over(w).alias("least"))
+    listed = materialise(listed.filter("salt > 0 or k > 1 and some"), "lists")
+    salted = listed.filter("salt > 0")
+    heads = salted.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("some").alias("some"), F.min("least").alias("least")).filter("k > 1 and some")
+    pairs = listed.filter("salt = 0").select("sid", F.col("least.sid").alias("pivot"))
+    pairs = pairs.unionByName(salted.select("h", "sid").join(heads.select("h", F.col("least.sid").alias("pivot")), "h").select("sid", "pivot"))
+    return pairs.groupBy("sid").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
 
 
 def _sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -539,9 +559,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     nodes = owned.filter("n > 0").groupBy("sid").agg(F.min("id").alias("class_id"), F.min("check").alias("x"), F.max("check").alias("y"), F.max("n").alias("n"), F.max("grid").alias("grid"))
     nodes = nodes.select("sid", "n", "grid", F.when(F.col("x") == F.col("y"), F.col("class_id")).otherwise(F.raise_error(F.lit("two sets share a hash"))).alias("class_id"))
     nodes = materialise(nodes, "nodes")
-    postings = materialise(_postings(texts, width, cut, _frequent(facts)), "postings")
-    heads = postings.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("small").alias("some"), F.min(F.struct("own", "sid")).alias("least")).filter("k > 1 and some")
-    of = postings.select("h", "sid").join(heads.select("h", F.col("least.sid").alias("pivot")), "h").groupBy("sid").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
+    of = _pivots(_postings(texts, width, cut, _frequent(facts)))
     of = materialise(of.join(nodes, "sid"), "members")
     members = of.select("sid", "n", "grid", "class_id", "pivots", F.explode("pivots").alias("region"))
     members = members.withColumn("lower", F.filter("pivots", lambda x: x < F.col("region"))).drop("pivots")

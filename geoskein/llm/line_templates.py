@@ -10,8 +10,9 @@ With split, a leaf may hold several templates: what doesn't fit is parted by its
 lines have a word that not all have, each part has a template as the leaf had, and so on until all lines are placed
 or no part has a word in common that isn't common to all of it.
 
-Leaves are found from hashes alone; words are laid out by position only for leaves with several distinct lines,
-and counted by position with partial sums, so that no leaf is gathered in one place.
+Leaves are found from hashes alone, two of 64 bits for each line and leaf, and what can't be dropped ends there: a leaf
+with one distinct line, in one document. Words are laid out for leaves with several distinct lines, and
+counted by position with partial sums, so that no leaf is gathered in one place.
 """
 
 from __future__ import annotations
@@ -25,18 +26,43 @@ DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 2
 FIELD = "<*>"
-#: Leaves with several lines that may be broadcast (16 bytes each); more are joined.
+#: Leaves that may be broadcast (under 40 bytes each); more are joined.
 BROADCAST_LEAVES = 500_000
 
 
 def masked(line: Column) -> Column:
     """Words joined by one space, those with ASCII digits as FIELD; empty for a blank line."""
-    words = F.trim(F.regexp_replace(line, SPACES, " "))
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for mark in ("  ", "\t", "\n", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(line, F.lit(mark))
+    words = F.when(odd, F.trim(F.regexp_replace(line, SPACES, " "))).otherwise(line)
     return F.when(words.rlike("[0-9]"), F.regexp_replace(words, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(words)
 
 
 def _key(*columns: Column) -> Column:
-    return F.xxhash64(*columns)
+    """128 bits that stand for the columns."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """(id, line, masked, n, leaf, own) of every line that isn't blank."""
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line", "raw"))
+    lines = lines.select("id", "line", masked(F.col("raw")).alias("masked")).filter("masked != ''")
+    many = (F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1).cast("int")
+    return lines.select("id", "line", "masked", many.alias("n"), _key(many, F.substring_index("masked", " ", depth)).alias("leaf"), _key(F.col("masked")).alias("own"))
+
+
+def _fitting(each: DataFrame, by: str, similar: float) -> DataFrame:
+    """(by, own, fits) of distinct lines (by, own, n, masked, times, of): whether they agree with what most lines of
+    their group have at each place. A group's words are one row of as many as its lines have."""
+    cells = each.select(by, "of", "times", F.posexplode(F.split("masked", " ")).alias("at", "word"))
+    counted = cells.groupBy(by, "at", "word").agg(F.sum("times").alias("times"), F.max("of").alias("of")).filter("2 * times >= of")
+    kept = counted.groupBy(by, "at").agg(F.max_by("word", F.struct("times", "word")).alias("word"))
+    kept = kept.groupBy(by).agg(F.collect_list(F.struct("at", "word")).alias("kept"))
+    # words are laid out below the join, once for each line
+    words = each.select(*dict.fromkeys(["leaf", by, "own", "n"]), F.split("masked", " ").alias("words"))
+    same = F.size(F.filter("kept", lambda x: F.get("words", x["at"]) == x["word"]))
+    return words.join(kept, by).select(*dict.fromkeys(["leaf", by, "own"]), (same >= F.lit(similar) * F.col("n")).alias("fits"))
 
 
 def _placed_by_parts(rest: DataFrame, similar: float) -> DataFrame | None:
@@ -48,53 +74,41 @@ def _placed_by_parts(rest: DataFrame, similar: float) -> DataFrame | None:
         now = materialise(now.drop("lines", "of").join(many, "part"), "parts")
         if not now.limit(1).count():
             return found
-        cells = now.select("leaf", "own", "part", "n", "times", "lines", "of", F.posexplode(F.split("masked", " ")).alias("at", "word"))
-        counted = materialise(cells.groupBy("part", "at", "word").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("k"), F.max("lines").alias("lines"), F.max("of").alias("of")).filter("k > 1 or 2 * times >= of"), "counted")
-        kept = counted.filter("2 * times >= of").groupBy("part", "at").agg(F.max_by("word", F.struct("times", "word")).alias("kept"))
-        same = F.sum(F.when(F.col("word") == F.col("kept"), 1).otherwise(0))
-        fit = cells.join(kept, ["part", "at"], "left").groupBy("leaf", "own", "part").agg((same >= F.lit(similar) * F.max("n")).alias("fits"))
-        fit = materialise(fit.filter("fits").select("leaf", "own", "part"), "fit")
+        fit = materialise(_fitting(now, "part", similar).filter("fits").select("leaf", "own", "part"), "fit")
         found = fit if found is None else found.unionByName(fit)
-        best = counted.filter("k > 1 and k < lines").groupBy("part").agg(F.max_by("at", F.struct("k", -F.col("at"))).alias("at"))
+        cells = now.select("part", "lines", F.posexplode(F.split("masked", " ")).alias("at", "word"))
+        counted = cells.groupBy("part", "at", "word").agg(F.count(F.lit(1)).alias("k"), F.max("lines").alias("lines")).filter("k > 1 and k < lines")
+        best = counted.groupBy("part").agg(F.max_by("at", F.struct("k", -F.col("at"))).alias("at"))
         left = now.join(fit, ["leaf", "own", "part"], "left_anti").join(best, "part")
         now = left.withColumn("part", _key(F.col("part"), F.col("at"), F.element_at(F.split("masked", " "), F.col("at") + 1))).drop("at")
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, split: bool = False) -> DataFrame:
-    """(id, line, template, docs, dropped) for every line that isn't blank; lines are numbered from 0, template by its hash.
+def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, split: bool = False) -> DataFrame:
+    """(id, line, template, docs) of the lines whose template is in min_docs documents at least; lines are numbered from 0,
+    templates known by 128 bits.
 
-    docs counts distinct ids, a null id as one more. Lines are what line feeds part. Blank lines are never dropped.
+    docs counts distinct ids, a null id as one more. Lines are what line feeds part. Blank lines have no template.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line", "raw"))
-    lines = lines.select("id", "line", masked(F.col("raw")).alias("masked")).filter("masked != ''")
-    lead = F.substring_index("masked", " ", depth)
-    many = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
-    lines = lines.select("id", "line", "masked", many.cast("int").alias("n"), _key(many, lead).alias("leaf"), _key("masked").alias("own"))
-    small = materialise(lines.select("id", "line", "n", "leaf", "own"), "lines")
-    wide = small.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count(F.lit(1)).alias("of")).filter("a != b").select("leaf", "of")
-    # the distinct lines of leaves with several; how often each occurs stays beside it
-    wide = materialise(wide, "wide")
-    of = F.broadcast(wide) if wide.count() <= BROADCAST_LEAVES else wide
-    each = lines.join(of, "leaf").groupBy("leaf", "own", "n", "masked").agg(F.count(F.lit(1)).alias("times"), F.max("of").alias("of"))
+    if min_docs < 2:
+        raise ValueError("a template of one document is none that recurs")
+    lines = _lines(docs, id_col, text_col, depth)
+    small = materialise(lines.select("id", "line", "leaf", "own"), "lines")
+    several = (F.min("id") != F.max("id")) | (F.count("id") > 0) & (F.count("id") < F.count(F.lit(1)))
+    leaves = small.groupBy("leaf").agg((F.min("own") != F.max("own")).alias("wide"), F.count(F.lit(1)).alias("of"), F.coalesce(several, F.lit(False)).alias("several"))
+    leaves = materialise(leaves.filter("several").drop("several"), "wide")
+    sent = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+    # the distinct lines of leaves with several, and how often each occurs
+    each = lines.join(sent.filter("wide"), "leaf").groupBy("leaf", "own", "n", "masked").agg(F.count(F.lit(1)).alias("times"), F.max("of").alias("of"))
     each = materialise(each, "leaves")
-    cells = each.select("leaf", "own", "n", "of", "times", F.posexplode(F.split("masked", " ")).alias("at", "word"))
-    counted = cells.groupBy("leaf", "at", "word").agg(F.sum("times").alias("times"), F.max("of").alias("of")).filter("2 * times >= of")
-    kept = counted.groupBy("leaf", "at").agg(F.max_by("word", F.struct("times", "word")).alias("kept"))
-    fit = (
-        cells.join(kept, ["leaf", "at"], "left")
-        .groupBy("leaf", "own")
-        .agg(F.max("n").alias("n"), F.sum(F.when(F.col("word") == F.col("kept"), 1).otherwise(0)).alias("same"))
-        .select("leaf", "own", (F.col("same") >= F.lit(similar) * F.col("n")).alias("fits"))
-    )
-    # a leaf's template is known by the leaf; a line of its own by the line
-    placed = small.join(fit.filter("fits").select("leaf", "own", F.lit(True).alias("fits")), ["leaf", "own"], "left")
+    fit = materialise(_fitting(each, "leaf", similar), "fit")
     parts = _placed_by_parts(each.join(fit.filter("fits"), ["leaf", "own"], "left_anti").select("leaf", "own", "n", "masked", "times"), similar) if split else None
-    placed = placed.withColumn("part", F.lit(None).cast("long")) if parts is None else placed.join(parts, ["leaf", "own"], "left")
-    found = F.coalesce(F.when(F.col("fits"), F.col("leaf")), "part")
-    placed = placed.select("id", "line", F.coalesce(found, "own").alias("template"), found.isNotNull().alias("shared"))
-    per_doc = placed.groupBy("template", "shared", "id").agg(F.count(F.lit(1)).alias("x"))
-    spread = per_doc.groupBy("template", "shared").agg(F.count(F.lit(1)).alias("docs"))
-    return placed.join(spread, ["template", "shared"]).select("id", "line", "template", "docs", (F.col("docs") >= min_docs).alias("dropped"))
+    # a leaf's template is known by the leaf, a part's by the part, a line of its own by the line
+    named = fit.filter("fits").select("leaf", "own", F.col("leaf").alias("of"))
+    named = named if parts is None else named.unionByName(parts.withColumnRenamed("part", "of"))
+    placed = small.join(sent.select("leaf"), "leaf").join(named, ["leaf", "own"], "left")
+    placed = placed.select("id", "line", F.coalesce("of", "own").alias("template"), F.col("of").isNotNull().alias("group"))
+    spread = placed.select("template", "group", "id").distinct().groupBy("template", "group").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    return placed.join(spread, ["template", "group"]).select("id", "line", "template", "docs")
 
 
 def without_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -103,7 +117,7 @@ def without_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The rest keeps its order and blank lines. Null text counts as empty; rows repeated with one id lose the lines
     dropped in any of them at the same place; a null id is one document. Other columns are ignored.
     """
-    gone = templates(docs, id_col, text_col, **options).filter("dropped").groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
+    gone = shared_lines(docs, id_col, text_col, **options).groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
     rows = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n").alias("lines"))
     rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left")
     by_place = F.map_from_arrays(F.col("gone"), F.transform("gone", lambda x: F.lit(True)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ PART_WORDS = 20_000
 _MARKS = b".,;:!?\"'()[]{}|*$%&#-_"
 
 
-def vocabulary(documents: list[set[bytes]]) -> dict[bytes, int]:
+def vocabulary(documents: Iterable[set[bytes]]) -> dict[bytes, int]:
     """Rows from 1 of the words in the most documents, at least LEAST_DOCS; words as features() strips them."""
     n = Counter(w for d in documents for w in {x.strip(_MARKS) for x in d})
     most = sorted((w for w, c in n.items() if c >= LEAST_DOCS and w), key=lambda w: (-n[w], w))[: WORD_ROWS - 1]
@@ -172,9 +172,12 @@ def gradients(p: dict, words: tuple, at: np.ndarray, mask: np.ndarray, y: np.nda
     d_states = a[:, :, None] * d_pooled + d_e[:, :, None] * p["att"]
     g["att"] = np.einsum("tb,tbh->h", d_e, states)
     d_x = np.zeros_like(x)
+    by_word = np.argsort(at.ravel(), kind="stable")
+    met, begins = np.unique(at.ravel()[by_word], return_index=True)
     for side, order in (("f", range(steps - 1, -1, -1)), ("b", range(steps))):
         wh, cols = p[f"wh{side}"], slice(0, h) if side == "f" else slice(h, 2 * h)
         d_s, d_wh, d_gates = np.zeros((many, h), wh.dtype), np.zeros_like(wh), np.zeros((len(x), 3 * h), wh.dtype)
+        d_steps = np.zeros((steps, many, 3 * h), wh.dtype)
         for t in order:
             s, r, z, n, ghn = kept[side][t]
             d_new = d_states[t, :, cols] + d_s
@@ -188,13 +191,13 @@ def gradients(p: dict, words: tuple, at: np.ndarray, mask: np.ndarray, y: np.nda
             d_gh[:, 2 * h :] *= r
             d_wh += s.T @ d_gh
             d_s = d_s + d_gh @ wh.T
-            np.add.at(d_gates, at[t], d_pre)
+            d_steps[t] = d_pre
+        d_gates[met] = np.add.reduceat(d_steps.reshape(-1, 3 * h)[by_word], begins, axis=0)
         g |= {f"wh{side}": d_wh, f"wx{side}": x.T @ d_gates, f"bx{side}": d_gates.sum(axis=0)}
         d_x += d_gates @ p[f"wx{side}"].T
-    g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-    np.add.at(g["word"], rows, d_x[:, :WORD_DIM])
     n = np.diff(np.append(starts, len(grams) - 1))
-    np.add.at(g["char"], grams[:-1], np.repeat(d_x[:, WORD_DIM:] / np.sqrt(n)[:, None], n, axis=0))
+    for name, place, value in (("word", rows, d_x[:, :WORD_DIM]), ("char", grams[:-1], np.repeat(d_x[:, WORD_DIM:] / np.sqrt(n)[:, None], n, axis=0))):
+        g[name] = np.stack([np.bincount(place, v, len(p[name])) for v in value.T], axis=1).astype(p[name].dtype)
     return loss, g
 
 
@@ -293,7 +296,7 @@ def fit(corpus: Corpus, passes: int = 7, batch: int = 256, rate: float = 0.01, s
     """A model by Adam on windows: first on windows drawn at random, then on each document's most toxic ones.
 
     One document in five only calibrates the scores. None without both labels. Documents are numbered by their keys, so
-    the model doesn't depend on the order in which they came.
+    the model doesn't depend on the order in which they came. The corpus is empty afterwards.
     """
     rows = sorted(corpus.rows, key=lambda r: (r[0], r[2], len(r[1])))
     y = np.array([r[2] for r in rows], np.int64)
@@ -308,8 +311,12 @@ def fit(corpus: Corpus, passes: int = 7, batch: int = 256, rate: float = 0.01, s
     lengths = np.array([len(r) for r in runs], np.int64)
     flat = np.concatenate(runs)
     aside = np.arange(len(y)) % 5 == 4
-    vocab = vocabulary([{every[k] for k in np.unique(r)} for r, out in zip(runs, aside, strict=True) if not out])
-    known = _features_in_parts(vocab, every)
+    vocab = vocabulary({every[k] for k in np.unique(r)} for r, out in zip(runs, aside, strict=True) if not out)
+    known, many = _features_in_parts(vocab, every), len(every)
+    del rows, runs, seen, every
+    corpus.words.clear()
+    corpus.words.new.clear()
+    corpus.rows.clear()
     doc, first, size = windows(lengths)
     draw = np.random.default_rng(seed)
     p = initial(len(vocab) + 1)
@@ -317,9 +324,10 @@ def fit(corpus: Corpus, passes: int = 7, batch: int = 256, rate: float = 0.01, s
     balance = min(8.0, float((y == 0).sum() / y.sum()))
 
     def all_logits() -> np.ndarray:
-        parts = [known_part(known, k, k + PART_WORDS) for k in range(0, len(every), PART_WORDS)]
-        made = [projected(p, embedded(p, *part)) for part in parts]
-        gates = {side: np.concatenate([m[side] for m in made]) for side in "fb"}
+        gates = {side: np.empty((many, 3 * HIDDEN), np.float32) for side in "fb"}
+        for k in range(0, many, PART_WORDS):
+            for side, part in projected(p, embedded(p, *known_part(known, k, k + PART_WORDS))).items():
+                gates[side][k : k + PART_WORDS] = part
         return np.concatenate([forward(p, gates, *_laid(flat, first[k : k + 2048], size[k : k + 2048])) for k in range(0, len(doc), 2048)])
 
     for n in range(passes):

@@ -47,7 +47,7 @@ def _key(*columns: Column) -> Column:
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     """(id, line, masked, n, leaf, own) of every line that isn't blank."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line", "raw"))
-    lines = lines.select("id", "line", masked(F.col("raw")).alias("masked")).filter("masked != ''")
+    lines = lines.filter(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("id", "line", masked(F.col("raw")).alias("masked"))
     many = (F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1).cast("int")
     return lines.select("id", "line", "masked", many.alias("n"), _key(many, F.substring_index("masked", " ", depth)).alias("leaf"), _key(F.col("masked")).alias("own"))
 

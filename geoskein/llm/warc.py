@@ -26,15 +26,22 @@ SCHEMA = "record_id string, rec_type string, target_uri string, warc_date string
 FETCHED = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 _CRLF = b"\r\n"
-#: What a head may hold: blanks, comments, whole elements, and start or end tags alone. It ends at anything else.
-_IN_HEAD = r"\s++|<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\3\s*>|\Z)|<(title|template|noscript)\b[^>]*>.*?</\4\s*>|</?(?:meta|link|base|title|template|noscript|script|style)\b[^>]*>|<[!?][^>]*>"
-#: Elements whose content is no text, and those that end a line. Fixed values.
-_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(template|noscript)\b[^>]*>.*?</\2\s*>|<head\b[^>]*>(?:{_IN_HEAD})*+(?:</head\s*>)?", re.S | re.I)
-_BLOCK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|blockquote|pre|hr|title|body|html|form|dl|dt|dd|figure|figcaption)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>?")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Bytes of a compressed payload that are decoded at once, so that what precedes a fault is kept.
+_PIECE = 1 << 12
+# No pattern reads past the next `<` or `>` before it is sure to match, so each takes time linear in the page.
+#: Comments, and elements that hold no text and end with the page where they aren't closed.
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Elements that are hidden where they are closed.
+_CLOSED = {name: (re.compile(rf"</{name}\s*>", re.I), re.compile(rf"<{name}\b[^<>]*>.*?</{name}\s*>", re.S | re.I)) for name in ("template", "noscript")}
+#: A head with what it may hold: blanks, titles, start or end tags alone. It ends at anything else.
+_HEAD = re.compile(r"<head\b[^<>]*>(?:\s++|<title\b[^<>]*>(?:[^<]|<(?!/?title\b))*+</title\s*>|</?(?:meta|link|base|title|template|noscript|script|style)\b[^<>]*>|<[!?][^<>]*>)*+(?:</head\s*>)?", re.S | re.I)
+#: Elements that end a line. Fixed values.
+_BLOCK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|blockquote|pre|hr|title|body|html|form|dl|dt|dd|figure|figcaption)\b[^<>]*>", re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>?")
+_TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title|\Z)", re.S | re.I)
+_HTML = re.compile(r"<html\b([^<>]*)>", re.I)
+_LANG = re.compile(r"(?<![\w:-])lang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK = re.compile(r"<a\b[^<>]*?(?<![\w-])href\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)'|([^\s<>\"']+))", re.I)
 _SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -47,9 +54,19 @@ def named(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, chr(0).join(parts))}>"
 
 
+def _shown(page: str) -> str:
+    """The page without comments and hidden elements."""
+    page = _RAW.sub(" ", page)
+    for closing, element in _CLOSED.values():
+        # up to the last end tag, each start tag has one
+        if found := [m.end() for m in closing.finditer(page)]:
+            page = element.sub(" ", page[: found[-1]]) + page[found[-1] :]
+    return _HEAD.sub(" ", page)
+
+
 def text_of(page: str) -> str:
     """Visible text: a line for each block of the page that has any, blanks joined, entities resolved."""
-    bare = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
+    bare = _TAG.sub("", _BLOCK.sub("\n", _shown(page)))
     lines = (_SPACE.sub(" ", line).strip() for line in html.unescape(bare).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -76,14 +93,25 @@ def http_parts(block: bytes) -> tuple[bytes, list[tuple[str, str]], bytes]:
     return first, [(k.strip(), v.strip()) for k, colon, v in pairs if colon], body
 
 
+def inflated(body: bytes) -> bytes:
+    """What can be decoded of gzip members that follow one another; the rest is lost."""
+    out, at, view = [], 0, memoryview(body)
+    while body[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            while at < len(body) and not member.eof:
+                out.append(member.decompress(view[at : at + _PIECE]))
+                at += len(view[at : at + _PIECE]) - len(member.unused_data)
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def payload_text(headers: list[tuple[str, str]], body: bytes) -> str:
     """The payload decoded from its content coding and character set; what can't be decoded stands as U+FFFD."""
     fields = {k.lower(): v for k, v in headers}
     if fields.get("content-encoding", "").lower() in ("gzip", "x-gzip"):
-        try:
-            body = zlib.decompress(body, 31)
-        except zlib.error:
-            body = b""
+        body = inflated(body)
     found = re.search(r"charset\s*=\s*\"?([\w-]+)", fields.get("content-type", ""), re.I)
     try:
         return body.decode(found[1] if found else "utf-8", "replace")
@@ -101,9 +129,10 @@ def derive(source: dict) -> list[dict]:
         "WARC-Source-Payload-Digest": own.get("WARC-Payload-Digest") or digest(body), "WARC-Source-Block-Digest": own.get("WARC-Block-Digest") or digest(source["block"] or b""),
     }
     fields = [("http-status", status.decode("latin-1"))] + [(f"http-{k.lower()}", v) for k, v in http] + [(f"source-{k.lower()}", v) for k, v in sorted(own.items())]
-    for name, pattern in (("title", _TITLE), ("language", _LANG)):
-        if found := pattern.search(page):
-            fields.append((name, one_line(found[1])))
+    if found := _TITLE.search(page):
+        fields.append(("title", one_line(found[1])))
+    if (found := _HTML.search(page)) and (found := _LANG.search(found[1])):
+        fields.append(("language", one_line(found[1])))
     fields += [("outlink", one_line(next(g for g in m.groups() if g is not None))) for m in _LINK.finditer(page)]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode()), "conversion": ("text/plain; charset=utf-8", text_of(page).encode())}
     return [
@@ -154,7 +183,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def derivatives(records: DataFrame) -> DataFrame:
     """The metadata and conversion records (SCHEMA) of every response among the records, and its columns beside
-    them as source_id. Records of other types and null blocks of theirs give nothing."""
+    them as source_id. Records of other types give nothing; a null block counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

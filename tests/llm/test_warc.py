@@ -1,6 +1,9 @@
 import gzip
+import time
 from html.parser import HTMLParser
 
+import pytest
+
 from geoskein.llm import warc
 
 PAGE = '<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><!-- no --><p>one <b>two</b>&nbsp;three<br>four<script>x</script></p><a href="/l?a&amp;b">link</a> 1 &lt; 2</body></html>'
@@ -84,3 +87,23 @@ def test_unclosed_heads_and_templates_hide_no_body():
     assert warc.text_of("<header>one</header><p>two") == "one\ntwo"
     conv = warc.derive(warc.response("http://x/", head + "<body>" + "word " * 50))[1]
     assert conv["block"].decode().split() == ["word"] * 50
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p ", "<a href", "<a href=\"", "<a href='x", "<template>", "<noscript><p>", "<title>", "<title ", "<head>", "<head><title>", "<script ", "<html ", "<html lang", "<!--", "<style>", "< ", "<!", "</", "&", "</template><template>", "lang="])
+def test_hostile_pages_take_linear_time(piece):
+    for page in (piece * (1_000_000 // len(piece)), "<head>" + piece * (1_000_000 // len(piece)) + "</noscript>"):
+        began = time.process_time()
+        warc.derive(warc.response("http://x/", page))
+        assert time.process_time() - began < 2
+
+
+def test_cut_and_repeated_gzip_members():
+    words = " ".join(str(k * k) for k in range(9000)).encode()
+    whole = gzip.compress(words)
+    assert warc.inflated(whole) == words and warc.inflated(whole + gzip.compress(b"more")) == words + b"more"
+    cut = warc.inflated(whole[: len(whole) // 2])
+    assert len(cut) > len(words) // 4 and words.startswith(cut)
+    broken = bytearray(whole)
+    broken[len(whole) // 2] ^= 0xFF
+    assert words[:1000] == warc.inflated(bytes(broken))[:1000] and warc.inflated(b"") == warc.inflated(b"plain") == b""
+    assert warc.payload_text([("Content-Encoding", "gzip")], whole[:-9]) == words.decode()[: len(warc.inflated(whole[:-9]))] != ""

@@ -2,23 +2,27 @@
 
 A text is its words (ASCII-lower-cased, marked with U+2581) and one end. Every segmentation of a word into pieces of
 an existing vocabulary counts, weighted by the product of the pieces' probabilities, and a forward recursion in
-log space sums them. The vocabulary's scores, which are merge ranks, give the first weights by Zipf's law; one
-expectation-maximisation step over all distinct training words fits them to the corpus. Words seen in training
-are edges of the lattice as well, so that
+log space sums them. The vocabulary's scores, which are merge ranks, give the first weights by Zipf's law;
+expectation-maximisation steps over all training words, each as often as it occurs, fit them to the corpus. The end is a
+piece of its own, so that pieces and end sum to 1. A document's `lattice_score` is the logarithm of this probability.
+
+Words seen in training may be edges of the lattice as well (word_edges), so that
 
     P(word | class) = (1 - b) * (0.95 * c_class / N_class + 0.05 * c / N) + b * sum over segmentations,
 
 where b is the share of tokens that are seen once (Good and Turing's mass of the unseen), and N counts ends too.
 Classes are the languages of the training documents, the most frequent CLASSES - 1 and the rest; the language of
-a scored document isn't looked at, its probability is the sum over all classes.
+a scored document isn't looked at, its probability is the sum over all classes. `score` is this probability with word
+edges, and `lattice_score` again without.
 
-Counts are a distributed table. Only the HOT_WORDS most frequent words travel to every worker; the rest of the
+Counts are a distributed table. Only some HOT_WORDS most frequent words travel to every worker; the rest of the
 tokens are joined with the table.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +38,8 @@ HOT_WORDS = 100_000
 CLASSES = 6
 #: Weight of the vocabulary's own scores beside expected counts.
 PRIOR = 1000.0
+#: Expectation-maximisation steps.
+STEPS = 2
 FLUSH = 400_000
 #: Words up to this length are computed together with others as long, longer ones alone.
 TOGETHER = 48
@@ -47,9 +53,10 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Lattice:
-    """Pieces with log probabilities (natural) that sum to 1; byte pieces serve characters no piece begins with."""
+    """Pieces with log probabilities (natural) that sum to 1 together with the end's; byte pieces serve characters no
+    piece begins with. counts: expected uses of the pieces; ends: those of the end."""
 
-    def __init__(self, v: Vocabulary, counts: np.ndarray | None = None):
+    def __init__(self, v: Vocabulary, counts: np.ndarray | None = None, ends: float = 0.0):
         n = len(v.text_of)
         ranks = np.full(n, np.inf)
         for k, score in v.ids.values():
@@ -58,7 +65,8 @@ class Lattice:
         for k in v.bytes_at.values():
             prior[k] = 1 / n**2
         prior /= prior.sum()
-        p = prior if counts is None else (counts + PRIOR * prior) / (counts.sum() + PRIOR)
+        p = prior if counts is None else (counts + PRIOR * prior) / (counts.sum() + PRIOR + ends)
+        self.end = math.log(ends / (counts.sum() + PRIOR + ends)) if ends else 0.0
         with np.errstate(divide="ignore"):
             self.log = np.log(p)
         self.pieces = {piece: (k, float(self.log[k])) for piece, (k, _) in v.ids.items()}
@@ -126,9 +134,9 @@ class Lattice:
             left, where, key = left[go], where[go], key[go]
         return flat.reshape(h.shape)
 
-    def _together(self, words: list[str], expected: np.ndarray | None) -> np.ndarray:
-        """log_probability() of words of one length, and their expected pieces added to `expected`. Row k - 1 of the
-        pieces and their logs holds those of k characters, by where they start."""
+    def _together(self, words: list[str], expected: np.ndarray | None, times: np.ndarray) -> np.ndarray:
+        """log_probability() of words of one length, and their expected pieces, so many times, added to `expected`. Row
+        k - 1 of the pieces and their logs holds those of k characters, by where they start."""
         n, many = len(words[0]), len(words)
         chars = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(many, n).T.astype(np.uint64)
         ids = []
@@ -156,15 +164,16 @@ class Lattice:
                     beta[start] = _summed_rows(np.stack([beta[start + k] + logs[k - 1][start] for k in range(1, min(n - start, len(logs)) + 1)]))
                 for k in range(1, len(logs) + 1):
                     use = ids[k - 1] >= 0
-                    share = np.exp(np.minimum(0, alpha[: n - k + 1] + logs[k - 1] + beta[k:] - alpha[n]))
+                    share = np.exp(np.minimum(0, alpha[: n - k + 1] + logs[k - 1] + beta[k:] - alpha[n])) * times
                     expected += np.bincount(ids[k - 1][use], weights=np.nan_to_num(share[use]), minlength=len(expected))
                     if k == 1:
                         for t, w, own in fallback:
                             np.add.at(expected, own, share[t, w])
         return alpha[n]
 
-    def log_probabilities(self, words: list[bytes], expected: np.ndarray | None = None) -> np.ndarray:
-        """log_probability() of each word; `expected`, if given, gains what expect() adds for each."""
+    def log_probabilities(self, words: list[bytes], expected: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+        """log_probability() of each word; `expected`, if given, gains what expect() adds for each, so many times."""
+        times = np.ones(len(words)) if times is None else times
         if not hasattr(self, "keys"):
             self._table()
         out = np.zeros(len(words))
@@ -176,11 +185,11 @@ class Lattice:
             else:
                 out[k] = self.log_probability(words[k])
                 if expected is not None:
-                    self.expect(words[k], expected)
+                    self.expect(words[k], expected, times[k])
         for size, own in by_size.items():
             for at in range(0, len(own), 4096):
                 part = own[at : at + 4096]
-                out[part] = self._together([texts[k] for k in part], expected)
+                out[part] = self._together([texts[k] for k in part], expected, times[part])
         return out
 
     def log_probability(self, word: bytes) -> float:
@@ -271,9 +280,10 @@ class Model:
         return (1 - self.unseen) * (0.95 * own + 0.05 * counts.sum(axis=1, keepdims=True) / self.total)
 
     def word_logs(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        pieces = math.log(self.unseen) + self.lattice.log_probabilities(words)
+        """Logs of each word's probability in every class with word edges, and last by the lattice alone."""
+        pieces = self.lattice.log_probabilities(words)[:, None]
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(self.seen(counts)), pieces[:, None])
+            return np.concatenate([np.logaddexp(np.log(self.seen(counts)), math.log(self.unseen) + pieces), pieces], axis=1)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts.sum(axis=1) + 0.5) - self.base_floor
@@ -285,8 +295,29 @@ class Model:
         return np.log((self.ends + 0.5) / (self.ends.sum() + 0.5 * len(self.ends)))
 
 
-def scored(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hot_words: int = HOT_WORDS) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; scores are log10.
+def _frequent(table: DataFrame, names: list[str], distinct: int, most: int) -> tuple[list[bytes], np.ndarray]:
+    """About `most` most frequent words, at most a tenth more, with their counts. Each partition sends what is above one
+    threshold for all, in one piece."""
+    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    if distinct > most:
+        least = table.agg(F.percentile_approx(total, 1 - most / distinct, max(10_000, 10 * distinct // most))).first()[0]
+        table = table.filter(total > F.lit(least))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"packed": [pickle.dumps(([bytes(w) for w in pdf.word], pdf[names].to_numpy(np.int64)))]})
+
+    parts = [pickle.loads(r.packed) for r in table.mapInPandas(pack, "packed binary").collect()]
+    words = [w for own, _ in parts for w in own]
+    return words, np.concatenate([c for _, c in parts]) if parts else np.zeros((0, len(names)), np.int64)
+
+
+def scored(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hot_words: int = HOT_WORDS, word_edges: bool = True) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) for every row; scores are log10.
+
+    lattice_score is the marginal over the segmentations into pieces alone; score has training words as edges too, or
+    without word_edges is the same.
 
     Null text counts as empty: its only token is the end. Repeated rows count each, in training as well; null ids
     fall into the fold of the empty text. Without training rows every word is unseen. Empty in, empty out.
@@ -305,28 +336,31 @@ def scored(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
     ends = table.filter(F.length("word") == 0).select(*names).first()
     sums, ends = np.array([facts[c] for c in names]), np.array(ends if ends else [0] * many)
 
-    first = spark.sparkContext.broadcast(Lattice(vocabulary(pieces)))
-    size = len(first.value.log)
-
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        into = np.zeros(size)
-        for pdf in batches:
-            first.value.log_probabilities([bytes(w) for w in pdf.word], into)
-        used = np.flatnonzero(into)
-        yield pd.DataFrame({"piece": used, "n": into[used]})
-
-    found = table.filter(F.length("word") > 0).select("word").mapInPandas(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece of the vocabulary
-    expected = np.zeros(size)
-    for r in sorted(found, key=lambda r: r.piece):
-        expected[r.piece] = r.n
-    model = Model(Lattice(vocabulary(pieces), expected), sums, ends, facts["v"], facts["once"])
+    lattice = Lattice(vocabulary(pieces))
+    size = len(lattice.log)
+    words_of = table.filter(F.length("word") > 0).select("word", all_c.alias("n"))
+    for _ in range(STEPS):
+        fitted = spark.sparkContext.broadcast(lattice)
+
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            into = np.zeros(size)
+            for pdf in batches:
+                fitted.value.log_probabilities([bytes(w) for w in pdf.word], into, pdf.n.to_numpy(np.float64))  # noqa: B023
+            used = np.flatnonzero(into)
+            yield pd.DataFrame({"piece": used, "n": into[used]})
+
+        # a row for each piece of the vocabulary
+        found = words_of.mapInPandas(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        expected = np.zeros(size)
+        for r in sorted(found, key=lambda r: r.piece):
+            expected[r.piece] = r.n
+        lattice = Lattice(vocabulary(pieces), expected, float(ends.sum()))
+    model = Model(lattice, sums, ends, facts["v"], facts["once"])
     shared = spark.sparkContext.broadcast(model)
-    head = table.filter(F.length("word") > 0).orderBy(all_c.desc(), "word").limit(hot_words).toPandas()
-    hot_list = [bytes(w) for w in head.word]
-    counts = head[names].to_numpy(np.int64).reshape(len(head), many)
-    logs = model.word_logs(hot_list, counts) if hot_list else np.zeros((0, many))
-    hot = spark.sparkContext.broadcast((hot_list, np.concatenate([logs, model.base(counts)[:, None]], axis=1) if hot_list else np.zeros((0, many + 1))))
-    s_names = [f"s{k}" for k in range(many)]
+    hot_list, counts = _frequent(table.filter(F.length("word") > 0).select("word", *names), names, facts["v"], hot_words)
+    logs = model.word_logs(hot_list, counts) if hot_list else np.zeros((0, many + 1))
+    hot = spark.sparkContext.broadcast((hot_list, np.concatenate([logs, model.base(counts)[:, None]], axis=1) if hot_list else np.zeros((0, many + 2))))
+    s_names = [*[f"s{k}" for k in range(many)], "alone"]
     float_cols = [*s_names, "base"]
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -377,11 +411,12 @@ def scored(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
     one = both.groupBy("key").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *[F.sum(c).alias(c) for c in float_cols])
     end_known = int(ends.sum() > 0)
     at_end, prior = model.end_logs(), model.class_logs()
-    joint = [F.col(c) + F.lit(float(at_end[k] + prior[k])) for k, c in enumerate(s_names)]
+    joint = [F.col(c) + F.lit(float(at_end[k] + prior[k])) for k, c in enumerate(s_names[:-1])]
     peak = F.greatest(*joint) if many > 1 else joint[0]
     score = (peak + F.log(sum((F.exp(j - peak) for j in joint[1:]), F.exp(joint[0] - peak)))) / math.log(10)
+    alone = (F.col("alone") + F.lit(lattice.end)) / math.log(10)
     base_end = float(model.base(ends[None, :])[0])
     return one.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + end_known).alias("n_known"),
-        F.lit(int(sums.sum())).cast("long").alias("train_tokens"), (F.col("base") + base_end).alias("base_score"), score.alias("score"),
+        F.lit(int(sums.sum())).cast("long").alias("train_tokens"), (F.col("base") + base_end).alias("base_score"), (score if word_edges else alone).alias("score"), alone.alias("lattice_score"),
     )

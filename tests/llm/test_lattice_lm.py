@@ -83,6 +83,21 @@ def test_documents(spark):
     again = {x.doc_id: x.score for x in lm.scored(docs, PATH).collect()}
     assert all(again[x.doc_id] == pytest.approx(x.score, rel=1e-9) for x in full)
     assert lm.scored(docs.limit(0), PATH).count() == 0
+    # the lattice alone: all segmentations of all words and the end, by the pieces fitted here
+    assert all(x.lattice_score < 0 and again[x.doc_id] != x.lattice_score for x in full)
+    alone = {x.doc_id: (x.score, x.lattice_score) for x in lm.scored(docs, PATH, word_edges=False).collect()}
+    train = Counter(t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1 for t in lm.tokens((t or "").encode()))
+    ends = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _, _ in rows)
+    lattice = lm.Lattice(vocabulary(PATH))
+    for _ in range(lm.STEPS):
+        into = np.zeros(len(lattice.log))
+        for w, n in train.items():
+            lattice.expect(w, into, n)
+        lattice = lm.Lattice(vocabulary(PATH), into, ends)
+    assert np.exp(lattice.log[np.isfinite(lattice.log)]).sum() + math.exp(lattice.end) == pytest.approx(1)
+    for i, t, _ in rows:
+        mine = (sum(lattice.log_probability(w) for w in lm.tokens((t or "").encode())) + lattice.end) / math.log(10)
+        assert alone[i][0] == alone[i][1] == pytest.approx(mine, rel=1e-7)
     twice = docs.union(docs.filter("doc_id = 3")).drop("lang")
     assert lm.scored(twice, PATH).filter("doc_id = 3").count() == 2
 
@@ -100,11 +115,12 @@ def test_long_unseen_words_keep_their_log_probability():
     words = [b"q" * 40, b"/x7Kq" * 100, "日本ßé".encode() * 200, b"new" + b"x" * 3000]
     got = m.word_logs(words, np.zeros((len(words), 2), np.int64))
     for w, logs in zip(words, got):
-        assert logs == pytest.approx(math.log(m.unseen) + lattice.log_probability(w), rel=1e-9)
+        alone = lattice.log_probability(w)
+        assert logs[:-1] == pytest.approx(math.log(m.unseen) + alone, rel=1e-9) and logs[-1] == pytest.approx(alone, rel=1e-9)
     assert got[-1].max() < -1000
     # seen words as before
     counts = np.array([[30, 5]])
-    assert m.word_logs([b"the"], counts) == pytest.approx(np.log(m.seen(counts) + m.unseen * math.exp(lattice.log_probability(b"the"))))
+    assert m.word_logs([b"the"], counts)[:, :-1] == pytest.approx(np.log(m.seen(counts) + m.unseen * math.exp(lattice.log_probability(b"the"))))
 
 
 def test_score_of_a_document_with_a_long_unseen_word(spark):

@@ -19,6 +19,16 @@ def regular_samples(ring: np.ndarray, interval: float) -> tuple[np.ndarray, np.n
     return ring[1:][seg] + unit[seg] * (d - cum[seg])[:, None], seg
 
 
+def along(ring: np.ndarray, distance: float) -> np.ndarray:
+    """The point of a closed ring at a distance from its first vertex; below 0 from its end."""
+    step = np.diff(ring, axis=0)
+    length = np.sqrt((step * step).sum(axis=1))
+    cum = np.cumsum(length)
+    distance = distance % cum[-1]
+    k = min(int(np.searchsorted(cum, distance, side="left")), len(cum) - 1)
+    return ring[k + 1] + (step[k] / length[k] if length[k] else 0 * step[k]) * (distance - cum[k])
+
+
 def proxy_ring(points: np.ndarray, seg: np.ndarray) -> np.ndarray | None:
     """The first and last sample of each boundary segment, closed; None for a ring of fewer than three samples."""
     if len(points) < 3:
@@ -35,6 +45,10 @@ def localizers(points: np.ndarray) -> np.ndarray:
     return np.array([[low[0] - reach, mid[1]], [high[0] + reach, mid[1]], [mid[0], low[1] - reach], [mid[0], high[1] + reach]])
 
 
+#: Points between two looks for final triangles.
+SWEPT = 16
+
+
 def circumcircles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(centers, squared radii) of triangles; flat ones have infinite radii."""
     a, b, c = p[tri[:, 0]], p[tri[:, 1]], p[tri[:, 2]]
@@ -58,33 +72,26 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     shift = np.random.default_rng(n).random((n, 2)) - 0.5
     p = (points - points.mean(axis=0)) / span + 1e-9 * shift
     p = np.vstack([p, [[-300.0, -200.0], [300.0, -200.0], [0.0, 400.0]]])
-    room = 4 * n + 64
-    tri, center, radius = np.zeros((room, 3), np.int64), np.zeros((room, 2)), np.full(room, -1.0)
-    tri[0] = (n, n + 1, n + 2)
-    center[:1], radius[:1] = circumcircles(p, tri[:1])
-    used, free = 1, []
-    for k in np.lexsort((p[:n, 1], p[:n, 0])).tolist():
-        d = center[:used] - p[k]
-        bad = np.flatnonzero((d * d).sum(axis=1) < radius[:used])
+    # points come from left to right: a triangle whose circle lies left of the next point is final
+    tri = np.array([[n, n + 1, n + 2]])
+    center, radius = circumcircles(p, tri)
+    final = []
+    for turn, k in enumerate(np.lexsort((p[:n, 1], p[:n, 0])).tolist()):
+        if turn % SWEPT == 0:
+            done = center[:, 0] + np.sqrt(radius) < p[k, 0] - 1e-6
+            final.append(tri[done])
+            tri, center, radius = tri[~done], center[~done], radius[~done]
+        d = center - p[k]
+        bad = (d * d).sum(axis=1) < radius
         edges: dict[tuple[int, int], int] = {}
         for a, b, c in tri[bad].tolist():
             for e in ((a, b), (b, c), (a, c)):
                 e = e if e[0] < e[1] else (e[1], e[0])
                 edges[e] = edges.get(e, 0) + 1
-        rim = [e for e, times in edges.items() if times == 1]
-        free.extend(bad.tolist())
-        radius[bad] = -1.0
-        spots = []
-        for _ in rim:
-            if free:
-                spots.append(free.pop())
-            else:
-                spots.append(used)
-                used += 1
-        new = np.array([(a, b, k) for a, b in rim])
-        tri[spots] = new
-        center[spots], radius[spots] = circumcircles(p, new)
-    live = tri[:used][radius[:used] >= 0]
+        new = np.array([(a, b, k) for (a, b), times in edges.items() if times == 1])
+        more, r = circumcircles(p, new)
+        tri, center, radius = np.concatenate([tri[~bad], new]), np.concatenate([center[~bad], more]), np.concatenate([radius[~bad], r])
+    live = np.concatenate([*final, tri])
     live = np.sort(live[(live < n).all(axis=1)], axis=1)
     return live[np.lexsort(live.T[::-1])]
 

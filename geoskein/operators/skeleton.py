@@ -21,19 +21,17 @@ from geoskein.sources.scratch import materialise
 
 RECORD = (
     "poly_id string, record string, kind string, a long, b long, samp1 long, samp2 long, idxs array<long>, xs array<double>, ys array<double>, zs array<double>, "
-    "length2d double, untailed_length2d double, norm_length double, stem_width double, x double, y double, z double, graph_degree long, part_degree long, status string"
+    "widths array<double>, length2d double, untailed_length2d double, norm_length double, untailed_norm_length double, stem_width double, x double, y double, z double, graph_degree long, part_degree long, status string"
 )
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 
-def _path(points: list[np.ndarray]) -> float:
-    p = np.array(points)
-    return float(np.sqrt((np.diff(p[:, :2], axis=0) ** 2).sum(axis=1)).sum())
-
-
 def records(poly_id: str, rings: list[np.ndarray], o: S.Options) -> list[dict]:
     """Everything the kernel finds for a polygon, a dict for each record. A failure is a status, not an exception."""
-    out = S.skeletonize(rings, o)
+    try:
+        out = S.skeletonize(rings, o)
+    except (ValueError, ArithmeticError, LookupError) as e:
+        return [{"poly_id": poly_id, "record": "polygon", "status": f"failed: {e}"}]
     made = [{"record": "polygon", "status": out.status, "a": len(out.samples)}]
     for k, (p, r) in enumerate(zip(out.samples, out.sample_ring)):
         made.append({"record": "sample", "a": k, "b": int(r), "x": p[0], "y": p[1], "z": p[2] if len(p) > 2 else None})
@@ -55,12 +53,11 @@ def records(poly_id: str, rings: list[np.ndarray], o: S.Options) -> list[dict]:
                 zs = [height[v] for v in line.chain] if height else None
                 before, after = line.tails.get(line.chain[0]), line.tails.get(line.chain[-1])
                 full = [before] * (before is not None) + pts + [after] * (after is not None)
-                norm = p.norm_length(line)
-                tailed = _path(full)
+                stem_width = None if line.stem is None else 2 * float(p.half_width[out.graph.origin[line.stem]])
                 made.append({
                     "record": "line", "kind": line.kind, "a": line.chain[0], "b": line.chain[-1], "idxs": line.chain, "xs": [q[0] for q in full], "ys": [q[1] for q in full], "zs": zs,
-                    "length2d": tailed, "untailed_length2d": line.length, "norm_length": None if norm is None else norm * (tailed / line.length if line.length else 1.0),
-                    "stem_width": None if line.stem is None else 2 * float(p.half_width[out.graph.origin[line.stem]]),
+                    "widths": [2 * float(p.half_width[out.graph.origin[v]]) for v in line.chain], "length2d": p.tailed(line), "untailed_length2d": line.length, "norm_length": p.norm_length(line),
+                    "untailed_norm_length": 2 * line.length / stem_width if stem_width else None, "stem_width": stem_width,
                 })
             for v in sorted(p.degree):
                 kind = {1: "stub", 2: "binode", 3: "hub"}.get(p.degree[v], "hyperhub")
@@ -127,9 +124,37 @@ class Skeletons:
 
     def lines(self, *kinds: str) -> DataFrame:
         """Partitioned lines, of the kinds asked for or all; loops carry their stem's width like branches."""
-        out = self._of("line", "kind", F.col("a").alias("from_vor"), F.col("b").alias("to_vor"), F.col("idxs").alias("vor_idxs"), "xs", "ys", "zs", "length2d", "untailed_length2d", "norm_length", "stem_width")
+        out = self._of("line", "kind", F.col("a").alias("from_vor"), F.col("b").alias("to_vor"), F.col("idxs").alias("vor_idxs"), "xs", "ys", "zs", "widths", "length2d", "untailed_length2d", "norm_length", "untailed_norm_length", "stem_width")
         return out.filter(F.col("kind").isin(*kinds)) if kinds else out
 
+    def measures(self) -> DataFrame:
+        """A line's key with what its vertices tell: counts without tails, length in space, rise, area, mean width, stem and stub.
+
+        A segment's width is the mean of those at its ends, and its area that width by its length. Heights are null in 2D.
+        """
+        at = lambda c, k: F.get(c, F.lit(k) if isinstance(k, int) else k)
+        own = self.lines()
+        n = F.size("vor_idxs")
+        # tails stand before and after the vertices
+        before = F.when(F.col("kind").isin("trunk", "branch"), F.size("xs") - n).otherwise(0)
+        of_node = self._of("node", F.col("a").alias("node"), F.col("x").alias("node_x"), F.col("y").alias("node_y"))
+        own = own.join(of_node, (own.poly_id == of_node.poly_id) & (own.from_vor == of_node.node), "left").drop(of_node.poly_id)
+        first = F.when(at("xs", 0).eqNullSafe(F.col("node_x")) & at("ys", 0).eqNullSafe(F.col("node_y")), 0).otherwise(F.least(before, F.lit(1)))
+        part = lambda c: F.slice(c, first + 1, n)
+        own = own.withColumns({"vx": part("xs"), "vy": part("ys"), "last": n - 2})
+        steps = lambda body: F.transform(F.sequence(F.lit(0), F.col("last")), body)
+        d = lambda c, k: F.get(c, k + 1) - F.get(c, k)
+        flat = lambda k: F.sqrt(d("vx", k) * d("vx", k) + d("vy", k) * d("vy", k))
+        wide = lambda k: (F.get("widths", k) + F.get("widths", k + 1)) / 2
+        total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+        own = own.withColumns({"segment_widths": steps(wide), "area": total(steps(lambda k: flat(k) * wide(k))), "length3d": F.when(F.col("zs").isNotNull(), total(steps(lambda k: F.sqrt(flat(k) * flat(k) + d("zs", k) * d("zs", k)))))})
+        side = F.col("kind").isin("branch", "loop")
+        return own.select(
+            "poly_id", "kind", "from_vor", "to_vor", n.alias("vertex_count"), (n - 1).alias("segment_count"), "segment_widths", "area", (F.col("area") / F.col("untailed_length2d")).alias("mean_width"),
+            "length3d", (F.element_at("zs", -1) - at("zs", 0)).alias("delta_z"), F.when(side, at("vx", 0)).alias("stem_x"), F.when(side, at("vy", 0)).alias("stem_y"),
+            F.when(F.col("kind") == "branch", F.element_at("vx", -1)).alias("stub_x"), F.when(F.col("kind") == "branch", F.element_at("vy", -1)).alias("stub_y"),
+        )
+
     def nodes(self, kind: str = "all") -> DataFrame:
         """Nodes of the graph: all, stub, hub, binode, hyperhub, nonbinode, trunk, branch, branch_stem, branch_stub, bridge,
         loop, end; `next_` before one of the line kinds keeps what is in use already."""
@@ -157,13 +182,15 @@ class Skeletons:
         return self.lines().withColumns(turn | swap)
 
 
-def skeletonize(v: DataFrame, interval: float, max_samples: int | None = None, retry_rotated: bool = True, **options) -> Skeletons:
-    """Skeletons of every polygon. options: fields of kernel.skeleton.Options.
+def skeletonize(v: DataFrame, interval: float, max_samples: int | None = None, retry_rotated: bool = True, isolation_mode: str = "", **options) -> Skeletons:
+    """Skeletons of every polygon. options: fields of kernel.skeleton.Options; isolation_mode: some of its flags as one text,
+    as CUT_NAIVE_VERIFY. Options that no polygon can be made with raise here.
 
-    Polygons whose samples would be more than max_samples are left out of the kernel and have a status only. Where
+    A polygon that is none (short or open rings, coordinates that aren't finite) or fails has a status alone. Polygons whose samples would be more than max_samples are left out of the kernel and have a status only. Where
     isolation fails, the rings are begun at their next vertex and the kernel tries once more.
     """
-    o = S.Options(interval, **options)
+    o = S.Options(interval, **(S.isolation_flags(isolation_mode) | options))
+    S.check(o)
     axes = [c for c in ("x", "y", "z") if c in v.columns]
     v = v.withColumn("poly_id", F.col("poly_id").cast("string"))
     refused = None

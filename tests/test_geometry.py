@@ -122,6 +122,7 @@ def test_partition_invariants(mode):
     total = sum(e.length for e in out.edges) + sum(e.length for e in out.loops)
     assert sum(x.length for x in out.partition.lines) == pytest.approx(total)
     assert len([x for x in out.partition.lines if x.kind == "branch"]) == len(out.partition.stubs()) - 2
+    assert not any(out.partition.free.values())
     for x in out.partition.lines:
         assert x.kind != "branch" or out.partition.degree[x.stem] == 3
 
@@ -133,6 +134,139 @@ def test_skeleton_of_a_ring_has_a_loop_around_its_hole():
     assert out.status == "ok" and kinds & {"bridge", "loop"}
 
 
+def holed(holes):
+    """A rough disc with holes."""
+    r = np.random.default_rng(3)
+    angle = np.arange(60) * 2 * math.pi / 60
+    size = 10 + 2 * r.random(60)
+    disc = np.stack([size * np.cos(angle), size * np.sin(angle)], axis=1)
+    at = [(x, y) for x in (-4.0, 0.3, 4.2) for y in (-4.1, 0.0, 4.0)][:holes]
+    ring = np.array([[0, 0], [0, 1.3], [1.1, 1.2], [1.2, 0], [0, 0]])
+    return [np.vstack([disc, disc[:1]]), *[ring * (0.6 + 0.2 * k) + p for k, p in enumerate(at)]]
+
+
+def test_modes_differ():
+    made, lengths = {}, {}
+    for mode in S.MODES:
+        out = S.skeletonize(holed(6), S.Options(0.3, mode=mode))
+        made[mode] = sorted((x.kind, x.chain) for x in out.partition.lines)
+        lengths[mode] = {k: sum(x.length for x in out.partition.lines if x.kind == k) for k in ("branch", "bridge")}
+        assert out.status == "ok" and sum(x.length for x in out.partition.lines) == pytest.approx(sum(e.length for e in [*out.edges, *out.loops]))
+    assert made["MAX_BRIDGE"] == made["MAX_BRIDGE_MAX_BRANCH"]
+    assert len({str(x) for x in made.values()}) == 5
+    assert min(lengths[m]["bridge"] for m in S.MODES[:3]) > max(lengths[m]["bridge"] for m in S.MODES[3:])
+    longest = lambda mode, kind: max(len(c) for k, c in made[mode] if k == kind)
+    assert longest("MAX_BRANCH", "branch") >= longest("PREFER_BRANCH", "branch")
+
+
+@pytest.mark.parametrize("mode", S.MODES)
+def test_pruned_by_the_lengths_that_are_reported(mode):
+    """What pruning leaves is at the cutoff or above, and what it takes is below or hung on what it took."""
+    for holes, cut in ((0, 1.1), (3, 1.15)):
+        rings = holed(holes)
+        whole = S.skeletonize(rings, S.Options(0.3, mode=mode)).partition
+        some = S.skeletonize(rings, S.Options(0.3, mode=mode, min_normalized_length=cut)).partition
+        left = [x for x in some.lines if x.kind == "branch"]
+        assert left and all(some.norm_length(x) >= cut for x in left)
+        assert {v for x in left for v in x.tails} == {x.stub for x in left if some.tail_of(x.stub) is not None}
+        if not holes:
+            chains = {tuple(x.chain) for x in left}
+            gone = [x for x in whole.lines if x.kind == "branch" and tuple(x.chain) not in chains]
+            lost = {v for x in gone for v in x.chain}
+            assert all(whole.norm_length(x) < cut or x.stem in lost for x in gone)
+
+
+def test_limits_of_kinds():
+    rings = holed(4)
+    kinds = lambda **o: {x.kind for x in S.skeletonize(rings, S.Options(0.3, **o)).partition.lines}
+    assert kinds() == {"trunk", "branch", "bridge"}
+    assert kinds(shortest_branch=-1) == {"trunk", "bridge"} and kinds(shortest_bridge=-1) == {"trunk", "branch"}
+    assert kinds(mode="PREFER_BRANCH", shortest_branch=-1) == {"trunk", "bridge"}
+    few = S.skeletonize(rings, S.Options(0.3, max_branch_count=2)).partition.lines
+    assert sum(x.kind == "branch" for x in few) == 2
+    long = S.skeletonize(rings, S.Options(0.3, shortest_branch=2.0)).partition.lines
+    assert all(x.length >= 2 for x in long if x.kind == "branch")
+
+
+def test_cross_by_hand():
+    """A plus of arms of width 2: the trunk runs through two of them, each other is a branch from the centre."""
+    plus = np.array([(-1, -1), (-1, -9), (1, -9), (1, -1), (7, -1), (7, 1), (1, 1), (1, 6), (-1, 6), (-1, 1), (-8, 1), (-8, -1), (-1, -1)], float)
+    lines = S.skeletonize([plus], S.Options(0.05, min_normalized_length=4.0)).partition.lines
+    ends = {"N": (0, 6), "S": (0, -9), "E": (7, 0), "W": (-8, 0)}
+    # the four arms meet in one point, cracked into nodes that lines of no length join
+    assert sorted(x.kind for x in lines if x.length > 0.1) == ["branch", "branch", "trunk"]
+    p = S.skeletonize([plus], S.Options(0.05, min_normalized_length=4.0)).partition
+    trunk = next(x for x in p.lines if x.kind == "trunk")
+    # corner tips run at 45 degrees from one unit before an arm's end: sqrt(2) there for 1 along the arm
+    assert trunk.length == pytest.approx(9 + 8 - 2 + 2 * math.sqrt(2), abs=0.3)
+    got = sorted(x.length for x in p.lines if x.kind == "branch")
+    assert got == pytest.approx([6 - 1 + math.sqrt(2), 7 - 1 + math.sqrt(2)], abs=0.3)
+    assert all(np.hypot(*p.g.xy[x.stem]) < 0.6 for x in p.lines if x.kind == "branch") and len(ends) == 4
+    for x in p.lines:
+        if x.kind == "branch":
+            # the inner corners are sqrt(2) from the centre
+            assert 2 * p.half_width[p.g.origin[x.stem]] == pytest.approx(2 * math.sqrt(2), abs=0.15)
+
+
+def test_trunk_modes():
+    plus = np.array([(-1, -1, 0), (-1, -9, 0), (1, -9, 0), (1, -1, 3), (7, -1, 9), (7, 1, 9), (1, 1, 3), (1, 6, 4), (-1, 6, 4), (-1, 1, 3), (-8, 1, 2), (-8, -1, 2), (-1, -1, 0)], float)
+    at = lambda mode, **o: sorted(tuple(np.round(np.array(p.g.xy[v])).astype(int) + 0) for p in [S.skeletonize([plus], S.Options(0.1, trunk_mode=mode, **o)).partition] for v in (p.lines[0].chain[0], p.lines[0].chain[-1]))
+    arm = lambda xy: "N" if xy[1] >= 5 else "S" if xy[1] <= -8 else "E" if xy[0] >= 6 else "W" if xy[0] <= -7 else "?"
+    arms = lambda *a, **o: {arm(xy) for xy in at(*a, **o)}
+    assert arms("DEFAULT") == {"S", "W"} and arms("euclidean") == {"N", "S"} or arms("EUCLIDEAN") == {"E", "W"}
+    assert arms("NEAR_0_6") == {"N", "S"} and arms("NEAR_7_0_AND_0_6.5") == {"E", "N"}
+    assert arms("HIGH_LOW") == {"E", "S"} and arms("MIN_RELIEF_8") == {"E", "S"} and arms("MIN_RELIEF_95%") == {"E", "S"}
+    assert arms("MIN_EUCLIDEAN_14.9") in ({"N", "S"}, {"E", "W"}) and "E" in arms("EUCLIDEAN3D")
+    for mode in ("EUCLIDEAN4D", "NEAR_1", "", "MIN_RELIEF_x"):
+        with pytest.raises(ValueError, match="unknown trunk mode"):
+            S.check(S.Options(0.1, trunk_mode=mode))
+    with pytest.raises(ValueError, match="one trunk"):
+        S.check(S.Options(0.1, trunk_mode="HIGH_LOW", max_trunk_count=2))
+    assert S.skeletonize([plus], S.Options(0.1, trunk_mode="MIN_EUCLIDEAN_99")).status == "no path meets the trunk mode"
+    assert S.isolation_flags("cut_NAIVE") == {"cut": True, "naive": True}
+    with pytest.raises(ValueError):
+        S.isolation_flags("CUT_ME")
+
+
+def test_bad_polygons_have_a_status(spark):
+    good = [(0, i, x, y, 1.0) for i, (x, y) in enumerate(T_RING)]
+    bad = {
+        "one": [(0, 0, 1.0, 1.0, 0.0)], "nan": [(0, i, float("nan") if i == 3 else x, y, 1.0) for i, (x, y) in enumerate(T_RING)], "open": good[:-1], "flat": [(0, i, 1.0, 1.0, 0.0) for i in range(5)],
+        "hole": [*good, (1, 0, 2.0, 1.0, 0.0)], "null": [(0, i, None if i == 2 else x, y, 1.0) for i, (x, y) in enumerate(T_RING)],
+    }
+    rows = [(k, *r) for k, own in (bad | {"good": good}).items() for r in own]
+    v = spark.createDataFrame(rows, "poly_id string, ring int, i long, x double, y double, z double")
+    out = K.skeletonize(v, 0.2, min_normalized_length=3.0)
+    status = {r.poly_id: r.status for r in out.status().collect()}
+    assert status.pop("good") == "ok" and len(status) == len(bad) and all(s.startswith("failed: ") for s in status.values())
+    assert {r.poly_id for r in out.lines().collect()} == {"good"}
+    low = K.skeletonize(v.drop("z"), 0.2, trunk_mode="HIGH_LOW").status().collect()
+    assert all(r.status.startswith("failed: ") for r in low)
+    with pytest.raises(ValueError, match="unknown trunk mode"):
+        K.skeletonize(v, 0.2, trunk_mode="EUCLIDEAN4D")
+
+
+def test_line_measures(spark):
+    rows = [("p", 0, i, x, y, 2.0 * x) for i, (x, y) in enumerate(T_RING)]
+    out = K.skeletonize(spark.createDataFrame(rows, "poly_id string, ring int, i long, x double, y double, z double"), 0.2, min_normalized_length=3.0)
+    lines, got = {(r.from_vor, r.to_vor): r for r in out.lines().collect()}, out.measures().collect()
+    node = {r.vor_idx: (r.x, r.y) for r in out.nodes().collect()}
+    assert len(got) == len(lines) == 2
+    for m in got:
+        r = lines[m.from_vor, m.to_vor]
+        first = next(k for k in range(2) if (r.xs[k], r.ys[k]) == node[r.from_vor])
+        xy = list(zip(r.xs, r.ys))[first : first + len(r.vor_idxs)]
+        steps = [math.dist(a, b) for a, b in zip(xy, xy[1:])]
+        widths = [(a + b) / 2 for a, b in zip(r.widths, r.widths[1:])]
+        assert sum(steps) == pytest.approx(r.untailed_length2d) and m.vertex_count == len(r.vor_idxs) == m.segment_count + 1
+        assert list(m.segment_widths) == pytest.approx(widths) and m.area == pytest.approx(sum(a * b for a, b in zip(steps, widths)))
+        assert m.mean_width == pytest.approx(m.area / r.untailed_length2d) and m.delta_z == pytest.approx(r.zs[-1] - r.zs[0])
+        assert m.length3d == pytest.approx(sum(math.hypot(s, a - b) for s, a, b in zip(steps, r.zs, r.zs[1:])))
+        if m.kind == "branch":
+            assert (m.stem_x, m.stem_y) == node[m.from_vor] and (m.stub_x, m.stub_y) == node[m.to_vor]
+            assert r.length2d > r.untailed_length2d and r.norm_length == pytest.approx(2 * r.length2d / r.stem_width)
+
+
 def test_pruning_and_moves():
     whole = S.skeletonize([T_ARRAY], S.Options(0.2, tails=False)).partition.lines
     none = S.skeletonize([T_ARRAY], S.Options(0.2, tails=False, min_normalized_length=0.0)).partition.lines

@@ -208,7 +208,9 @@ def skeletonize(v: DataFrame, interval: float, max_samples: int | None = None, r
         blank = dict.fromkeys(_NAMES)
         return pd.DataFrame([blank | m for m in made], columns=_NAMES).astype({c.split()[0]: "Int64" for c in RECORD.split(", ") if c.endswith(" long")})
 
-    table = v.groupBy("poly_id").applyInPandas(kernel, RECORD)
+    # a given number of partitions: what is few bytes is much work, and must not be coalesced
+    parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = v.repartition(parts, "poly_id").groupBy("poly_id").applyInPandas(kernel, RECORD)
     if refused is not None:
         over = refused.select("poly_id", F.lit("polygon").alias("record"), F.col("est_samples").alias("a"), F.lit("too many samples").alias("status"))
         table = table.unionByName(over, allowMissingColumns=True)

@@ -7,6 +7,7 @@ written once to the shared folder; each result is a filter of that table, so ask
 from __future__ import annotations
 
 import math
+from collections.abc import Collection
 from dataclasses import asdict
 
 import numpy as np
@@ -26,29 +27,33 @@ RECORD = (
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 
-def records(poly_id: str, rings: list[np.ndarray], o: S.Options) -> list[dict]:
-    """Everything the kernel finds for a polygon, a dict for each record. A failure is a status, not an exception."""
+#: What may be asked for, beside the status that every polygon has.
+OUTPUTS = ("sample", "test_ring", "vor_vertex", "vor_ridge", "graph_edge", "cut_node", "line", "node")
+
+
+def records(poly_id: str, rings: list[np.ndarray], o: S.Options, outputs: Collection[str] = OUTPUTS) -> list[dict]:
+    """What the kernel finds for a polygon, a dict for each record of the kinds asked for. A failure is a status, not an exception."""
     try:
         out = S.skeletonize(rings, o)
     except (ValueError, ArithmeticError, LookupError) as e:
         return [{"poly_id": poly_id, "record": "polygon", "status": f"failed: {e}"}]
     made = [{"record": "polygon", "status": out.status, "a": len(out.samples)}]
-    for k, (p, r) in enumerate(zip(out.samples, out.sample_ring)):
+    for k, (p, r) in enumerate(zip(out.samples, out.sample_ring) if "sample" in outputs else ()):
         made.append({"record": "sample", "a": k, "b": int(r), "x": p[0], "y": p[1], "z": p[2] if len(p) > 2 else None})
     made += [{"record": "test_ring", "a": k, "xs": t[:, 0], "ys": t[:, 1]} for k, t in enumerate(out.test)]
-    if out.voronoi is not None:
+    if out.voronoi is not None and {"vor_vertex", "vor_ridge"} & set(outputs):
         made += [{"record": "vor_vertex", "a": k, "x": p[0], "y": p[1]} for k, p in enumerate(out.voronoi.vertices)]
         for (s1, s2, v1, v2), edge in zip(out.voronoi.ridges.tolist(), out.is_peripheral):
             made.append({"record": "vor_ridge", "samp1": s1, "samp2": s2, "a": v1, "b": v2, "kind": "peripheral" if edge else "nonperipheral"})
     if out.graph is not None:
         xy = out.graph.xy
         for kind, edges in (("graph", out.edges), ("quarantined_loop", out.loops)):
-            for e in edges:
+            for e in edges if "graph_edge" in outputs else ():
                 made.append({"record": "graph_edge", "kind": kind, "a": e.ends[0], "b": e.ends[1], "idxs": e.chain, "xs": [xy[v][0] for v in e.chain], "ys": [xy[v][1] for v in e.chain], "length2d": e.length})
         made += [{"record": "cut_node", "a": v, "x": xy[v][0], "y": xy[v][1]} for v in out.cut_nodes]
         if (p := out.partition) is not None:
             height = p.z
-            for line in p.lines:
+            for line in p.lines if "line" in outputs else ():
                 pts = [np.array(xy[v]) for v in line.chain]
                 zs = [height[v] for v in line.chain] if height else None
                 before, after = line.tails.get(line.chain[0]), line.tails.get(line.chain[-1])
@@ -59,10 +64,10 @@ def records(poly_id: str, rings: list[np.ndarray], o: S.Options) -> list[dict]:
                     "widths": [2 * float(p.half_width[out.graph.origin[v]]) for v in line.chain], "length2d": p.tailed(line), "untailed_length2d": line.length, "norm_length": p.norm_length(line),
                     "untailed_norm_length": 2 * line.length / stem_width if stem_width else None, "stem_width": stem_width,
                 })
-            for v in sorted(p.degree):
+            for v in sorted(p.degree) if "node" in outputs else ():
                 kind = {1: "stub", 2: "binode", 3: "hub"}.get(p.degree[v], "hyperhub")
                 made.append({"record": "node", "kind": kind, "a": v, "x": xy[v][0], "y": xy[v][1], "z": height[v] if height else None, "graph_degree": p.degree[v], "part_degree": p.part[v]})
-    return [{"poly_id": poly_id} | m for m in made]
+    return [{"poly_id": poly_id} | m for m in made if m["record"] == "polygon" or m["record"] in outputs]
 
 
 def preflight(v: DataFrame, interval: Column | float) -> DataFrame:
@@ -182,15 +187,17 @@ class Skeletons:
         return self.lines().withColumns(turn | swap)
 
 
-def skeletonize(v: DataFrame, interval: float, max_samples: int | None = None, retry_rotated: bool = True, isolation_mode: str = "", **options) -> Skeletons:
+def skeletonize(v: DataFrame, interval: float, max_samples: int | None = None, retry_rotated: bool = True, isolation_mode: str = "", outputs: Collection[str] = OUTPUTS, **options) -> Skeletons:
     """Skeletons of every polygon. options: fields of kernel.skeleton.Options; isolation_mode: some of its flags as one text,
-    as CUT_NAIVE_VERIFY. Options that no polygon can be made with raise here.
+    as CUT_NAIVE_VERIFY; outputs: the kinds of records to write, the status beside them. Options that no polygon can be made with raise here.
 
     A polygon that is none (short or open rings, coordinates that aren't finite) or fails has a status alone. Polygons whose samples would be more than max_samples are left out of the kernel and have a status only. Where
     isolation fails, the rings are begun at their next vertex and the kernel tries once more.
     """
     o = S.Options(interval, **(S.isolation_flags(isolation_mode) | options))
     S.check(o)
+    if unknown := set(outputs) - set(OUTPUTS):
+        raise ValueError(f"unknown outputs {sorted(unknown)}")
     axes = [c for c in ("x", "y", "z") if c in v.columns]
     v = v.withColumn("poly_id", F.col("poly_id").cast("string"))
     refused = None
@@ -202,14 +209,14 @@ def skeletonize(v: DataFrame, interval: float, max_samples: int | None = None, r
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = S.Options(**asdict(o))
         rings = [g.sort_values("i")[axes].to_numpy(np.float64) for _, g in pdf.groupby("ring", sort=True)]
-        made = records(key[0], rings, own)
+        made = records(key[0], rings, own, outputs)
         if retry_rotated and "isolated" in made[0]["status"]:
-            made = records(key[0], [np.vstack([r[1:], r[1:2]]) for r in rings], own)
+            made = records(key[0], [np.vstack([r[1:], r[1:2]]) for r in rings], own, outputs)
         blank = dict.fromkeys(_NAMES)
         return pd.DataFrame([blank | m for m in made], columns=_NAMES).astype({c.split()[0]: "Int64" for c in RECORD.split(", ") if c.endswith(" long")})
 
     # a given number of partitions: what is few bytes is much work, and must not be coalesced
-    parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = v.repartition(parts, "poly_id").groupBy("poly_id").applyInPandas(kernel, RECORD)
     if refused is not None:
         over = refused.select("poly_id", F.lit("polygon").alias("record"), F.col("est_samples").alias("a"), F.lit("too many samples").alias("status"))

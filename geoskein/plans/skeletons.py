@@ -52,7 +52,7 @@ TRI = SAMPLES.replace("WITH tring", "WITH box AS (SELECT 1), tring") + """, loc
 
 @query("voronoi_vertices", TRI + " SELECT round(ux, 5) AS x, round(uy, 5) AS y FROM tri")
 def voronoi_vertices(spark, sf_dir):
-    v = K.skeletonize(_t(spark), D.T_INTERVAL, graph_only=True).vertices()
+    v = K.skeletonize(_t(spark), D.T_INTERVAL, graph_only=True, outputs=["vor_vertex"]).vertices()
     return v.select(F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
@@ -97,30 +97,31 @@ def _line_columns(lines):
 
 
 def _rough_circles(spark, sf_dir):
-    """A ring for each brand: its parts around a circle at radius 4 + size / 50."""
+    """A ring for each brand: its n parts around a circle at radius n / 20 + size / 50, so about 0.3 apart for any n."""
     from pyspark.sql import Window as W
 
-    p = D.table(spark, sf_dir, "part").select(F.col("p_brand").alias("poly_id"), "p_partkey", (F.col("p_size") / 50 + 4).alias("r"))
+    p = D.table(spark, sf_dir, "part").select(F.col("p_brand").alias("poly_id"), "p_partkey", (F.col("p_size") / 50).alias("r"))
     w = W.partitionBy("poly_id")
     p = p.withColumn("i", (F.row_number().over(w.orderBy("p_partkey")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
     angle = F.col("i") * (2 * math.pi) / F.col("n")
+    p = p.withColumn("r", F.col("r") + F.col("n") / 20)
     p = p.select("poly_id", F.lit(0).alias("ring"), "i", "n", (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"))
     return p.drop("n").unionByName(p.filter("i = 0").withColumn("i", F.col("n")).drop("n"))
 
 
 @query("skeleton_lines")
 def skeleton_lines(spark, sf_dir):
-    return _line_columns(K.skeletonize(_rough_circles(spark, sf_dir), 0.1, tails=False).lines())
+    return _line_columns(K.skeletonize(_rough_circles(spark, sf_dir), 0.1, tails=False, outputs=["line"]).lines())
 
 
 @query("skeleton_nodes")
 def skeleton_nodes(spark, sf_dir):
-    return K.skeletonize(_rough_circles(spark, sf_dir), 0.1).nodes("nonbinode")
+    return K.skeletonize(_rough_circles(spark, sf_dir), 0.1, outputs=["node"]).nodes("nonbinode")
 
 
 @query("skeleton_pruned")
 def skeleton_pruned(spark, sf_dir):
-    return _line_columns(K.skeletonize(_rough_circles(spark, sf_dir), 0.1, min_normalized_length=1.5).lines())
+    return _line_columns(K.skeletonize(_rough_circles(spark, sf_dir), 0.1, min_normalized_length=1.1, outputs=["line"]).lines())
 
 
 @query("skeleton_tails")

@@ -176,6 +176,16 @@ def test_pruned_by_the_lengths_that_are_reported(mode):
             assert all(whole.norm_length(x) < cut or x.stem in lost for x in gone)
 
 
+def test_trunk_of_a_tree_is_its_longest_path():
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        angle, size = np.arange(40) * 2 * math.pi / 40, 5 + 3 * r.random(40)
+        disc = np.stack([size * np.cos(angle), size * np.sin(angle)], axis=1)
+        p = S.skeletonize([np.vstack([disc, disc[:1]])], S.Options(0.3)).partition
+        whole = S.Partition(p.g, p.edges, p.loops)
+        assert p.lines[0].length == pytest.approx(max(d for a in whole.stubs() for v, d in whole.tree(a)[0].items() if v in whole.stubs()))
+
+
 def test_limits_of_kinds():
     rings = holed(4)
     kinds = lambda **o: {x.kind for x in S.skeletonize(rings, S.Options(0.3, **o)).partition.lines}

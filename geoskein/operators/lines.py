@@ -70,20 +70,21 @@ def interpolate(v: DataFrame, distances: DataFrame, key: str, normalized: bool =
     """Points at distances along lines. distances: (key, d). Adds segment (from 0) and the coordinates.
 
     A distance falls into the first segment that ends at it or beyond. With `normalized` it is a share of the
-    length. Distances below 0 or over the length raise an error.
+    length. Distances below 0 or over the length raise an error, and so does any on a line of one vertex. Segments and
+    distances of a line are sorted together once; none meets all others.
     """
     axes = _axes(v)
-    s = segments(v, key)
-    # a last segment is closed by its own end, so every distance up to the length finds one row
+    s = segments(v, key).select(key, F.struct("i", "cum", "segment_length", *axes, *[f"d{c}" for c in axes]).alias("segment"))
+    both = s.withColumn("d", F.lit(None).cast("double")).unionByName(distances.select(key, F.col("d").cast("double").alias("d")), allowMissingColumns=True)
     by_key = W.partitionBy(key)
-    s = s.withColumn("total", F.max("cum").over(by_key)).withColumn("before", F.coalesce(F.lag("cum").over(by_key.orderBy("i")), F.lit(-1.0)))
-    d = distances.withColumn("at", F.col("d"))
-    j = d.join(s, key)
-    at = F.col("at") * F.col("total") if normalized else F.col("at")
-    j = j.withColumn("at", F.when((F.col("at") < 0) | (at > F.col("total")), F.raise_error(F.lit("distance off the line"))).otherwise(at))
-    j = j.filter((F.col("at") <= F.col("cum")) & (F.col("at") > F.when(F.col("before") < 0, -1.0).otherwise(F.col("before"))))
-    back = F.col("at") - F.col("cum")
-    return j.select(key, "d", F.col("i").alias("segment"), *[(F.col(c) + F.col(f"d{c}") + F.coalesce(F.try_divide(f"d{c}", "segment_length"), F.lit(0.0)) * back).alias(c) for c in axes])
+    at = F.col("d") * F.max("segment.cum").over(by_key) if normalized else F.col("d")
+    both = both.withColumn("at", F.coalesce("segment.cum", at))
+    # from the far end: the last segment met before a distance is the first that ends there or beyond
+    falling = by_key.orderBy(F.desc("at"), F.col("segment").isNull(), F.desc("segment.i")).rowsBetween(W.unboundedPreceding, 0)
+    j = both.withColumn("s", F.last("segment", ignorenulls=True).over(falling)).filter("segment is null and d is not null")
+    back = F.when((F.col("at") < 0) | F.col("s").isNull(), F.raise_error(F.lit("distance off the line")).cast("double")).otherwise(F.col("at")) - F.col("s.cum")
+    j = j.withColumn("back", back)
+    return j.select(key, "d", F.col("s.i").alias("segment"), *[(F.col(f"s.{c}") + F.col(f"s.d{c}") + F.coalesce(F.try_divide(f"s.d{c}", "s.segment_length"), F.lit(0.0)) * F.col("back")).alias(c) for c in axes])
 
 
 def sample_distances(v: DataFrame, key: str, interval: Column | float, vertices: bool = False) -> DataFrame:
@@ -136,10 +137,18 @@ def points_in_rings(points: DataFrame, v: DataFrame, key: str, point_key: str) -
     """(point_key, key) of points inside rings by crossing parity; points on a border may fall either way.
 
     points: (point_key, px, py). Only the points within a ring's envelope meet its segments, and of those only the
-    ones whose y range holds them.
+    ones whose y range holds them. Envelopes and points are joined on cells of a grid: a ring's cells are as wide as its
+    envelope, to a power of two, so that it has four at most; a point is in one cell of each width that a ring has.
     """
     box = envelope(v, key)
-    near = points.join(box, (F.col("px") >= F.col("minx")) & (F.col("px") <= F.col("maxx")) & (F.col("py") >= F.col("miny")) & (F.col("py") <= F.col("maxy")))
+    wide = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    box = box.withColumn("level", F.when(wide > 0, F.greatest(F.ceil(F.log2(wide)), F.lit(-30))).otherwise(-30).cast("int"))
+    levels = [r.level for r in box.select("level").distinct().collect()]  # powers of two of the widths: a few tens
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "level")).cast("long")
+    box = box.withColumn("cx", F.explode(F.sequence(cell("minx"), cell("maxx")))).withColumn("cy", F.explode(F.sequence(cell("miny"), cell("maxy"))))
+    placed = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    near = placed.withColumns({"cx": cell("px"), "cy": cell("py")}).join(box, ["level", "cx", "cy"])
+    near = near.filter((F.col("px") >= F.col("minx")) & (F.col("px") <= F.col("maxx")) & (F.col("py") >= F.col("miny")) & (F.col("py") <= F.col("maxy")))
     near = near.select(point_key, "px", "py", F.col(key).alias("__ring"))
     s = segments(v, key)
     hit = near.join(s, (F.col("__ring") == F.col(key)) & ((F.col("y") > F.col("py")) != (F.col("y") + F.col("dy") > F.col("py"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geoskein.functions import codec as C
 from geoskein.operators import lines as L
 from geoskein.plans.registry import query
 from geoskein.sources import derived as D
@@ -221,4 +222,46 @@ def geom_wkb(spark, sf_dir):
 def schema_infer(spark, sf_dir):
     from geoskein.plans import schema as M
 
-    return M.profile(D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))
+    return M.profile(D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")).drop("low", "high")
+
+
+@query("point_codec", """SELECT s_suppkey, 'Point Z' AS kind, 'Point Z (' || s_suppkey || ' ' || s_nationkey || ' 7)' AS wkt, CAST(s_suppkey AS DOUBLE) AS x, CAST(s_nationkey AS DOUBLE) AS y, 7.0::DOUBLE AS z,
+  '01E9030000' AS head, '0101000080' AS extended_head FROM supplier""")
+def point_codec(spark, sf_dir):
+    """Points to WKB from coordinates, from text and in the extended form, and back."""
+    s = D.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").cast("double").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    s = s.withColumn("wkb", C.wkb_of("Point", F.array("x", "y", F.lit(7.0))))
+    s = s.withColumn("again", C.wkb_of_wkt(F.concat(F.lit("point z("), F.col("x"), F.lit(" "), F.col("y"), F.lit(" 7.0)")))).withColumn("ext", C.ewkb(F.col("wkb")))
+    p = F.element_at(C.wkb_vertices(F.when(F.col("wkb") == F.col("again"), C.ewkb(F.col("ext"), False))), 1)
+    s = s.withColumn("p", p)
+    head = lambda c: F.substring(F.hex(c), 1, 10)
+    return s.select("s_suppkey", C.wkb_type(F.col("ext")).alias("kind"), C.wkt_of_wkb(F.col("ext")).alias("wkt"), "p.x", "p.y", "p.z", head("wkb").alias("head"), head("ext").alias("extended_head"))
+
+
+@query("polygon_codec", """SELECT p_partkey, 'Polygon' AS kind, 'Polygon ((0 0, ' || n || ' 0, ' || n || ' ' || n || ', 0 0), (1 1, 2 1, 2 2, 1 1))' AS wkt, CAST(8 AS BIGINT) AS vertices, CAST(2 AS BIGINT) AS rings, round(n * n / 2.0 - 0.5, 3) AS area
+  FROM (SELECT p_partkey, p_size + 4 AS n FROM part)""")
+def polygon_codec(spark, sf_dir):
+    """Polygons with a hole read from text, by way of the extended form, and their areas from the vertices."""
+    n = (F.col("p_size") + 4).cast("string")
+    text = F.concat(F.lit("POLYGON((0 0,"), n, F.lit(" 0,"), n, F.lit(" "), n, F.lit(",0 0),(1 1,2 1,2 2,1 1))"))
+    p = D.table(spark, sf_dir, "part").select("p_partkey", C.ewkb(C.wkb_of_wkt(text)).alias("g"))
+    p = p.select("p_partkey", C.wkb_type(F.col("g")).alias("kind"), C.wkt_of_wkb(F.col("g")).alias("wkt"), C.wkb_vertices(F.col("g")).alias("v"))
+    v = p.select(F.col("p_partkey").alias("poly_id"), F.explode("v").alias("q")).select("poly_id", "q.ring", "q.i", "q.x", "q.y")
+    area = L.polygon_area(v, "poly_id").select(F.col("poly_id").alias("p_partkey"), F.round("area", 3).alias("area"))
+    count = v.groupBy(F.col("poly_id").alias("p_partkey")).agg(F.count(F.lit(1)).alias("vertices"), F.countDistinct("ring").alias("rings"))
+    return p.drop("v").join(count, "p_partkey").join(area, "p_partkey")
+
+
+@query("multi_codec", """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'MultiPoint' WHEN 1 THEN 'MultiLineString' ELSE 'MultiPolygon' END AS kind,
+  CASE n_nationkey % 3 WHEN 0 THEN 'MultiPoint ((0 0), (' || n_nationkey || ' 1))' WHEN 1 THEN 'MultiLineString ((0 0, ' || n_nationkey || ' 1), (2 2, 3 3))'
+    ELSE 'MultiPolygon (((0 0, ' || n_nationkey || ' 0, 0 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))' END AS wkt,
+  CAST(2 AS BIGINT) AS parts, CAST(CASE n_nationkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 8 END AS BIGINT) AS vertices FROM nation""")
+def multi_codec(spark, sf_dir):
+    """Geometries of several parts read from text in its variants, by way of the extended form."""
+    k = F.col("n_nationkey").cast("string")
+    point, line = F.concat(F.lit("MULTIPOINT(0 0, "), k, F.lit(" 1)")), F.concat(F.lit("multilinestring ((0 0,"), k, F.lit(" 1),(2 2,3 3))"))
+    polygon = F.concat(F.lit("MultiPolygon(((0 0,"), k, F.lit(" 0,0 1,0 0)),((5 5,6 5,6 6,5 5)))"))
+    turn = F.col("n_nationkey") % 3
+    n = D.table(spark, sf_dir, "nation").select("n_nationkey", C.ewkb(C.wkb_of_wkt(F.when(turn == 0, point).when(turn == 1, line).otherwise(polygon))).alias("g"))
+    n = n.select("n_nationkey", C.wkb_type(F.col("g")).alias("kind"), C.wkt_of_wkb(F.col("g")).alias("wkt"), C.wkb_vertices(F.col("g")).alias("v"))
+    return n.select("n_nationkey", "kind", "wkt", F.size(F.array_distinct(F.transform("v", lambda q: q["part"]))).cast("long").alias("parts"), F.size("v").cast("long").alias("vertices"))

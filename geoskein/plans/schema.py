@@ -95,21 +95,36 @@ def order_by(a: T.StructType, names: list[str], ignore_unrecognized: bool = Fals
     return subset(a, [n for n in names if n in a.names] + missing)
 
 
+def extend(a: T.StructType, fields) -> T.StructType:
+    """Fields of a, then the others; a name that is there already is an error."""
+    new = list(fields)
+    if again := [f.name for f in new if f.name in a.names]:
+        raise ValueError(f"fields are there already: {again}")
+    return T.StructType([*a, *new])
+
+
 def apply(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns of the schema, cast to its types."""
+    """Columns of the schema, cast to its types. A column that isn't there is null, or an error where it mustn't be."""
+    if missing := [f.name for f in schema if f.name not in df.columns and not f.nullable]:
+        raise ValueError(f"no columns for the fields {missing}")
+    df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns})
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """(field, n, nulls, least, most, width): one row for each column, from one pass over the table."""
+    """(field, n, nulls, least, most, width, low, high): one row for each column, from one pass over the table; low and high
+    are the bounds of whole numbers, exactly."""
     sums = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         number = isinstance(f.dataType, T.NumericType)
         text = isinstance(f.dataType, T.StringType)
+        whole = f.dataType in INTEGERS
+        none = F.lit(None).cast("long")
         sums.append(F.struct(
             F.lit(f.name).alias("field"), F.count(c).alias("n"), F.count(F.when(c.isNull(), 1)).alias("nulls"), (F.min(c).cast("double") if number else F.lit(None).cast("double")).alias("least"),
             (F.max(c).cast("double") if number else F.lit(None).cast("double")).alias("most"), (F.max(F.char_length(c)) if text else F.lit(None).cast("int")).cast("long").alias("width"),
+            (F.min(c).cast("long") if whole else none).alias("low"), (F.max(c).cast("long") if whole else none).alias("high"),
         ))
     return df.agg(F.array(*sums).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
@@ -122,7 +137,7 @@ def infer(df: DataFrame, minimize: bool = True) -> tuple[T.StructType, list[str]
     for f in df.schema:
         r, kind, wide = rows[f.name], f.dataType, None
         if minimize and kind in INTEGERS and r.n:
-            kind = next(t for t, low, high in LIMITS if low <= r.least and r.most <= high)
+            kind = next(t for t, low, high in LIMITS if low <= r.low and r.high <= high)
         if minimize and isinstance(kind, T.StringType):
             wide = r.width
         fields.append(field(f.name, kind, bool(r.nulls), wide))

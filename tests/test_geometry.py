@@ -328,3 +328,62 @@ def test_stream_of_polygons(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     write_skeletons(stream, str(tmp_path / "out"), str(tmp_path / "state"), 0.2, min_normalized_length=3.0).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_interpolation_off_lines_raises_and_ties(spark):
+    v = vertex_rows(spark, {"a": [(0, 0), (0, 0), (4, 0), (4, 0), (4, 3)], "b": [(1, 1)]})
+    d = spark.createDataFrame([("a", x) for x in (0.0, 4.0, 4.0, 7.0, 1.5)], "k string, d double")
+    got = sorted((r.d, r.segment, r.x, r.y) for r in L.interpolate(v, d, "k").collect())
+    assert got == [(0.0, 0, 0, 0), (1.5, 1, 1.5, 0), (4.0, 1, 4, 0), (4.0, 1, 4, 0), (7.0, 3, 4, 3)]
+    for key, at in (("b", 0.0), ("b", 1.0), ("a", -0.5), ("a", 7.5)):
+        with pytest.raises(Exception, match="off the line"):
+            L.interpolate(v, spark.createDataFrame([(key, at)], "k string, d double"), "k").collect()
+    got = sorted((r.d, r.x) for r in L.interpolate(v.filter("k = 'a'"), spark.createDataFrame([("a", 0.5), ("a", 1.0)], "k string, d double"), "k", normalized=True).collect())
+    assert got == [(0.5, 3.5), (1.0, 4.0)]
+
+
+def test_points_in_rings_of_all_sizes(spark):
+    r = np.random.default_rng(8)
+    rings = {}
+    for k in range(12):
+        angle, size, mid = np.arange(9) * 2 * math.pi / 9, 10.0 ** (k % 5 - 2) * (1 + r.random(9)), r.normal(0, 8, 2)
+        ring = np.stack([mid[0] + size * np.cos(angle), mid[1] + size * np.sin(angle)], axis=1)
+        rings[f"r{k}"] = np.vstack([ring, ring[:1]])
+    rings["flat"] = np.array([[0, 0], [0, 0], [0, 0], [0, 0]])
+    points = np.concatenate([r.normal(0, 9, (150, 2)), *[p.mean(axis=0) + r.normal(0, 0.02, (4, 2)) for p in rings.values()]])
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "p long, px double, py double")
+    got = {(x.p, x.k) for x in L.points_in_rings(p, vertex_rows(spark, rings), "k", "p").collect()}
+    want = {(int(i), k) for k, ring in rings.items() for i in np.flatnonzero(V.inside_rings(points, [ring]))}
+    assert got == want and len({k for _, k in want}) > 8
+    plan = L.points_in_rings(p, vertex_rows(spark, rings), "k", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_codec_columns(spark):
+    texts = [C.to_wkt(g) for g in GEOMETRIES] + [None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("g", C.wkb_of_wkt(F.col("t")))
+    rows = df.select("k", "g", C.ewkb(F.col("g")).alias("e"), C.wkt_of_wkb(F.col("g")).alias("t"), C.wkb_type(F.col("g")).alias("kind"), C.wkb_vertices(F.col("g")).alias("v")).orderBy("k").collect()
+    for r, g in zip(rows, GEOMETRIES):
+        assert bytes(r.g) == C.to_wkb(g) and bytes(r.e) == C.to_wkb(g, extended=True) and r.t == C.to_wkt(g) and r.kind == g["type"] + " Z" * g["z"]
+        assert len(r.v) == str(g["coords"]).count("(") - (0 if isinstance(g["coords"], list) else 0)
+    assert rows[-1][1:] == (None,) * 5
+    nested = spark.createDataFrame([([[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]],)], "c array<array<array<double>>>")
+    assert bytes(nested.select(C.wkb_of("Polygon", F.col("c")).alias("g")).first().g) == C.to_wkb({"type": "Polygon", "z": False, "coords": [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]})
+    with pytest.raises(Exception, match="supported geometry"):
+        df.select(C.wkb_of_wkt(F.lit("blob (1 2)"))).collect()
+
+
+def test_schema_bounds_and_missing_columns(spark):
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(2**63 - 1, 2**53 + 1, 1), (-(2**63), 0, 2)], "a long, b long, c long")
+    schema, _ = M.infer(df)
+    assert [f.dataType for f in schema] == [T.LongType(), T.LongType(), T.ByteType()]
+    assert M.infer(spark.createDataFrame([(2**31 - 1,)], "a long"))[0]["a"].dataType == T.IntegerType() and M.infer(spark.createDataFrame([(2**31,)], "a long"))[0]["a"].dataType == T.LongType()
+    want = T.StructType([M.field("c", T.IntegerType()), M.field("d", T.StringType())])
+    assert [tuple(r) for r in M.apply(df, want).collect()] == [(1, None), (2, None)]
+    with pytest.raises(ValueError, match="no columns"):
+        M.apply(df, T.StructType([M.field("d", T.StringType(), False)]))
+    assert M.extend(want, [M.field("e", T.DateType())]).names == ["c", "d", "e"]
+    with pytest.raises(ValueError, match="already"):
+        M.extend(want, [M.field("c", T.DateType())])

@@ -149,7 +149,7 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     """(query_id, rank, vec_id, score): the `top` largest inner products found for each row that is_query selects.
 
     is_query: a condition on the id column. A query's candidates are all rows with another id. Vectors that are
-    null, zero, of another length than the longest-known one, or hold null or non-finite components take no part,
+    null, zero, of another length than the most frequent one, or hold null or non-finite components take no part,
     nor do null ids; of rows repeated with one id each counts. Ties go to smaller ids. Empty in, empty out.
     """
     spark = rows.sparkSession
@@ -159,7 +159,9 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
         return spark.createDataFrame([], schema)
     dim, total = dims[0]["dim"], dims[0]["count"]
     valid = _valid(rows, id_col, vec_col, dim)
-    sample = valid.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).collect()
+    # by a threshold on the ids' hashes, so that no partition sends more than its share
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = (valid if total <= TRAIN_ROWS else valid.filter(share < TRAIN_ROWS / total)).limit(TRAIN_ROWS).collect()
     index = Index(np.array([r.v for r in sorted(sample, key=lambda r: r.id)]), total, dim)
     del sample
     shared = spark.sparkContext.broadcast(index)

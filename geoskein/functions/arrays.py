@@ -49,3 +49,15 @@ def unravel2d(index, columns) -> Column:
 def counts_to_last_index(a) -> Column:
     """Running sum less one: the last flat index of each of consecutive runs."""
     return F.transform(F.sequence(F.lit(1), F.size(a)), lambda k: F.aggregate(F.slice(a, 1, k), F.lit(0).cast("long"), lambda s, x: s + x) - 1)
+
+
+def stacked(columns: list, nested: list[bool] | None = None) -> Column:
+    """Arrays side by side: an array of rows, each an array with one item of every column; all items of the row, where a
+    column is of arrays (nested). Arrays must be of one length."""
+    cs = [F.col(c) if isinstance(c, str) else c for c in columns]
+    sizes = F.array_distinct(F.array(*[F.size(c) for c in cs]))
+    first = F.when(F.size(sizes) > 1, F.raise_error(F.lit("arrays of several lengths")).cast("int")).otherwise(F.size(cs[0]))
+    wide = nested or [False] * len(cs)
+    row = lambda k: F.concat(*[F.get(c, k) if w else F.array(F.get(c, k)) for c, w in zip(cs, wide, strict=True)])
+    # a sequence to -1 would run downwards
+    return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(first - 1, F.lit(0))), 1, first), row)

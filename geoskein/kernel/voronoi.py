@@ -107,9 +107,35 @@ class Voronoi:
     vertex_of: np.ndarray
 
 
-def voronoi(points: np.ndarray, tolerance: float = 1e-7) -> Voronoi:
-    """The diagram of distinct points. Circumcentres closer than tolerance times the span are one vertex."""
-    mean = points.mean(axis=0)
+#: What may be taken off all points before the diagram is made, and is put back after; and what happens to equal points.
+TRANSLATIONS = {"NONE": lambda p: np.zeros(2), "FIRST": lambda p: p[0], "MEAN": lambda p: p.mean(axis=0), "MEDIAN": lambda p: np.median(p, axis=0), "MIN": lambda p: p.min(axis=0)}
+MERGES = ("IGNORE", "ERROR")
+
+
+def used(points: np.ndarray, merge: str = "IGNORE") -> np.ndarray | None:
+    """Indices of the first of each group of equal points, None where no two are equal; with ERROR equal points raise."""
+    if merge not in MERGES:
+        raise ValueError(f"{merge!r} is none of {MERGES}")
+    first = np.sort(np.unique(points, axis=0, return_index=True)[1])
+    if len(first) == len(points):
+        return None
+    if merge == "ERROR":
+        raise ValueError("equal points")
+    return first
+
+
+def voronoi(points: np.ndarray, tolerance: float = 1e-7, translate: str = "MEAN", merge: str = "IGNORE") -> Voronoi:
+    """The diagram of the points that used() leaves; ridges and triangles carry indices of the given ones. Circumcentres closer
+    than tolerance times the span are one vertex."""
+    if translate not in TRANSLATIONS:
+        raise ValueError(f"{translate!r} is none of {tuple(TRANSLATIONS)}")
+    kept = used(points, merge)
+    if kept is not None:
+        d = voronoi(points[kept], tolerance, translate)
+        ridges = d.ridges.copy()
+        ridges[:, :2] = kept[ridges[:, :2]]
+        return Voronoi(points, d.vertices, ridges, kept[d.triangles], d.vertex_of)
+    mean = TRANSLATIONS[translate](points)
     p = points - mean
     tri = delaunay(p)
     center, radius = circumcircles(p, tri)

@@ -256,6 +256,18 @@ def binary_tree(spark, trunk_length: float, length_factor: float, angle: float,
     return out.drop("heading")
 
 
+def tree_lines(tree: DataFrame, vertices: int = 10, offset: float = 0.0, seed: int = 0) -> DataFrame:
+    """(generation, x0, y0, i, x, y): every segment of a tree as a line of so many vertices. Those between its ends are
+    moved by up to offset times its length along either axis, by hashes of place and seed."""
+    n = vertices - 1
+    v = tree.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("share", F.col("i") / n)
+    size = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
+    noise = lambda axis: 2 * F.pmod(F.xxhash64(F.lit(seed), F.lit(axis), "x0", "y0", "x1", "y1", "i"), F.lit(1 << 30)) / F.lit(float(1 << 30)) - 1
+    moved = lambda axis: F.when(F.col("i").between(1, n - 1), noise(axis) * offset * size).otherwise(0.0)
+    at = lambda c: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col("share") + moved(c)
+    return v.select("generation", "x0", "y0", "x1", "y1", "i", at("x").alias("x"), at("y").alias("y"))
+
+
 def segment_table(v: DataFrame) -> DataFrame:
     """Boundary segments of each ring with their lengths."""
     return segments(v.withColumn("__k", F.struct("poly_id", "ring")), "__k").select("__k.*", "i", "segment_length")

@@ -90,3 +90,13 @@ def bin_counts(spark, sf_dir):
 
     n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "bin")).cast("long"))
+
+
+@query("stacked_items", """SELECT l_orderkey, array_to_string(list_transform(generate_series(1, len(a)), lambda k: a[k] || ':' || b[k] || ':' || a[k]), ',') AS items FROM
+  (SELECT l_orderkey, list(CAST(l_linenumber AS BIGINT) ORDER BY l_linenumber, l_partkey) AS a, list(l_partkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem GROUP BY l_orderkey)""")
+def stacked_items(spark, sf_dir):
+    """An order's line numbers and parts side by side, and beside them the numbers again."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("a"), F.col("l_partkey").alias("b"))))
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(pairs.alias("p")).select("l_orderkey", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    o = o.withColumn("two", A.stacked(["a", "b"])).withColumn("three", A.stacked(["two", "a"], [True, False]))
+    return o.select("l_orderkey", F.array_join(F.transform("three", lambda x: F.array_join(x.cast("array<string>"), ":")), ",").alias("items"))

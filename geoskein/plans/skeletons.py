@@ -86,6 +86,15 @@ def binary_tree(spark, sf_dir):
     return t.select("generation", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+@query("tree_lines", """WITH RECURSIVE t(generation, x0, y0, x1, y1, h) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 8.0::DOUBLE, pi() / 2
+  UNION ALL SELECT generation + 1, x1, y1, x1 + 8.0 * power(0.5, generation + 1) * cos(h + s * radians(40)), y1 + 8.0 * power(0.5, generation + 1) * sin(h + s * radians(40)), h + s * radians(40) FROM t, (VALUES (1), (-1)) q(s) WHERE generation < 4)
+  SELECT generation, i, round(x0 + (x1 - x0) * i / 4.0, 6) AS x, round(y0 + (y1 - y0) * i / 4.0, 6) AS y FROM t, (SELECT CAST(range AS INTEGER) AS i FROM range(0, 5))""")
+def tree_lines(spark, sf_dir):
+    """The tree's segments as lines, without noise, which SQL can't repeat."""
+    t = K.tree_lines(K.binary_tree(spark, 8.0, 0.5, 40.0, 4), 5)
+    return t.select("generation", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query("preflight", D.with_sql("star") + """, seg AS (SELECT ring, sqrt(power((lead(x) OVER w - x) / 50, 2) + power((lead(y) OVER w - y) / 1100, 2)) AS l FROM star WINDOW w AS (PARTITION BY ring ORDER BY i))
   SELECT ring AS poly_id, round(sum(l), 6) AS perimeter, CAST(ceil(sum(l) / 0.05) AS BIGINT) AS est_samples FROM seg GROUP BY ring""")
 def preflight(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from geoskein.functions.codec import coerce, from_wkb, to_wkb
+from geoskein.functions.codec import NAMES, coerce, from_wkb, to_wkb
 from geoskein.plans import schema as M
 
 PARTEDNESS = ("COERCE_TO_MULTI", "NATIVE", "EXPLODE", "ERROR_IF_MULTI")
@@ -44,7 +44,7 @@ def code(geometry) -> F.Column:
 
 def read(spark: SparkSession, path: str, partedness: str = "COERCE_TO_MULTI", fields: list[str] | None = None) -> DataFrame:
     """Attributes (all, or those named) and `geometry`: as multi-part, as stored, a row for each part with the same
-    attributes, or as stored with an error where a geometry has several parts."""
+    attributes, or as single parts with an error where a geometry has several."""
     partedness = M.validate_option(partedness, PARTEDNESS)
     df = spark.read.parquet(path)
     if fields is not None:
@@ -54,8 +54,8 @@ def read(spark: SparkSession, path: str, partedness: str = "COERCE_TO_MULTI", fi
     if partedness == "EXPLODE":
         return df.withColumn("geometry", F.explode_outer(_parts("geometry")))
     if partedness == "ERROR_IF_MULTI":
-        many = code(F.col("geometry")) % 1000 > 3
-        return df.withColumn("geometry", F.when(many, F.raise_error(F.lit("a geometry has several parts")).cast("binary")).otherwise(F.col("geometry")))
+        parts = _parts("geometry")
+        df = df.withColumn("geometry", F.when(F.size(parts) > 1, F.raise_error(F.lit("a geometry has several parts")).cast("binary")).otherwise(F.get(parts, F.lit(0))))
     return df
 
 
@@ -106,3 +106,44 @@ def write(df: DataFrame, path: str, mode: str = "x", reference: str | None = Non
             df = M.apply(df.withColumns({n: F.lit(None).cast(f.dataType) for n, f in mine.items() if n not in df.columns}), there.schema)
     df.write.mode(MODES[mode]).parquet(path)
     return empty
+
+
+def information(spark: SparkSession, path: str) -> dict:
+    """What is at a path: exists, schema (attributes), geometry_types, has_z, spatial_reference and rows."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException:
+        return {"exists": False}
+    out = {"exists": True, "schema": T.StructType([f for f in df.schema if f.name not in ("geometry", "spatial_reference")]), "rows": df.count()}
+    if "geometry" in df.columns:
+        codes = [r.c for r in df.select(code(F.col("geometry")).alias("c")).filter("c is not null").distinct().collect()]  # twelve at most
+        out |= {"geometry_types": sorted({NAMES[c % 1000] for c in codes}), "has_z": any(c > 1000 for c in codes)}
+    if "spatial_reference" in df.columns:
+        out["spatial_reference"] = df.agg(F.first("spatial_reference", ignorenulls=True)).first()[0]
+    return out
+
+
+def create(spark: SparkSession, path: str, fields: T.StructType, reference: str | None = None) -> None:
+    """An empty geometry table with these attributes; an error where something is there."""
+    schema = T.StructType([*fields, T.StructField("geometry", T.BinaryType()), T.StructField("spatial_reference", T.StringType())])
+    spark.createDataFrame([], schema).withColumn("spatial_reference", F.lit(reference).cast("string")).write.mode("errorifexists").parquet(path)
+
+
+def add_fields(df: DataFrame, fields, ignore_name_conflicts: bool = False, ignore_type_conflicts: bool = False) -> DataFrame:
+    """df with null columns for the fields. One that is there already is an error unless ignored; then its type must
+    fit the field's, unless that is ignored as well."""
+    there = {f.name: f for f in df.schema}
+    for f in fields:
+        if f.name in there and not ignore_name_conflicts:
+            raise ValueError(f"the field {f.name} is there already")
+        if f.name in there and not ignore_type_conflicts and not M.can_fit(T.StructField(f.name, there[f.name].dataType, True), T.StructField(f.name, f.dataType, True)):
+            raise TypeError(f"{f.name} doesn't fit")
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields if f.name not in there})
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove the table at a path; whether there was one. What isn't a table of Parquet files raises."""
+    if not information(spark, path)["exists"]:
+        return False
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -387,3 +387,39 @@ def test_schema_bounds_and_missing_columns(spark):
     assert M.extend(want, [M.field("e", T.DateType())]).names == ["c", "d", "e"]
     with pytest.raises(ValueError, match="already"):
         M.extend(want, [M.field("c", T.DateType())])
+
+
+def test_voronoi_options():
+    r = np.random.default_rng(2)
+    p = r.random((60, 2)) + 5
+    base = V.voronoi(p)
+    for translate in V.TRANSLATIONS:
+        d = V.voronoi(p, translate=translate)
+        assert (d.ridges[:, :2] == base.ridges[:, :2]).all() and np.allclose(d.vertices, base.vertices, atol=1e-6)
+    twice = np.vstack([p, p[[3, 9]]])
+    assert V.used(p) is None and V.used(twice).tolist() == list(range(60))
+    again = V.voronoi(twice)
+    assert (again.ridges == base.ridges).all() and len(again.points) == 62
+    with pytest.raises(ValueError, match="equal points"):
+        V.voronoi(twice, merge="ERROR")
+    for bad in ({"translate": "MODE"}, {"merge": "KEEP"}):
+        with pytest.raises(ValueError):
+            V.voronoi(p, **bad)
+
+
+def test_noisy_tree(spark):
+    tree = K.binary_tree(spark, 8.0, 0.5, 30.0, 3)
+    plain, noisy, other = (sorted(map(tuple, K.tree_lines(tree, 6, offset, seed).collect())) for offset, seed in ((0.0, 0), (0.1, 0), (0.1, 1)))
+    assert len(plain) == 15 * 6 and noisy != other and noisy == sorted(map(tuple, K.tree_lines(tree, 6, 0.1, 0).collect()))
+    for a, b in zip(plain, noisy):
+        size = math.dist(a[1:3], a[3:5])
+        moved = max(abs(a[6] - b[6]), abs(a[7] - b[7]))
+        assert a[:6] == b[:6] and moved <= 0.1 * size + 1e-12 and (a[5] not in (0, 5) or moved < 1e-12)
+
+
+def test_stacked(spark):
+    df = spark.createDataFrame([([1, 2], [3, 4]), ([], []), ([1], [2, 3])], "a array<int>, b array<int>")
+    got = [r.s for r in df.filter("size(a) = size(b)").select(A.stacked(["a", "b"]).alias("s")).collect()]
+    assert got == [[[1, 3], [2, 4]], []]
+    with pytest.raises(Exception, match="several lengths"):
+        df.select(A.stacked(["a", "b"])).collect()

@@ -4,7 +4,7 @@ Documents are tokenised once; only (item, length) rows are packed. Each partitio
 decreasing and compares its bin count with the largest of several dual-feasible-function lower bounds. Equal
 means optimal, and the partition is certified. Partitions with a gap exchange the items of their open bins
 (certified ones only their loosest bin), and best-fit decreasing runs again on the new groups, while that
-saves bins.
+saves bins. Each row tells how far its partition is from its bound.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import re
 import zlib
 from array import array
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,8 @@ SIZE = 1024
 END = 2
 #: Items in a group: what one task packs at a time.
 GROUP_ITEMS = 50_000
-ROUNDS = 3
+#: Repacking goes on while a round saves at least this share of the bins that it repacks.
+LEAST_SAVING = 0.001
 CACHE = 700_000
 #: Characters whose units are learned together.
 LEARN_CHARS = 3_000_000
@@ -226,35 +228,41 @@ def _packed(items: DataFrame, groups: int, number: int, size: int) -> DataFrame:
         gap = len(room) - lower_bound(lengths, size)
         loosest = int(room.argmax())
         moves = (room[bins] > 0) & ((gap > 0) | (bins == loosest))
-        return pd.DataFrame({"item": pdf.item, "length": lengths, "sequence_id": (number << 58) + (int(key[0]) << 26) + bins, "offset": offsets, "moves": moves, "gap": gap})
+        return pd.DataFrame({"item": pdf.item, "length": lengths, "sequence_id": (number << 54) + (int(key[0]) << 20) + bins, "offset": offsets, "moves": moves, "gap": gap})
 
     rows = items.select("item", "length", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(groups)).alias("g"))
     return rows.groupBy("g").applyInPandas(one, "item long, length long, sequence_id long, offset long, moves boolean, gap long")
 
 
-def pack(items: DataFrame, size: int = SIZE, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """(item, sequence_id, offset) for rows (item, length), lengths from 1 to size, item distinct. Empty in, empty out."""
+def pack(items: DataFrame, size: int = SIZE, group_items: int = GROUP_ITEMS, least_saving: float = LEAST_SAVING) -> DataFrame:
+    """(item, sequence_id, offset, gap) for rows (item, length), lengths from 1 to size, item distinct. Empty in, empty out.
+
+    gap: by how many the bins of the partition that packed the item last exceed its lower bound; 0 certifies them.
+    """
     groups = -(-max(1, items.count()) // group_items)
     now = materialise(_packed(items, groups, 0, size), "packed")
     settled = None
-    for number in range(1, rounds + 1):
+    for number in count(1):
         moving = now.filter("moves")
         n, before = moving.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
         if not n or (groups == 1 and number > 1) or before < 2:
             break
         groups = -(-n // group_items)
         again = materialise(_packed(moving, groups, number, size), "repacked")
-        if again.agg(F.countDistinct("sequence_id")).first()[0] >= before:
+        after = again.agg(F.countDistinct("sequence_id")).first()[0]
+        if after >= before:
             break
         fixed = now.filter("not moves")
         settled = fixed if settled is None else settled.unionByName(fixed)
         now = again
+        if before - after < least_saving * before:
+            break
     out = now if settled is None else settled.unionByName(now)
-    return out.select("item", "sequence_id", "offset")
+    return out.select("item", "sequence_id", "offset", "gap")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, encode_special_tokens: bool = True) -> DataFrame:
-    """Every piece with its place: (id, piece, start, length, ids_crc32, sequence_id, offset[, ids])."""
+    """Every piece with its place: (id, piece, start, length, ids_crc32, sequence_id, offset, gap[, ids]); gap as pack() has it."""
     own = materialise(pieces(docs, tokenizer, id_col, text_col, with_ids=with_ids, encode_special_tokens=encode_special_tokens), "pieces")
     placed = pack(own.select("item", "length"))
-    return own.join(placed, "item").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
+    return own.join(placed, "item").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap", *["ids"] * with_ids)

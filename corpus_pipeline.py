@@ -20,8 +20,8 @@ ORACLE_SQL = None
 
 def _accepted(docs: DataFrame, scores: DataFrame, wanted: int) -> DataFrame:
     """Rows of docs whose id is scored `wanted`; rows of one id with scores of both kinds stay where they are wanted in all."""
-    verdict = scores.groupBy(F.col("doc_id").alias("__id")).agg(F.min((F.col("predicted") == wanted).cast("int")).alias("__ok")).filter("__ok = 1")
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    verdict = scores.groupBy(F.col("doc_id").alias("id")).agg(F.min((F.col("predicted") == wanted).cast("int")).alias("ok")).filter("ok = 1")
+    return docs.alias("d").join(verdict.alias("v"), F.col("d.doc_id").eqNullSafe(F.col("v.id")), "left_semi")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, that with the smallest id; documents without words all stay."""
     found = jaccard_join.joined(docs, width=5, cut=(80, 100))
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("id")).distinct()
+    return docs.alias("d").join(stays.alias("v"), F.col("d.doc_id").eqNullSafe(F.col("v.id")), "left_semi")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,3 +130,11 @@ def test_score_of_a_document_with_a_long_unseen_word(spark):
     docs = spark.createDataFrame([(k, "the lake", "en") for k in range(20)] + [(held[0], word, "en"), (held[1], word + "x" * 500, "en")], "doc_id long, text string, lang string")
     one, two = (lm.scored(docs, PATH).filter(f"doc_id = {k}").first().score for k in held)
     assert two < one - 100
+
+
+def test_ties_of_languages_and_no_languages(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} tree lake", f"l{k % 8}") for k in range(64)], "doc_id long, text string, lang string")
+    one, two = (sorted((r.doc_id, r.score) for r in lm.scored(d, PATH).collect()) for d in (docs, docs.orderBy(docs.doc_id.desc())))
+    assert [k for k, _ in one] == [k for k, _ in two] and [s for _, s in one] == pytest.approx([s for _, s in two], rel=1e-9)
+    plain = {r.doc_id: r for r in lm.scored(docs.drop("lang"), PATH).collect()}
+    assert len(plain) == 64 and all(math.isfinite(r.score) and r.score < 0 for r in plain.values())

@@ -34,3 +34,14 @@ def test_stages(spark):
 
 def test_run(spark):
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_stages_leave_other_columns_alone(spark):
+    sf = "/root/testdata/sf0.001"
+    names = ["__id", "id", "ok", "a.b", "v", "row"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    more = materialise(docs.selectExpr("*", *[f"cast(doc_id AS string) AS `{n}`" for n in names]), "test-more")
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, more, sf)
+        assert got.columns == COLUMNS + names
+        assert all(r["a.b"] == r["__id"] == str(r.doc_id) for r in got.collect())

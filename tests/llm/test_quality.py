@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -35,3 +36,29 @@ def test_learns_junk(spark):
     got = quality.scored(docs, quality.fitted(docs, labels)).toPandas()
     held = got[got.held_out]
     assert len(held) > 40 and (held.predicted == 1 - held.doc_id % 2).all()
+
+
+def test_ftrl_equals_its_published_update():
+    """One coordinate at a time, after McMahan et al. 2013, algorithm 1."""
+    r = np.random.default_rng(3)
+    alpha, beta, l1, l2 = 0.7, 0.3, 0.05, 0.2
+    model = quality.Ftrl(12, alpha, beta, l1, l2)
+    z, n = [0.0] * 12, [0.0] * 12
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(300):
+        at = np.sort(r.choice(12, int(r.integers(1, 6)), replace=False))
+        x, y = r.random(len(at)), int(r.integers(0, 2))
+        w = [weight(i) for i in at]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+        for i, wi, xi in zip(at, w, x):
+            g = (p - y) * xi
+            s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - s * wi
+            n[i] += g * g
+        model.learn(at, x, y)
+    assert np.allclose(model.weights(), [weight(i) for i in range(12)], atol=1e-9) and (model.weights() != 0).sum() > 6

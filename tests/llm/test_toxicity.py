@@ -73,3 +73,49 @@ def test_scores(spark):
     assert ((held.doc_id % 4 == 0) == held.predicted).mean() > 0.95
     assert tox.scored(docs.limit(0), None).count() == 0
     assert (tox.scored(docs, tox.fitted(docs, labels.limit(0))).toPandas().score == 0).all()
+
+
+def test_forward_equals_plain_loops():
+    """The recurrent cells, attention and pooling of each window, one number at a time."""
+    vocab, words, p = small()
+    known = tox.features(vocab, words)
+    gates = tox.projected(p, tox.embedded(p, *known))
+    r = np.random.default_rng(6)
+    at = r.integers(0, len(words), (7, 3))
+    sizes = [7, 4, 1]
+    mask = (np.arange(7)[:, None] < np.array(sizes)).astype(float)
+    got = tox.forward(p, gates, at, mask)
+    h, sig = tox.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    rows, grams, starts = known
+    ends = np.append(starts, len(grams) - 1)
+    for w, n in enumerate(sizes):
+        inputs = []
+        for t in range(n):
+            k = at[t, w]
+            own = [p["char"][g] for g in grams[ends[k] : ends[k + 1]]]
+            inputs.append(np.concatenate([p["word"][rows[k]], sum(own) / np.sqrt(len(own))]))
+        states = np.zeros((n, 2 * h))
+        for side, order in (("f", range(n)), ("b", range(n - 1, -1, -1))):
+            s = np.zeros(h)
+            for t in order:
+                new = np.zeros(h)
+                for j in range(h):
+                    gx = [sum(inputs[t][i] * p[f"wx{side}"][i, j + q * h] for i in range(len(inputs[t]))) + p[f"bx{side}"][j + q * h] for q in range(3)]
+                    gh = [sum(s[i] * p[f"wh{side}"][i, j + q * h] for i in range(h)) for q in range(3)]
+                    reset, update = sig(gx[0] + gh[0]), sig(gx[1] + gh[1])
+                    new[j] = update * s[j] + (1 - update) * np.tanh(gx[2] + reset * gh[2])
+                s = new
+                states[t, slice(0, h) if side == "f" else slice(h, 2 * h)] = s
+        weight = np.exp([sum(a * b for a, b in zip(states[t], p["att"])) for t in range(n)])
+        pooled = sum(weight[t] * states[t] for t in range(n)) / weight.sum()
+        assert abs(got[w] - (sum(a * b for a, b in zip(pooled, p["out"])) + p["bias"][0])) < 1e-7
+
+
+def test_repeated_ids_and_long_texts_are_trained_on(spark):
+    rows = [(k, ("scum " if k % 3 == 0 else "lake ") + "tree " * (k % 40)) for k in range(900)] + [(1, "lake again"), (3, "scum " + "stone " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(900)], "doc_id long, toxic int")
+    model = tox.fitted(docs, labels)
+    assert set(model["vocab"]) >= {b"scum", b"lake", b"tree"}
+    got = tox.scored(docs, model).toPandas()
+    assert ((got.doc_id % 3 == 0) == got.predicted).mean() > 0.95

@@ -53,7 +53,7 @@ DENSE, MOST = 1.5, 0.8
 BLOCK_SETS, BLOCK_SHINGLES, BLOCK_COLUMNS = 3_000, 2_000_000, 1_024
 CHUNK_PAIRS, CHUNK_BYTES = 200_000, 24_000_000
 #: Shingles in a cell of a set's grid at most, and least cells of a grid; ids that may be broadcast.
-CELL_LOAD, LEAST_BITS, BROADCAST_IDS = 40, 6, 1_000_000
+CELL_LOAD, LEAST_BITS, BROADCAST_IDS = 8, 6, 1_000_000
 _CACHE, _SEEN, _COUNTED = 300_000, 200_000, 2_000_000
 #: Stands for a null id where texts are looked up.
 NO_ID = -(1 << 63)
@@ -294,21 +294,19 @@ def _partnered(members: DataFrame, cut: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_groups(batches, ["region"], len, 20_000):
             ends = _bounds(rows, ["region"])
-            n, grids, lower = rows.n.to_numpy(), rows.grid.tolist(), rows.lower.tolist()
-            even = np.array([len(g) == 1 << LEAST_BITS for g in grids])
-            cells = np.zeros((len(rows), 1 << LEAST_BITS), np.int16)
-            if even.any():
-                cells[even] = np.frombuffer(b"".join(g for g, e in zip(grids, even) if e), np.uint8).reshape(-1, 1 << LEAST_BITS)
+            n, grids, lower = rows.n.to_numpy(), [np.frombuffer(g, np.uint8) for g in rows.grid], rows.lower.tolist()
+            fine, full = np.array([len(g) > 1 << LEAST_BITS for g in grids]), np.array([(g == 255).any() for g in grids])
+            cells = np.array([g.reshape(1 << LEAST_BITS, -1).sum(axis=1, dtype=np.int32) for g in grids])
             stays, low = np.zeros(len(rows), bool), [None if x is None or not len(x) else frozenset(np.asarray(x).tolist()) for x in lower]
             for i, j in _pairs(ends):
                 ok = q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])
                 i, j = i[ok], j[ok]
-                apart = np.abs(cells[i] - cells[j]).sum(axis=1, dtype=np.int64)
-                for k in np.flatnonzero(~(even[i] & even[j])):
-                    apart[k] = grid_distance(np.frombuffer(grids[i[k]], np.uint8), np.frombuffer(grids[j[k]], np.uint8))
-                both = n[i] + n[j]
+                apart, both = np.where(full[i] | full[j], 0, np.abs(cells[i] - cells[j]).sum(axis=1, dtype=np.int64)), n[i] + n[j]
                 # of sets with d elements apart, (both - d) / 2 are shared and (both + d) / 2 are in either
                 ok = q * (both - apart) >= p * (both + apart)
+                for k in np.flatnonzero(ok & (fine[i] | fine[j])):
+                    d = grid_distance(grids[i[k]], grids[j[k]])
+                    ok[k] = q * (both[k] - d) >= p * (both[k] + d)
                 for a, b in zip(i[ok].tolist(), j[ok].tolist()):
                     if not (stays[a] and stays[b]) and (low[a] is None or low[b] is None or low[a].isdisjoint(low[b])):
                         stays[a] = stays[b] = True

@@ -15,7 +15,7 @@
      so each pair is judged in one cell: in the one that holds both as their own, else in that of the set near a pivot, else
      in that of the smaller set. Cells that are still large are divided in turn, with new pivots.
   3. A region where division doesn't help (all its sets are near to each other, or none is near a pivot) is laid out in
-     blocks by the distance to one pivot; only blocks whose distances differ by e at most meet.
+     blocks by the distance to one pivot; only blocks whose distances differ by e at most meet. What fits one block is a leaf.
   4. Within a leaf, or two blocks, shared shingles are counted by products of matrices in one task. A task gives for each
      set the number of its links and one edge of a spanning forest of the links, no pairs.
 
@@ -27,6 +27,7 @@ would raise an error, not merge.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geoskein.llm.common import materialise
+from geoskein.llm import common
 from geoskein.operators.graph import components
 
 WIDTH = 4
@@ -60,6 +61,10 @@ NO_ID = -(1 << 63)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
+#: The shingles are shuffled once and are most of the disk: they don't wait for the driver's garbage collection.
+materialise = partial(common.materialise, free=True)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE:
@@ -243,6 +248,10 @@ def _pivots(postings: DataFrame) -> DataFrame:
     return pairs.groupBy("sid").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
 
 
+def _sent(wanted: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return F.broadcast if wanted.count() <= BROADCAST_IDS else lambda df: df
+
+
 def _sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """(sid, raw) of the wanted (id, sid); several rows of a set where its id has several. Up to BROADCAST_IDS ids are sent
     to the texts; more of them are joined."""
@@ -253,8 +262,7 @@ def _sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
                 raw = [s.tobytes() for s in sets]
                 yield pd.DataFrame({"sid": [xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], "raw": raw})
 
-    small = wanted.count() <= BROADCAST_IDS
-    sent = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    sent = _sent(wanted)
     rows = texts.join(sent(wanted.select("id").distinct()), "id", "left_semi").mapInPandas(run, "sid long, raw binary")
     # an id may have several rows: wanted sets alone stay
     return rows.join(sent(wanted.select("sid")), "sid", "left_semi")
@@ -497,10 +505,12 @@ def _divided(rows: DataFrame, sizes: DataFrame, sets: DataFrame, cut: tuple[int,
     return rows.join(placed, ["region", "sid"])
 
 
-def _blocks(rows: DataFrame, cut: tuple[int, int]) -> DataFrame:
-    """Leaves of dense regions: rows (region, sid, n, d0, ...) in blocks by d0, each two that can hold links as a leaf."""
+def _blocks(rows: DataFrame, sizes: DataFrame, cut: tuple[int, int]) -> DataFrame:
+    """Leaves of dense regions: rows (region, sid, n, d0, ...) in blocks by d0, each two that can hold links as a leaf. What
+    fits one block is one leaf, where each set comes once and not with every block that it meets."""
     width = (1 - cut[0] / cut[1]) / 2
-    rows = rows.withColumn("bin", F.floor(F.col("d0") / width).cast("long"))
+    fits = sizes.select("region", ((F.col("k") <= BLOCK_SETS) & (F.col("total") <= BLOCK_SHINGLES)).alias("fits"))
+    rows = rows.join(fits, "region").withColumn("bin", F.when(F.col("fits"), 0).otherwise(F.floor(F.col("d0") / width)).cast("long"))
     each = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long")
     bins = rows.groupBy("region", "bin").agg(each.alias("many"))
     code = lambda part: F.col("bin") * (1 << 31) + part
@@ -528,11 +538,14 @@ def _links(rows: DataFrame, sets: DataFrame, cut: tuple[int, int]) -> DataFrame:
         if not sizes.limit(1).count():
             found = materialise(_judged(leaves, sets, cut), "links")
             return found if out is None else out.unionByName(found)
-        split = materialise(_divided(now.join(sizes.select("region"), "region", "left_semi"), sizes, sets, cut), "divided")
+        inside = materialise(now.join(sizes.select("region"), "region", "left_semi"), "inside")
+        wanted = inside.select("sid").distinct()
+        held = materialise(sets.join(_sent(wanted)(wanted), "sid", "left_semi"), "sets")
+        split = materialise(_divided(inside, sizes, held, cut), "divided")
         cells = split.select("region", "sid", F.explode("cells").alias("cell")).groupBy("region", F.shiftright("cell", 2).alias("c")).agg(F.count(F.lit(1)).alias("rows"))
         cells = cells.groupBy("region").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).join(sizes, "region")
         helps = materialise(cells.filter((F.col("rows") <= DENSE * F.col("k")) & (F.col("most") <= MOST * F.col("k"))).select("region"), "helps")
-        leaves = leaves.unionByName(_blocks(split.join(helps, "region", "left_anti"), cut))
+        leaves = leaves.unionByName(_blocks(split.join(helps, "region", "left_anti"), sizes, cut))
         found = materialise(_judged(leaves, sets, cut), "links")
         out = found if out is None else out.unionByName(found)
         bit = 1 << level
@@ -540,6 +553,8 @@ def _links(rows: DataFrame, sets: DataFrame, cut: tuple[int, int]) -> DataFrame:
         now = split.join(helps, "region").select("*", F.explode("cells").alias("cell"))
         now = now.select(F.xxhash64("region", F.shiftright("cell", 2)).alias("region"), "sid", "n", "lower", mark("own", 1), mark("far", 2), F.lit(level + 1).alias("depth"))
         now = materialise(now, "cells")
+        # only what is divided further is carried to the next level
+        sets = held
         level += 1
 
 

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,7 +25,19 @@ def folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """df, written and to be read again. free: what the writing has shuffled leaves the executors' disks with its end, not
+    when the driver next collects garbage."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        if free:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if free and before is None:
+            spark.conf.unset(_CLEANUP)
+        elif free:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

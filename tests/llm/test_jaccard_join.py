@@ -157,3 +157,40 @@ def test_runs_hold_whole_groups():
     parts = list(jj._whole_groups((rows[k : k + 7] for k in range(0, len(rows), 7)), ["g"], len, 20))
     assert jj.pd.concat(parts).g.tolist() == rows.g.tolist() and len(parts) > 3
     assert sum(p.g.nunique() for p in parts) == 40
+
+
+def test_sets_travel_once_with_a_dense_region(spark, monkeypatch):
+    """A region that division doesn't help and that fits one block is one leaf; what is divided gets its own sets alone."""
+    monkeypatch.setattr(jj, "LEAF", 10)
+    monkeypatch.setattr(jj, "DENSE", 0.0)
+    times, given, judged, divided = [], [], jj._judged, jj._divided
+
+    def spy_judged(leaves, sets, cut):
+        times.extend(r["count"] for r in leaves.groupBy("region", "sid").count().collect())
+        return judged(leaves, sets, cut)
+
+    def spy_divided(rows, sizes, sets, cut):
+        given.append((rows.select("sid").distinct().count(), sets.select("sid").distinct().count()))
+        return divided(rows, sizes, sets, cut)
+
+    monkeypatch.setattr(jj, "_judged", spy_judged)
+    monkeypatch.setattr(jj, "_divided", spy_divided)
+    rows = [(k, " ".join([*(f"own{k}_{j}" for j in range(2 * k)), *(f"v{j}" for j in range(2 * k, 200))])) for k in range(40)]
+    rows += [(1000 + k, " ".join([*(f"p{k // 2}_{j}" for j in range(90)), f"end{k}"])) for k in range(16)]
+    got = jj.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((g.doc_id, g.n_links) for g in got), key=str) == plain_links(rows)
+    assert sorted(((g.doc_id, g.n_shingles, g.component_id) for g in got), key=str) == brute(rows)
+    assert set(times) == {1}
+    assert given and all(inside == sent for inside, sent in given)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in found.split("\n") if "/shuffle_" in x}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = files(), spark.conf.get(key, None)
+    found = jj.materialise(spark.range(1000).repartition(5, "id").groupBy((jj.F.col("id") % 7).alias("k")).count(), "free")
+    assert not files() - before and spark.conf.get(key, None) == conf
+    assert sorted((r.k, r["count"]) for r in found.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]

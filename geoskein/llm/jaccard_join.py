@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from geoskein.llm import common
+from geoskein.llm.common import trimmed
 from geoskein.operators.graph import components
 
 WIDTH = 4
@@ -76,6 +77,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """The hashes that this worker keeps go; it may wait long for its next task."""
+    _HASHES.clear()
+
+
 def _mixed(w: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of `width` word hashes, at each word but the last ones."""
     h = np.full(max(0, len(w) - width + 1), width, np.uint64)
@@ -181,8 +187,9 @@ def _facts(texts: DataFrame, width: int, cut: tuple[int, int]) -> DataFrame:
                 many = 0
                 yield repeated()
         yield repeated()
+        forget()
 
-    return texts.mapInPandas(run, "id long, n long, sid long, check long, grid binary, h long, times long")
+    return texts.mapInPandas(trimmed(run), "id long, n long, sid long, check long, grid binary, h long, times long")
 
 
 def _frequent(facts: DataFrame) -> np.ndarray:
@@ -227,8 +234,9 @@ def _postings(texts: DataFrame, width: int, cut: tuple[int, int], hot: np.ndarra
                     parts.append((s[order].view(np.int64), np.full(large, sid), np.arange(large) < small, np.full(large, large - last.sum(), np.int32), last.astype(np.int32) * (1 + sid % SALTS)))
                 if parts:
                     yield pd.DataFrame(dict(zip(("h", "sid", "small", "own", "salt"), map(np.concatenate, zip(*parts)))))
+        forget()
 
-    return texts.mapInPandas(run, "h long, sid long, small boolean, own int, salt int")
+    return texts.mapInPandas(trimmed(run), "h long, sid long, small boolean, own int, salt int")
 
 
 def _pivots(postings: DataFrame) -> DataFrame:
@@ -263,7 +271,7 @@ def _sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"sid": [xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], "raw": raw})
 
     sent = _sent(wanted)
-    rows = texts.join(sent(wanted.select("id").distinct()), "id", "left_semi").mapInPandas(run, "sid long, raw binary")
+    rows = texts.join(sent(wanted.select("id").distinct()), "id", "left_semi").mapInPandas(trimmed(run), "sid long, raw binary")
     # an id may have several rows: wanted sets alone stay
     return rows.join(sent(wanted.select("sid")), "sid", "left_semi")
 
@@ -320,7 +328,7 @@ def _partnered(members: DataFrame, cut: tuple[int, int]) -> DataFrame:
                         stays[a] = stays[b] = True
             yield rows.loc[stays, ["region", "sid", "lower"]]
 
-    return members.repartition("region").sortWithinPartitions("region").mapInPandas(run, "region long, sid long, lower array<long>")
+    return members.repartition("region").sortWithinPartitions("region").mapInPandas(trimmed(run), "region long, sid long, lower array<long>")
 
 
 def _pairs(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -451,7 +459,7 @@ def _judged(leaves: DataFrame, sets: DataFrame, cut: tuple[int, int]) -> DataFra
                 yield pd.concat(found, ignore_index=True)
 
     rows = leaves.join(sets, "sid")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInPandas(run, "sid long, links long, to long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInPandas(trimmed(run), "sid long, links long, to long")
 
 
 def _distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
@@ -501,7 +509,7 @@ def _divided(rows: DataFrame, sizes: DataFrame, sets: DataFrame, cut: tuple[int,
                     cells = [[4 * (c + 1) + state for c, state in x] for x in voronoi(d, far)]
                     yield pd.DataFrame({"region": own.region[m:].to_numpy(), "sid": own.sid[m:].to_numpy(), "d0": d[:, 0], "cells": cells})
 
-    placed = both.repartition(*keys).sortWithinPartitions(*keys, "member", "sid").mapInPandas(run, "region long, sid long, d0 double, cells array<int>")
+    placed = both.repartition(*keys).sortWithinPartitions(*keys, "member", "sid").mapInPandas(trimmed(run), "region long, sid long, d0 double, cells array<int>")
     return rows.join(placed, ["region", "sid"])
 
 

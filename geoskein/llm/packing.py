@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoskein.llm.common import materialise
+from geoskein.llm.common import materialise, trimmed
 
 SIZE = 1024
 END = 2
@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     schema = "id long, item long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(trimmed(cut), schema)
 
 
 def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoskein.llm.common import fold, labelled_sample
+from geoskein.llm.common import fold, labelled_sample, trimmed
 
 BITS = 18
 #: Labelled rows that the model is fitted on at most.
@@ -38,6 +38,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """The hashes that this worker keeps go; it may wait long for its next task."""
+    _HASHES.clear()
+
+
 def ngrams(text: str) -> np.ndarray:
     """Feature numbers of a text's words and pairs of neighbours, with repetition; none for a text without words."""
     words = _WORD.findall(text)
@@ -95,13 +100,14 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
         for pdf in batches:
             made = [counted(t) for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "at": [m[0].astype(np.int32).tobytes() for m in made], "x": [m[1].tobytes() for m in made], "label": pdf.label})
+        forget()
 
     def run(batches):
         rows = sorted((r for pdf in batches for r in zip(pdf.doc_id, pdf.label, pdf["at"], pdf.x)))
         yield pd.DataFrame({"weights": [fit([(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), int(y)) for _, y, at, x in rows]).tobytes()]})
 
-    sample = labelled_sample(docs, labels, "quality", train_rows).mapInPandas(features, "doc_id long, at binary, x binary, label int")
-    made = sample.repartition(1).mapInPandas(run, "weights binary").collect()
+    sample = labelled_sample(docs, labels, "quality", train_rows).mapInPandas(trimmed(features), "doc_id long, at binary, x binary, label int")
+    made = sample.repartition(1).mapInPandas(trimmed(run), "weights binary").collect()
     return np.frombuffer(made[0].weights, np.float32) if made else fit([])
 
 
@@ -119,6 +125,7 @@ def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
             logits = np.fromiter((w[a].sum(dtype=np.float64) / max(1, len(a)) for a in map(ngrams, pdf.text)), np.float64, len(pdf)) + w[-1]
             p = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
             yield pd.DataFrame({"id": pdf["id"], "held_out": pdf.held_out, "score": p, "predicted": (p >= cut).astype(np.int32)})
+        forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold(F.col(id_col)) == 0).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(score, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(trimmed(score), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoskein.llm.common import fold, labelled_sample
+from geoskein.llm.common import fold, labelled_sample, trimmed
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 12, 12, 8
@@ -30,7 +30,7 @@ LEAST_DOCS = 4
 TRAIN_ROWS = 6000
 CACHE = 150_000
 CHUNK_WORDS = 120_000
-PART_WORDS = 20_000
+PART_WORDS = 4_000
 _MARKS = b".,;:!?\"'()[]{}|*$%&#-_"
 
 
@@ -71,10 +71,10 @@ def _features_in_parts(vocab: dict[bytes, int], words: list[bytes]) -> tuple[np.
     for k in range(0, len(words), PART_WORDS):
         r, g, s = features(vocab, words[k : k + PART_WORDS])
         rows.append(r.astype(np.int32))
-        grams.append(g[:-1].astype(np.int32))
+        grams.append(g[:-1].astype(np.uint16))
         starts.append((s + at).astype(np.int32))
         at += len(g) - 1
-    return np.concatenate(rows), np.concatenate([*grams, [0]]).astype(np.int32), np.concatenate(starts)
+    return np.concatenate(rows), np.concatenate([*grams, np.zeros(1, np.uint16)]), np.concatenate(starts)
 
 
 def known_part(known: tuple[np.ndarray, np.ndarray, np.ndarray], a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,24 +226,23 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.p = model
+        # a flush adds fewer than 2 * CHUNK_WORDS + WINDOW words to at most CACHE; rows that aren't written take no memory
+        self.room = {side: np.empty((CACHE + 2 * CHUNK_WORDS + WINDOW, 3 * HIDDEN), np.float32) for side in "fb"}
         self.reset()
 
     def reset(self) -> None:
         self.words = _Words()
         self.words[b""] = 0
         self.words.new.append(b"")
-        self.gates = {side: np.zeros((0, 3 * HIDDEN), np.float32) for side in "fb"}
-        self.room = {side: np.zeros((CACHE // 4, 3 * HIDDEN), np.float32) for side in "fb"}
         self.used = 0
 
     def _learn(self) -> None:
-        made = projected(self.p, embedded(self.p, *features(self.p["vocab"], self.words.new)))
-        n = len(self.words.new)
-        for side in "fb":
-            while self.used + n > len(self.room[side]):
-                self.room[side] = np.concatenate([self.room[side], np.zeros_like(self.room[side])])
-            self.room[side][self.used : self.used + n] = made[side]
-        self.used += n
+        for k in range(0, len(self.words.new), PART_WORDS):
+            part = self.words.new[k : k + PART_WORDS]
+            made = projected(self.p, embedded(self.p, *features(self.p["vocab"], part)))
+            for side in "fb":
+                self.room[side][self.used : self.used + len(part)] = made[side]
+            self.used += len(part)
         self.words.new.clear()
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
@@ -307,16 +306,17 @@ def fit(corpus: Corpus, passes: int = 7, batch: int = 256, rate: float = 0.01, s
     by_word = sorted(range(len(seen)), key=seen.__getitem__)
     number = np.empty(len(seen), np.int32)
     number[by_word] = np.arange(len(seen), dtype=np.int32)
-    every, runs = [seen[k] for k in by_word], [number[r[1]] for r in rows]
-    lengths = np.array([len(r) for r in runs], np.int64)
-    flat = np.concatenate(runs)
-    aside = np.arange(len(y)) % 5 == 4
-    vocab = vocabulary({every[k] for k in np.unique(r)} for r, out in zip(runs, aside, strict=True) if not out)
-    known, many = _features_in_parts(vocab, every), len(every)
-    del rows, runs, seen, every
+    every = [seen[k] for k in by_word]
+    lengths = np.array([len(r[1]) for r in rows], np.int64)
+    flat = number[np.concatenate([r[1] for r in rows])]
+    del rows, seen, by_word, number
     corpus.words.clear()
     corpus.words.new.clear()
     corpus.rows.clear()
+    aside = np.arange(len(y)) % 5 == 4
+    vocab = vocabulary({every[k] for k in np.unique(r)} for r, out in zip(np.split(flat, np.cumsum(lengths)[:-1]), aside, strict=True) if not out)
+    known, many = _features_in_parts(vocab, every), len(every)
+    del every
     doc, first, size = windows(lengths)
     draw = np.random.default_rng(seed)
     p = initial(len(vocab) + 1)
@@ -324,11 +324,15 @@ def fit(corpus: Corpus, passes: int = 7, batch: int = 256, rate: float = 0.01, s
     balance = min(8.0, float((y == 0).sum() / y.sum()))
 
     def all_logits() -> np.ndarray:
-        gates = {side: np.empty((many, 3 * HIDDEN), np.float32) for side in "fb"}
+        x, found = np.empty((many, WORD_DIM + CHAR_DIM), np.float32), np.empty(len(doc), np.float32)
         for k in range(0, many, PART_WORDS):
-            for side, part in projected(p, embedded(p, *known_part(known, k, k + PART_WORDS))).items():
-                gates[side][k : k + PART_WORDS] = part
-        return np.concatenate([forward(p, gates, *_laid(flat, first[k : k + 2048], size[k : k + 2048])) for k in range(0, len(doc), 2048)])
+            x[k : k + PART_WORDS] = embedded(p, *known_part(known, k, k + PART_WORDS))
+        for k in range(0, len(doc), 2048):
+            # gates of these windows' words alone: those of all words would take 288 bytes each
+            at, mask = _laid(flat, first[k : k + 2048], size[k : k + 2048])
+            near, own = np.unique(at, return_inverse=True)
+            found[k : k + 2048] = forward(p, projected(p, x[near]), own.reshape(at.shape), mask)
+        return found
 
     for n in range(passes):
         key = draw.random(len(doc)) if n < 2 else -all_logits() + 0.3 * draw.random(len(doc))
@@ -378,15 +382,18 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     A document whose id stands on several rows is trained on once for each. None without labels of both kinds.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gathered(batches: Iterator[pd.DataFrame]) -> Corpus:
         corpus = Corpus()
         for pdf in batches:
             for key, text, label in zip(pdf.doc_id, pdf.text, pdf.label):
                 corpus.add((xxhash.xxh64_intdigest(str(key)), key), bytes(text), int(label))
-        yield pd.DataFrame({"model": [pickle.dumps(fit(corpus))]})
+        return corpus
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"model": [pickle.dumps(fit(gathered(batches)))]})
 
     sample = labelled_sample(docs, labels, "toxic", train_rows).select("doc_id", F.col("text").cast("binary").alias("text"), "label")
-    made = [r.model for r in sample.repartition(1).mapInPandas(run, "model binary").collect()]
+    made = [r.model for r in sample.repartition(1).mapInPandas(trimmed(run), "model binary").collect()]
     return pickle.loads(made[0]) if made else None
 
 
@@ -405,4 +412,4 @@ def scored(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col
             yield pd.DataFrame({"id": pdf["id"], "held_out": pdf.held_out, "score": p, "predicted": (p >= cut).astype(np.int32)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold(F.col(id_col)) == 0).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInPandas(score, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(trimmed(score), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

@@ -1,6 +1,9 @@
+import tracemalloc
+
 import numpy as np
 
 from geoskein.llm import toxicity as tox
+from geoskein.llm.common import trimmed
 
 
 def small():
@@ -119,3 +122,28 @@ def test_repeated_ids_and_long_texts_are_trained_on(spark):
     assert set(model["vocab"]) >= {b"scum", b"lake", b"tree"}
     got = tox.scored(docs, model).toPandas()
     assert ((got.doc_id % 3 == 0) == got.predicted).mean() > 0.95
+
+
+def traced(run) -> float:
+    """MB that are held at most at once while it runs, besides what there was."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_many_distinct_words_take_little_memory():
+    """Gates and n-grams of all distinct words at once were most of an executor's memory."""
+    corpus, r = tox.Corpus(), np.random.default_rng(8)
+    texts = [b" ".join(b"w%x" % k for k in r.integers(0, 1 << 40, 500)) for _ in range(120)]
+    for k, text in enumerate(texts):
+        corpus.add((k, k), text, k % 2)
+    assert traced(lambda: tox.fit(corpus, passes=3)) < 50
+    scorer = tox.Scorer(tox.initial(1) | {"vocab": {}})
+    assert traced(lambda: scorer.logits(texts)) < 40
+
+
+def test_trimmed_workers_hand_on_every_batch():
+    assert list(trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]

@@ -160,7 +160,9 @@ GRID = "grid AS (SELECT a * 40 + b AS point, a * 1.337 + 0.731 AS px, 900.0 + b
 
 
 def _grid(spark):
-    return spark.range(1600).select(F.col("id").alias("point"), (F.floor(F.col("id") / 40) * 1.337 + 0.731).alias("px"), (F.lit(900.0) + F.col("id") % 40 * 29.417).alias("py"))
+    """As the SQL's decimals, each rounded to a double once: a sum of rounded products can fall on the other side of a border."""
+    at = lambda k, step, first: (k * step + first) / F.lit(1000.0)
+    return spark.range(1600).select(F.col("id").alias("point"), at(F.floor(F.col("id") / 40), 1337, 731).alias("px"), at(F.col("id") % 40, 29417, 900000).alias("py"))
 
 
 PNPOLY = """, crossing AS (SELECT g.point, s.k AS ring, count(*) AS n FROM grid g JOIN seg s ON (s.y > g.py) <> (s.ny > g.py) AND (s.nx - s.x) / (s.ny - s.y) * (g.py - s.y) + s.x > g.px GROUP BY ALL),

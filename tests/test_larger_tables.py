@@ -22,3 +22,11 @@ def test_points_on_a_border_in_ring(spark):
     got = {(r.point, r.k) for r in L.points_in_rings(P._grid(spark), v, "k", "point").collect()}
     # a border counts only where it lies beyond the point
     assert got == {(a * 40 + b, str(k)) for k in range(40) for a in range(k) for b in range(40)}
+
+
+def test_points_on_the_border_of_a_hole(spark):
+    holes = [(a * 1337 + 731) / 1000 for a in range(40)]
+    rows = [r for k, x in enumerate(holes) for r in rectangle(str(k), 0, -5.0, 60.0) + rectangle(str(k), 1, -1.0, x)]
+    v = spark.createDataFrame(rows, "poly_id string, ring int, i long, x double, y double")
+    got = {(r.point, r.poly_id) for r in L.polygon_contains(P._grid(spark), v, "poly_id", "point").collect()}
+    assert got == {(a * 40 + b, str(k)) for k in range(40) for a in range(k, 40) for b in range(40)}

@@ -6,6 +6,11 @@ codes by tables of partial inner products (asymmetric: the query itself isn't qu
 each block are scored exactly on the original vectors. A block holds several whole lists or a part of a long one,
 about BLOCK_ROWS vectors, so that no task grows with the share of one list.
 
+Nothing nearer is missed, whatever the rows: beside its best lists a query looks into each whose bound (inner product
+with the centroid, plus the query's norm times the farthest residual) reaches the answers that a bounded sample already
+gives it; and in a block each vector whose code's bound (its approximate score, plus the query's norm times the error of
+its code) reaches the last answer of the shortlist is scored exactly too.
+
 Equal vectors of a block stand for one entry with their smallest ids, as many as an answer can hold; copies
 can't push other vectors off a shortlist.
 """
@@ -26,7 +31,7 @@ from geoskein.llm.common import materialise
 TRAIN_ROWS = 20_000
 #: Coarse centroids at most; the square root of the number of vectors below that.
 MAX_LISTS = 4096
-#: Share of the lists that a query looks into, and the fewest.
+#: Share of the lists that a query looks into at least, and the fewest.
 PROBE_SHARE, MIN_PROBES = 0.75, 8
 PARTS, CODES = 16, 64
 #: Distinct vectors of a block that are scored exactly for a query, as a multiple of the answers asked for.
@@ -34,6 +39,8 @@ SHORTLIST = 20
 BLOCK_ROWS = 10_000
 #: Queries that meet a block at a time.
 QUERY_ROWS = 2_000
+#: Vectors of the sample whose scores tell what a query's answers reach at least.
+SEEN_ROWS = 4_096
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -66,32 +73,56 @@ def nearest(x: np.ndarray, c: np.ndarray, rows: int = 4096) -> tuple[np.ndarray,
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, total: int, dim: int):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, total: int, dim: int):
         lists = int(min(MAX_LISTS, max(1, round(total**0.5)), max(1, len(sample))))
         self.dim = dim
+        seen = np.random.default_rng(0).permutation(len(sample))[:SEEN_ROWS]
+        self.seen_ids, self.seen = ids[seen], sample[seen]
         self.coarse = kmeans(sample, lists, seed=1) if len(sample) else np.zeros((1, dim))
         self.cuts = np.linspace(0, dim, min(PARTS, dim) + 1).astype(int)
         rest = sample - self.coarse[nearest(sample, self.coarse)[0]] if len(sample) else np.zeros((1, dim))
         self.books = [kmeans(np.ascontiguousarray(rest[:, a:b]), CODES, seed=2 + k) for k, (a, b) in enumerate(zip(self.cuts, self.cuts[1:]))]
         self.probes = min(len(self.coarse), max(MIN_PROBES, round(PROBE_SHARE * len(self.coarse))))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(list, code, error of the code, length of the residual) of each vector."""
         at, _ = nearest(x, self.coarse)
         rest = x - self.coarse[at]
         codes = np.stack([nearest(np.ascontiguousarray(rest[:, a:b]), book)[0] for a, b, book in zip(self.cuts, self.cuts[1:], self.books)], axis=1)
-        return at, codes.astype(np.uint8)
+        lost = rest - np.concatenate([book[c] for book, c in zip(self.books, codes.T)], axis=1)
+        return at, codes.astype(np.uint8), np.sqrt((lost * lost).sum(axis=1)), np.sqrt((rest * rest).sum(axis=1))
+
+    def lists_of(self, qids: np.ndarray, q: np.ndarray, reach: np.ndarray, top: int) -> list[np.ndarray]:
+        """The lists that each query looks into: its best ones, and all that may hold one of its `top` nearest. reach: the
+        longest residual of each list."""
+        out = []
+        for a in range(0, len(q), 256):
+            part = q[a : a + 256]
+            score = part @ self.coarse.T
+            first = np.argsort(-score, axis=1, kind="stable")[:, : self.probes]
+            known = part @ self.seen.T
+            known[self.seen_ids[None, :] == qids[a : a + 256, None]] = -np.inf
+            least = np.partition(known, -top, axis=1)[:, -top] if len(self.seen) >= top else np.full(len(part), -np.inf)
+            norm = np.sqrt((part * part).sum(axis=1))[:, None]
+            room = norm * (reach * (1 + 1e-9) + 1e-10 * np.sqrt((self.coarse * self.coarse).sum(axis=1)))
+            into = ~(score + room < least[:, None] - 1e-10 * np.abs(least)[:, None])
+            np.put_along_axis(into, first, True, axis=1)
+            # in the order of their scores
+            out += [k[into[n, k]] for n, k in enumerate(np.argsort(-score, axis=1, kind="stable"))]
+        return out
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Partial inner products (queries, codes) of each part."""
         return [q[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
 
-    def search(self, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, codes: np.ndarray, qids: np.ndarray, q: np.ndarray, probed: list[np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query ids, ids, exact scores): at least each query's `top` best of those found in one block.
+    def search(self, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, codes: np.ndarray, lost: np.ndarray, qids: np.ndarray, q: np.ndarray, probed: list[np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, ids, exact scores): at least each query's `top` best of the lists it looks into in one block.
 
-        probed: the lists that each query looks into.
+        probed: the lists that each query looks into; lost: the errors of the codes.
         """
         order = np.argsort(ids, kind="stable")
-        ids, x, lists, codes = ids[order], x[order], lists[order], codes[order]
+        ids, x, lists, codes, lost = ids[order], x[order], lists[order], codes[order], lost[order]
+        repeated = set(ids[1:][ids[1:] == ids[:-1]].tolist())
         _, first, same = np.unique(x, axis=0, return_index=True, return_inverse=True)
         by_age = np.argsort(first)  # vectors by their smallest id
         place = np.empty(len(first), np.int64)
@@ -105,18 +136,41 @@ class Index:
         here = np.unique(of_list)
         column = np.searchsorted(here, of_list)
         short = min(SHORTLIST * top, len(distinct))
+        size = np.sqrt((distinct * distinct).sum(axis=1))
+        # with what rounding to single precision may take off: a sum of PARTS + 1 terms
+        room = lost[first] * (1 + 1e-5) + 1e-5 * (size + 2 * np.sqrt((self.coarse * self.coarse).sum(axis=1))[of_list])
         out = []
         for at in range(0, len(qids), 128):
             part = q[at : at + 128]
             looks = np.stack([np.isin(here, p) for p in probed[at : at + 128]])
-            approx = (part @ self.coarse[here].T)[:, column].astype(np.float32)
+            approx = (part @ self.coarse[here].T).astype(np.float32)[:, column]
             for table, code in zip(self.tables(part), own.T):
                 approx += table.astype(np.float32)[:, code]
-            approx[~looks[:, column]] = -np.inf
+            lost_all = ~np.isfinite(approx).all()  # beyond single precision nothing is left out by its bound
+            looked = looks[:, column]
+            approx[~looked] = -np.inf
             picks = np.argpartition(-approx, short - 1, axis=1)[:, :short]
+            norm = np.sqrt((part * part).sum(axis=1))
+            near = None
             for k, pick in enumerate(picks):
-                pick = np.sort(pick[np.isfinite(approx[k, pick])])
+                if qids[at + k] in repeated:  # several rows of its own, none of them an answer
+                    other = np.flatnonzero(ids != qids[at + k])
+                    exact = (x[other] * part[k]).sum(axis=1)
+                    best = np.argsort(-exact, kind="stable")[:top]
+                    out.append((np.full(len(best), qids[at + k]), ids[other[best]], exact[best]))
+                    continue
+                pick = np.sort(pick[looked[k, pick]])
                 exact = (distinct[pick] * part[k]).sum(axis=1)
+                if len(pick) < looked[k].sum():
+                    least = np.partition(exact, -top - 1)[-top - 1] if len(exact) > top else -np.inf
+                    more = looked[k] & (lost_all | ~(approx[k] + norm[k] * room < least))
+                    more[pick] = False
+                    more = np.flatnonzero(more)
+                    if len(more):
+                        near = part @ distinct.T if near is None else near
+                        more = more[~(near[k, more] + 1e-10 * norm[k] * size[more] < least)]
+                        pick = np.sort(np.concatenate([pick, more]))
+                        exact = (distinct[pick] * part[k]).sum(axis=1)
                 # of equal scores those with the smallest ids come first: one more than `top` vectors are enough
                 best = np.argsort(-exact, kind="stable")[: top + 1]
                 n = begins[pick[best] + 1] - begins[pick[best]]
@@ -146,7 +200,7 @@ def _valid(rows: DataFrame, id_col: str, vec_col: str, dim: int | None) -> DataF
 
 
 def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): the `top` largest inner products found for each row that is_query selects.
+    """(query_id, rank, vec_id, score): the `top` largest inner products for each row that is_query selects.
 
     is_query: a condition on the id column. A query's candidates are all rows with another id. Vectors that are
     null, zero, of another length than the most frequent one, or hold null or non-finite components take no part,
@@ -162,29 +216,32 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     # by a threshold on the ids' hashes, so that no partition sends more than its share
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = (valid if total <= TRAIN_ROWS else valid.filter(share < TRAIN_ROWS / total)).limit(TRAIN_ROWS).collect()
-    index = Index(np.array([r.v for r in sorted(sample, key=lambda r: r.id)]), total, dim)
+    sample.sort(key=lambda r: r.id)
+    index = Index(np.array([r.id for r in sample], np.int64), np.array([r.v for r in sample]).reshape(len(sample), dim), total, dim)
     del sample
     shared = spark.sparkContext.broadcast(index)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.array(pdf.v.tolist()).reshape(len(pdf), dim)
-            at, codes = shared.value.encode(x)
-            yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "list": at, "code": [c.tobytes() for c in codes]})
+            at, codes, lost, far = shared.value.encode(x)
+            yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "list": at, "code": [c.tobytes() for c in codes], "lost": lost, "far": far})
 
-    filed = materialise(valid.mapInPandas(file, "id long, v array<double>, list long, code binary"), "filed")
-    sizes = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}  # a row for each list: MAX_LISTS at most
-    blocks, _ = blocks_of(sizes, BLOCK_ROWS)
+    filed = materialise(valid.mapInPandas(file, "id long, v array<double>, list long, code binary, lost double, far double"), "filed")
+    found = filed.groupBy("list").agg(F.count(F.lit(1)).alias("rows"), F.max("far").alias("far")).collect()  # a row for each list: MAX_LISTS at most
+    blocks, _ = blocks_of({r["list"]: r["rows"] for r in found}, BLOCK_ROWS)
+    reach = np.zeros(len(index.coarse))
+    for r in found:
+        reach[r["list"]] = r["far"]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for pdf in batches:
             q = np.array(pdf.v.tolist()).reshape(len(pdf), dim)
-            best = np.argsort(-(q @ own.coarse.T), axis=1, kind="stable")[:, : own.probes]
             out = []
-            for i, v, row in zip(pdf.id, pdf.v, best.tolist()):
+            for i, v, row in zip(pdf.id, pdf.v, own.lists_of(pdf.id.to_numpy(), q, reach, top)):
                 into: dict[int, list[int]] = {}
-                for k in row:
+                for k in row.tolist():
                     first, many = blocks.get(k, (0, 0))
                     for b in range(first, first + many):
                         into.setdefault(b, []).append(k)
@@ -192,7 +249,7 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
             yield pd.DataFrame(out, columns=["id", "v", "probed", "block"])
 
     where = spark.createDataFrame([(k, *b) for k, b in blocks.items()], "list long, first long, many long")
-    base = filed.join(F.broadcast(where), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("many")))
+    base = filed.drop("far").join(F.broadcast(where), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("many")))
     # queries of a block come in bounded groups too, each beside a copy of the block
     selected = filed.select("id", "v").filter(is_query(F.col("id")))
     groups = max(1, -(-selected.count() // QUERY_ROWS))
@@ -204,7 +261,7 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, q = np.array(left.v.tolist()), np.array(right.v.tolist())
         codes = np.frombuffer(b"".join(left.code), np.uint8).reshape(len(left), -1)
-        found = shared.value.search(left.id.to_numpy(), x, left["list"].to_numpy(), codes, right.id.to_numpy(), q, list(right.probed), top)
+        found = shared.value.search(left.id.to_numpy(), x, left["list"].to_numpy(), codes, left.lost.to_numpy(), right.id.to_numpy(), q, list(right.probed), top)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     keys = ["block", "g"]

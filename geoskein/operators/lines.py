@@ -133,6 +133,20 @@ def polygon_area(v: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     return a.groupBy(key).agg(F.sum(F.when(F.col(ring) == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"), F.sum("a").alias("area_ring_sum"))
 
 
+def listed_polygon_area(vertices: Column) -> Column:
+    """The area without holes of a polygon of one part held in its row, as an array of structs (ring, x, y) in order: as
+    polygon_area, without a shuffle."""
+    ring = lambda k: F.struct(F.filter(vertices, lambda q: q["ring"] == k).alias("p"), k.alias("ring"))
+    mean = lambda p, c: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[c]) / F.size(p)
+    # each level of structs binds what the next one uses more than once
+    rings = F.transform(F.array_distinct(F.transform(vertices, lambda q: q["ring"])), ring)
+    rings = F.transform(rings, lambda r: F.struct(r["ring"].alias("ring"), mean(r["p"], "x").alias("mx"), mean(r["p"], "y").alias("my"), r["p"].alias("p")))
+    rings = F.transform(rings, lambda r: F.struct(r["ring"].alias("ring"), F.transform(r["p"], lambda q: F.struct((q["x"] - r["mx"]).alias("x"), (q["y"] - r["my"]).alias("y"))).alias("p")))
+    crosses = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    area = lambda r: F.when(F.size(r["p"]) > 1, F.abs(0.5 * F.aggregate(crosses(r["p"]), F.lit(0.0), lambda s, c: s + c))).otherwise(0.0)
+    return F.aggregate(rings, F.lit(0.0), lambda s, r: s + F.when(r["ring"] == 0, area(r)).otherwise(-area(r)))
+
+
 def points_in_rings(points: DataFrame, v: DataFrame, key: str, point_key: str) -> DataFrame:
     """(point_key, key) of points inside rings by crossing parity; points on a border may fall either way.
 
